@@ -168,7 +168,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
     """Which of n positions lie in a range."""
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, starts, 1)
-    np.add.at(d, starts + lengths, -1)
-    return np.cumsum(d[:-1]) > 0
+    if not len(starts):
+        return np.zeros(n, bool)
+    d = np.bincount(starts, minlength=n + 1) - np.bincount(starts + lengths, minlength=n + 1)
+    return np.cumsum(d[:n]) > 0

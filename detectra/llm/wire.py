@@ -29,13 +29,14 @@ BODIES = "chunk int, body binary"
 
 
 def size_hint(df: DataFrame) -> int:
-    """Spark's estimate of the bytes of a plan; no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Spark's estimate of the bytes of a plan; where it has none, the texts are measured."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return known if known < 1 << 50 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def pieces(df: DataFrame, each: int = CHUNK_BYTES, least: int = 4) -> int:
     """How many parts of about ``each`` bytes the input has."""
-    return int(min(max(least, math.ceil(min(size_hint(df), 1 << 50) / each)), 1 << 24))
+    return int(min(max(least, math.ceil(size_hint(df) / each)), 1 << 24))
 
 
 def shared_dir(spark: SparkSession) -> str:
