@@ -68,7 +68,8 @@ def table(ids: np.ndarray, n_words: np.ndarray, hits: list[np.ndarray], items: l
 NONE = np.zeros(0, bool)
 
 
-def broadcast_hits(docs: DataFrame, rows: list, n: int) -> DataFrame:
+def broadcast_finder(docs: DataFrame, rows: list, n: int):
+    """A function that gives result tables, in order, for the ids and texts of a batch."""
     names = [str(r["item_id"]) for r in rows]
     index: dict[int, dict[bytes, set[str]]] = {}
     lengths: set[int] = set()
@@ -78,36 +79,45 @@ def broadcast_hits(docs: DataFrame, rows: list, n: int) -> DataFrame:
     prints = np.array(sorted(index), np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast((index, prints, sorted(lengths)))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    def results(ids: np.ndarray, texts: pa.Array) -> Iterable[pa.Table]:
         index, prints, lengths = shared.value
         mask = np.zeros(FILTER, bool)
         mask[(prints >> U(44)).astype(np.int64)] = True
-        for batch in batches:
-            data, offsets = scan.column_bytes(batch.column("text"))
-            data = scan.LOWER[data]
-            ids = np.asarray(batch.column("doc_id"), np.int64)
-            for i, j, part, off in scan.passes(data, offsets):
-                s, e, by_doc = scan.words(part, off, scan.NON_ALNUM)
-                hit, found, raw = {}, {}, None
-                f = Fingerprints(part, s, e)
-                for length in lengths:
-                    at = scan.window_starts(by_doc, length)
-                    if not len(at) or not len(prints):
-                        continue
-                    p = f.at(at, length)
-                    some = np.flatnonzero(mask[(p >> U(44)).astype(np.int64)])
-                    near = np.minimum(np.searchsorted(prints, p[some]), len(prints) - 1)
-                    some = some[prints[near] == p[some]]
-                    owner = np.searchsorted(by_doc, at[some], "right") - 1
-                    for x, q, d in zip(at[some].tolist(), p[some].tolist(), owner.tolist()):
-                        raw = raw or part.tobytes()
-                        items = index[q].get(b" ".join([raw[s[w] : e[w]] for w in range(x, x + length)]))
-                        if items:
-                            if d not in hit:
-                                hit[d], found[d] = np.zeros(by_doc[d + 1] - by_doc[d], bool), set()
-                            hit[d][x - by_doc[d] : x - by_doc[d] + length] = True
-                            found[d] |= items
-                yield from table(ids[i:j], np.diff(by_doc), [hit.get(d, NONE) for d in range(j - i)], [sorted(found.get(d, ())) for d in range(j - i)]).to_batches()
+        data, offsets = scan.column_bytes(texts)
+        data = scan.LOWER[data]
+        for i, j, part, off in scan.passes(data, offsets):
+            s, e, by_doc = scan.words(part, off, scan.NON_ALNUM)
+            hit, found, raw = {}, {}, None
+            f = Fingerprints(part, s, e)
+            for length in lengths:
+                at = scan.window_starts(by_doc, length)
+                if not len(at) or not len(prints):
+                    continue
+                p = f.at(at, length)
+                some = np.flatnonzero(mask[(p >> U(44)).astype(np.int64)])
+                near = np.minimum(np.searchsorted(prints, p[some]), len(prints) - 1)
+                some = some[prints[near] == p[some]]
+                owner = np.searchsorted(by_doc, at[some], "right") - 1
+                for x, q, d in zip(at[some].tolist(), p[some].tolist(), owner.tolist()):
+                    raw = raw or part.tobytes()
+                    items = index[q].get(b" ".join([raw[s[w] : e[w]] for w in range(x, x + length)]))
+                    if items:
+                        if d not in hit:
+                            hit[d], found[d] = np.zeros(by_doc[d + 1] - by_doc[d], bool), set()
+                        hit[d][x - by_doc[d] : x - by_doc[d] + length] = True
+                        found[d] |= items
+            yield table(ids[i:j], np.diff(by_doc), [hit.get(d, NONE) for d in range(j - i)], [sorted(found.get(d, ())) for d in range(j - i)])
+
+    return results
+
+
+def broadcast_hits(docs: DataFrame, rows: list, n: int) -> DataFrame:
+    results = broadcast_finder(docs, rows, n)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            for t in results(np.asarray(b.column("doc_id"), np.int64), b.column("text")):
+                yield from t.to_batches()
 
     return wire.ids_and_texts(docs).mapInArrow(run, SCHEMA)
 
@@ -194,9 +204,32 @@ def exchanged_hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     return wire.each_chunk_with(dealt, answers, mark, SCHEMA)
 
 
+def items_of(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return items, items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
+
+
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, most: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each input row: doc_id, n_words, n_hit, items (ids as sorted strings), spans (runs of hit words)."""
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
+    items, size = items_of(benchmark)
     found = broadcast_hits(docs, items.collect(), n) if size <= most else exchanged_hits(docs, items, n)
     return found.withColumn("doc_id", wire.real_id())
+
+
+def keep(docs: DataFrame, benchmark: DataFrame, n: int = 10, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows, with all their columns, in which no benchmark window occurs.
+
+    Where the benchmark is too large to broadcast, all rows of a contaminated doc_id go.
+    """
+    items, size = items_of(benchmark)
+    if size > most:
+        bad = find(docs, benchmark, n, most).filter("n_hit > 0").select(F.col("doc_id").alias("bad_id")).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    results = broadcast_finder(docs, items.collect(), n)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            hits = [np.zeros(0, np.int64), *(np.asarray(t.column("n_hit")) for t in results(np.zeros(b.num_rows, np.int64), b.column("text")))]
+            yield b.filter(pa.array(np.concatenate(hits) == 0))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,6 +17,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +157,43 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(langs, levels)
 
 
+def decide(m: Model, texts: pa.Array) -> Iterable[tuple[int, list[str], np.ndarray, np.ndarray]]:
+    """(first row, languages, scores, shares) of passes over texts."""
+    data, offsets = scan.column_bytes(texts)
+    for i, j, part, off in scan.passes(data, offsets, 1 << 19):
+        n = j - i
+        known = has_letter(texts.slice(i, n), part, off)
+        if m.langs:
+            share = m.shares(*grams(part, off), n)
+            best = np.argmax(share, 1)
+            top, total = share[np.arange(n), best], share.sum(1)
+            score = np.where(total > 0, top / np.maximum(total, 1e-12), 1 / len(m.langs))
+            names = [m.langs[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist())]
+        else:
+            top, score, names = np.zeros(n), np.zeros(n), ["und"] * n
+        yield i, names, np.where(known, score, 0.0), np.where(known, top, 0.0)
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.1) -> DataFrame:
+    """The rows, with all their columns, that have a language: not ``und``, and a share of ``least`` or more.
+
+    A text of fewer than 16 characters shows too few grams to be rejected and stays if it has a letter.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text")
+            short = pc.fill_null(pc.less(pc.utf8_length(texts), 16), True)
+            mask = [np.zeros(0, bool)]
+            for _, names, _, share in decide(shared.value, texts):
+                mask.append((np.array(names, object) != "und") & (share >= least))
+                mask[-1] |= np.asarray(short)[sum(map(len, mask[:-1])) :][: len(names)] & (np.array(names, object) != "und")
+            yield b.filter(pa.array(np.concatenate(mask)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each input row: doc_id, lang_pred, score, share.
 
@@ -165,21 +203,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            data, offsets = scan.column_bytes(b.column("text"))
-            ids, texts = b.column("doc_id"), b.column("text")
-            for i, j, part, off in scan.passes(data, offsets, 1 << 19):
-                n = j - i
-                known = has_letter(texts.slice(i, n), part, off)
-                if m.langs:
-                    share = m.shares(*grams(part, off), n)
-                    best = np.argmax(share, 1)
-                    top, total = share[np.arange(n), best], share.sum(1)
-                    score = np.where(total > 0, top / np.maximum(total, 1e-12), 1 / len(m.langs))
-                    names = [m.langs[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist())]
-                else:
-                    top, score, names = np.zeros(n), np.zeros(n), ["und"] * n
-                yield pa.record_batch({"doc_id": ids.slice(i, n), "lang_pred": pa.array(names, pa.string()), "score": pa.array(np.where(known, score, 0.0)), "share": pa.array(np.where(known, top, 0.0))})
+            for i, names, score, share in decide(shared.value, b.column("text")):
+                yield pa.record_batch({"doc_id": b.column("doc_id").slice(i, len(names)), "lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "share": pa.array(share)})
 
     return wire.ids_and_texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, share double").withColumn("doc_id", wire.real_id())

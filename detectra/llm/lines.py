@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import graph, scan, wire
 
@@ -134,15 +135,17 @@ def exactly(percent: int):
     return run
 
 
-def dedup(docs: DataFrame, percent: int = 80, least: int = 20) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = 80, least: int = 20, carry: bool = False) -> DataFrame:
     """One row for each input row: doc_id, n_lines, n_removed, removed (line numbers from 0), kept_text.
 
+    With ``carry`` a struct ``rest`` holds the row's columns other than text.
+
     Lines are linked at ``percent`` Jaccard similarity of their sets of SHINGLE-byte shingles; of the
     lines that links join, the first by (doc_id, line number) stays and all others are removed.
     """
     least = max(least, SHINGLE)
     chunks = wire.pieces(docs)
-    dealt = wire.chunked(docs, chunks).repartition(chunks, "chunk")
+    dealt = wire.chunked(docs, chunks, carry).repartition(chunks, "chunk")
 
     def sign(chunk: int, ids: np.ndarray, texts: pa.Array) -> pa.Table:
         keys, owners = band_keys(Lines(ids, texts, least).distinct)
@@ -185,9 +188,14 @@ def dedup(docs: DataFrame, percent: int = 80, least: int = 20) -> DataFrame:
     keep = places.groupBy("component").agg(F.min("place").alias("first")).select(F.col("component").alias("c"), F.col("first.node").alias("keeper"))
     gone = places.join(keep, F.col("component") == F.col("c")).filter("node <> keeper").select("node", F.shiftright("node", 32).cast("int").alias("chunk"))
 
+    schema = docs.sparkSession.createDataFrame([], SCHEMA).schema
+    if carry:
+        schema = schema.add("rest", docs.drop("text").schema)
+    none = to_arrow_schema(schema).empty_table()
+
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return wire.empty(SCHEMA)
+            return none
         ids, texts = wire.open_chunk(left.column("body"))
         own = Lines(ids, texts, least)
         dropped = set((np.asarray(right.column("node"), np.int64) & 0xFFFFFFFF).tolist())
@@ -203,6 +211,7 @@ def dedup(docs: DataFrame, percent: int = 80, least: int = 20) -> DataFrame:
             n_lines.append(len(lines) if own.valid[d] else 0)
             removed.append(out)
             kept.append(b"\n".join(x for n, x in enumerate(lines) if n not in gone_here).decode() if own.valid[d] else None)
-        return pa.table({"doc_id": pa.array(ids), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array([len(x) for x in removed], pa.int64()), "removed": pa.array(removed, pa.list_(pa.int32())), "kept_text": pa.array(kept, pa.string())})
+        rest = {"rest": wire.chunk_table(left.column("body")).column("rest")} if carry else {}
+        return pa.table({"doc_id": pa.array(ids), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array([len(x) for x in removed], pa.int64()), "removed": pa.array(removed, pa.list_(pa.int32())), "kept_text": pa.array(kept, pa.string())} | rest)
 
-    return dealt.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(remove, SCHEMA).withColumn("doc_id", wire.real_id())
+    return dealt.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(remove, schema).withColumn("doc_id", wire.real_id())

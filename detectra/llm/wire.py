@@ -53,8 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def id_and_text() -> list[F.Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")]
+
+
 def ids_and_texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(*id_and_text())
 
 
 def real_id(name: str = "doc_id") -> F.Column:
@@ -72,8 +76,11 @@ def unseal(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(body).read_all()
 
 
-def chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    """(chunk, body): documents dealt by id and compressed; ids may be NULL_ID, null texts stay null."""
+def chunked(docs: DataFrame, chunks: int, carry: bool = False) -> DataFrame:
+    """(chunk, body): documents dealt by id and compressed; ids may be NULL_ID, null texts stay null.
+
+    With ``carry`` a struct ``rest`` of all columns but text goes along.
+    """
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held, size = [], 0
@@ -85,7 +92,7 @@ def chunked(docs: DataFrame, chunks: int) -> DataFrame:
             t, c = t.take(pa.array(order)), c[order]
             cuts = np.flatnonzero(np.diff(c, prepend=-1))
             for s, e in zip(cuts, [*cuts[1:], len(c)]):
-                yield pa.record_batch({"chunk": pa.array([c[s]], pa.int32()), "body": pa.array([seal(t.slice(s, e - s).select(["doc_id", "text"]))], pa.binary())})
+                yield pa.record_batch({"chunk": pa.array([c[s]], pa.int32()), "body": pa.array([seal(t.slice(s, e - s).select(names))], pa.binary())})
 
         for b in batches:
             if b.num_rows:
@@ -97,14 +104,21 @@ def chunked(docs: DataFrame, chunks: int) -> DataFrame:
         if held:
             yield from flush()
 
-    tagged = ids_and_texts(docs).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    names = ["doc_id", "text", *["rest"] * carry]
+    rows = ids_and_texts(docs) if not carry else docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), *id_and_text())
+    tagged = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
     return tagged.mapInArrow(deal, BODIES)
 
 
-def open_chunk(bodies: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
-    """(ids, texts) of a chunk in a fixed order: by id, then text."""
+def chunk_table(bodies: pa.ChunkedArray) -> pa.Table:
+    """A chunk's rows in a fixed order: by id, then text."""
     t = pa.concat_tables([unseal(b.as_py()) for b in bodies])
-    t = t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")])).combine_chunks()
+    return t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")])).combine_chunks()
+
+
+def open_chunk(bodies: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """(ids, texts) of a chunk."""
+    t = chunk_table(bodies)
     text = t.column("text")
     return np.asarray(t.column("doc_id"), np.int64), text.chunk(0) if text.num_chunks == 1 else pa.concat_arrays(text.chunks)
 
