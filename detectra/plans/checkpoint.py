@@ -1,0 +1,16 @@
+"""Lineage cuts to the shared checkpoint folder."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame, written to spark.checkpoint.dir; where that is unset, as in tests, to a temporary folder."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "detectra-checkpoints"))
+    return df.checkpoint()
