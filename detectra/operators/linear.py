@@ -33,8 +33,8 @@ def axes(df: DataFrame, x: str, y: str, xlog: bool, ylog: bool) -> DataFrame:
 def regression(rows: DataFrame, *by: str) -> DataFrame:
     """slope, intercept, tau and n of (x, y) rows, by group: tau is sqrt(SSE / (n - 2))."""
     g = rows.groupBy(*by).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_sxx("y", "x").alias("sxx"), F.regr_sxy("y", "x").alias("sxy"), F.regr_syy("y", "x").alias("syy"), F.count(F.lit(1)).alias("n"))
-    sse = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
-    return g.select(*by, "slope", "intercept", F.sqrt(sse / (F.col("n") - 2)).alias("tau"), "n")
+    sse = F.greatest(F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx")), F.lit(0.0))
+    return g.select(*by, "slope", "intercept", F.sqrt(F.try_divide(sse, F.col("n") - 2)).alias("tau"), "n")
 
 
 def fit_linear_a_hat_model(df: DataFrame, x: str, y: str, xlog: bool = False, ylog: bool = False) -> LinearModel:
@@ -84,8 +84,8 @@ def weighted_resamples(rows: DataFrame, n_boot: int, seed: int = 0) -> DataFrame
     s = {k: F.sum(v) for k, v in {"n": F.col("w"), "sx": F.col("w") * F.col("x"), "sy": F.col("w") * F.col("y"), "xx": F.col("w") * F.col("x") ** 2, "xy": F.col("w") * F.col("x") * F.col("y"), "yy": F.col("w") * F.col("y") ** 2}.items()}
     g = w.groupBy("replicate").agg(*[v.alias(k) for k, v in s.items()])
     sxx, sxy, syy = F.expr("xx - sx*sx/n"), F.expr("xy - sx*sy/n"), F.expr("yy - sy*sy/n")
-    slope = sxy / sxx
-    return g.select("replicate", slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"), F.sqrt(F.greatest(syy - slope * sxy, F.lit(0.0)) / (F.col("n") - 2)).alias("tau"), "n")
+    slope = F.try_divide(sxy, sxx)
+    return g.select("replicate", slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"), F.sqrt(F.try_divide(F.greatest(syy - slope * sxy, F.lit(0.0)), F.greatest(F.col("n") - 2, F.lit(0.0)))).alias("tau"), "n")
 
 
 def bootstrap_curves(df: DataFrame, grid: DataFrame, x: str, y: str, threshold: float, n_boot: int = 1000, xlog: bool = False, ylog: bool = False, seed: int = 0, exact_rows: int = 200_000) -> DataFrame:

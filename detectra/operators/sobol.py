@@ -4,30 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from . import variance
 
-SAMPLES = 1024
+#: Points of each matrix; keyed draws need more of them than a low-discrepancy sequence.
+SAMPLES = 8192
 
 
-def low_discrepancy(i: Column, j: int, d: int) -> Column:
-    """Coordinate j of point i of the additive-recurrence sequence in d dimensions."""
-    root = 2.0
-    for _ in range(60):
-        root = (1 + root) ** (1 / (d + 1))
-    return (F.lit(0.5) + (i + 1) * F.lit(root ** -(j + 1) % 1.0)) % F.lit(1.0)
-
-
-def total_order(spark: SparkSession, model, bounds: Mapping[str, tuple[float, float]], n: int = SAMPLES) -> DataFrame:
+def total_order(spark: SparkSession, model, bounds: Mapping[str, tuple[float, float]], n: int = SAMPLES, seed: int = 5) -> DataFrame:
     """(variable, st): total-order indices clamped to [0, 1]; 0 for a flat model.
 
     For each input, A and the same points with that input from B differ in it only.
     """
     names = list(bounds)
     d = len(names)
-    point = lambda j: low_discrepancy(F.col("id"), j, 2 * d)
+    point = lambda j: draws.uniform(F.lit(seed), F.lit(j), F.col("id"))
     base = spark.range(0, n).select("id", *[point(j).alias(f"a{j}") for j in range(d)], *[point(d + j).alias(f"b{j}") for j in range(d)])
     which = base.withColumn("v", F.explode(F.array(*[F.lit(k) for k in range(-1, d)])))
     at = {c: F.lit(float(lo)) + F.when(F.col("v") == j, F.col(f"b{j}")).otherwise(F.col(f"a{j}")) * float(hi - lo) for j, (c, (lo, hi)) in enumerate(bounds.items())}

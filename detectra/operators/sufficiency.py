@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import coverage, polynomial, reliability
-from .validate import validate_simulation
+from .validate import correlation, validate_simulation
 
 REPORT = "ord long, Test string, Variable string, Metric string, Value double, Threshold string, Pass boolean"
 PROBES = (0.1, 0.5, 0.9)
@@ -27,7 +27,7 @@ def vif(df: DataFrame, inputs: Sequence[str]) -> dict[str, float]:
     if d == 1:
         return {inputs[0]: 1.0}
     pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
-    row = df.agg(*[F.corr(f"`{inputs[i]}`", f"`{inputs[j]}`") for i, j in pairs]).first()
+    row = df.agg(*[correlation(F.col(f"`{inputs[i]}`"), F.col(f"`{inputs[j]}`")) for i, j in pairs]).first()
     R = np.eye(d)
     for (i, j), v in zip(pairs, row):
         R[i, j] = R[j, i] = 0.0 if v is None or np.isnan(v) else v

@@ -73,9 +73,15 @@ def summary_statistics(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation as an aggregate; NULL where a side is constant."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.try_divide(F.covar_pop(a, b), F.when(spread > 0, spread))
+
+
 def correlation_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(a, b, correlation) of all ordered pairs; NULL where a column is constant."""
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    one = df.agg(*[F.corr(f"`{names[i]}`", f"`{names[j]}`").alias(f"c{i}_{j}") for i, j in pairs])
+    one = df.agg(*[correlation(F.col(f"`{names[i]}`"), F.col(f"`{names[j]}`")).alias(f"c{i}_{j}") for i, j in pairs])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{min(i, j)}_{max(i, j)}").alias("v")) for i, a in enumerate(names) for j, b in enumerate(names)])
     return one.select(F.explode(rows).alias("r")).select("r.a", "r.b", F.when(~F.isnan("r.v"), F.col("r.v")).alias("correlation"))

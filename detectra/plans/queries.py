@@ -434,16 +434,21 @@ def sobol_total(spark, sf_dir):
     return sobol.total_order(spark, m, adaptive.input_ranges(s, ["a", "disc"]))
 
 
+def millions(spark, sf_dir) -> DataFrame:
+    """The kernel's constant is bounded, so the signal is in millions."""
+    return tables.supplier_study(spark, sf_dir).withColumn("signal", F.col("signal") / 1e6)
+
+
 @query()
 def kriging_fit(spark, sf_dir):
-    k = kriging.fit_kriging(tables.supplier_study(spark, sf_dir), ["a"], "signal", folds=5, restarts=1)
+    k = kriging.fit_kriging(millions(spark, sf_dir), ["a"], "signal", folds=5, restarts=1)
     rows = [(k[0].kernel, k[1], k[0].gamma)] if k else []
     return spark.createDataFrame(rows, "kernel string, cv_mse double, gamma double")
 
 
 @query()
 def kriging_loo(spark, sf_dir):
-    k = kriging.fit_kriging(tables.supplier_study(spark, sf_dir), ["a"], "signal", folds=5, restarts=1)
+    k = kriging.fit_kriging(millions(spark, sf_dir), ["a"], "signal", folds=5, restarts=1)
     return exports.kriging_diagnostics(k[0], spark) if k else spark.createDataFrame([], "row long, e double, scaled double")
 
 
