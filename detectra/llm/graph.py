@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import wire
+from . import scan, wire
+
+OUTSIDE, INSIDE = 256, 1024
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for all nodes of (a, b) links; a component is the smallest node it reaches.
 
-    Each round every node points to its smallest neighbour, pointers jump once, and links are redrawn
-    between what they point to; a round leaves a fraction of the links, and nothing is collected.
+    Each round every node points to its smallest neighbour, pointers double until they end at roots,
+    and links are redrawn between roots.  A root has a neighbour that is none, so a round at least
+    halves the nodes, and doublings are few; nothing is collected.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     edges = wire.cut(both)
     members = wire.cut(edges.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
     while not edges.isEmpty():
-        to = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).withColumnRenamed("a", "n")
-        far = to.select(F.col("n").alias("m"), F.col("p").alias("q"))
-        jump = wire.cut(to.join(far, F.col("p") == F.col("m")).select("n", F.least("p", "q").alias("p")))
+        jump = roots(wire.cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).withColumnRenamed("a", "n")))
         members = wire.cut(members.join(jump, F.col("component") == F.col("n"), "left").select("node", F.coalesce("p", "component").alias("component")))
         moved = edges.join(jump, F.col("a") == F.col("n")).select(F.col("p").alias("a"), "b")
         moved = moved.join(jump, F.col("b") == F.col("n")).select("a", F.col("p").alias("b"))
@@ -28,35 +33,87 @@ def components(links: DataFrame) -> DataFrame:
     return members
 
 
+def roots(to: DataFrame) -> DataFrame:
+    """(n, p) pointers to smaller nodes, followed to their ends by doubling."""
+    while True:
+        far = to.select(F.col("n").alias("m"), F.col("p").alias("q"))
+        to = wire.cut(to.join(far, F.col("p") == F.col("m")).select("n", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+        if to.filter("moved").isEmpty():
+            return to.select("n", "p")
+        to = to.select("n", "p")
+
+
 def stars(buckets: DataFrame) -> DataFrame:
     """Pairs of each bucket's smallest node with its others, of (key, node) rows."""
     low = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "k")
     return buckets.join(low, F.col("key") == F.col("k")).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def rest(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of a bucket that lie in different components after its star was checked.
+def leftovers(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(hub, node, c): nodes of buckets that hold several components after the stars were checked.
 
-    Nodes outside a bucket's largest component meet all of its others; pairs of one component are
-    settled, and pairs with the smallest node were the star.
+    A bucket's hub is its largest component there.  Every pair of unlike components in a bucket has
+    a node outside of the hub, and both of its nodes are listed under the hub.  Pairs with the
+    smallest node were the star.
     """
     low = buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 2").withColumnRenamed("key", "k")
     live = buckets.join(low, F.col("key") == F.col("k")).filter("node <> pivot").select("key", "node")
     live = live.join(found.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     sizes = live.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.col("key").alias("k"), F.col("top.c").alias("top"))
-    mixed = live.join(large, F.col("key") == F.col("k")).select("key", "node", "c", "top")
-    few = mixed.filter("c <> top").select(F.col("key").alias("k"), F.col("node").alias("x"), F.col("c").alias("d"))
-    pairs = mixed.join(few, (F.col("key") == F.col("k")) & (F.col("c") != F.col("d")))
-    return pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    large = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.col("key").alias("k"), F.col("top.c").alias("hub"))
+    return live.join(large, F.col("key") == F.col("k")).select("hub", "node", "c").distinct()
+
 
+def cross_links(rows: DataFrame, sets_of: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
+    """(a, b) links between components of (hub, node, c, text) rows, found block by block.
 
-def settle(buckets: DataFrame, verify) -> DataFrame:
-    """(node, component) over all verified links of the buckets; verify maps (a, b) pairs to the true ones."""
+    The nodes outside of a hub are queries against all of the hub's nodes: blocks of about OUTSIDE
+    queries meet blocks of about INSIDE nodes, so neither a task nor a row holds more, and pairs
+    are counted inside of a task and not emitted.  A query gives one link to each component.
+    """
+    size = rows.groupBy("hub").agg(F.sum((F.col("c") != F.col("hub")).cast("long")).alias("q"), F.count(F.lit(1)).alias("n"))
+    size = size.select(F.col("hub").alias("h"), F.ceil(F.col("q") / OUTSIDE).cast("int").alias("nq"), F.ceil(F.col("n") / INSIDE).cast("int").alias("nn"))
+    sized = rows.join(size, F.col("hub") == F.col("h"))
+    q, n = F.pmod(F.xxhash64("node"), "nq").cast("int"), F.pmod(F.xxhash64("node"), "nn").cast("int")
+    each = lambda top: F.explode(F.sequence(F.lit(0), F.col(top) - 1))
+    ask = sized.filter("c <> hub").select("hub", q.alias("i"), each("nn").alias("j"), "node", "c", "text", F.lit(True).alias("asks"))
+    told = sized.select("hub", each("nq").alias("i"), n.alias("j"), "node", "c", "text", F.lit(False).alias("asks"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        asks = np.asarray(t.column("asks"))
+        sets = sets_of(t.column("text").chunk(0))
+        node, c = np.asarray(t.column("node")), np.asarray(t.column("c"))
+        queries, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+        links: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(queries):
+            size = np.array([len(sets[x]) for x in queries])
+            items = np.concatenate([sets[x] for x in queries])
+            owner = np.repeat(np.arange(len(queries)), size)
+            order = np.argsort(items, kind="stable")
+            items, owner = items[order], owner[order]
+            for x in others.tolist():
+                lo, hi = np.searchsorted(items, sets[x], "left"), np.searchsorted(items, sets[x], "right")
+                both = np.bincount(owner[scan.ranges(lo, hi - lo)], minlength=len(queries))
+                good = (both > 0) & (100 * both >= percent * (size + len(sets[x]) - both)) & (c[queries] != c[x])
+                for y in queries[good].tolist():
+                    links.setdefault((int(node[y]), int(c[x])), (int(min(node[y], node[x])), int(max(node[y], node[x]))))
+        found = sorted(set(links.values()))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return ask.unionByName(told).groupBy("hub", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
+def settle(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], sets_of: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
+    """(node, component) over all links of ``percent`` similarity within buckets.
+
+    verify maps (a, b) candidate pairs to the true links; texts gives (node, text) of wanted nodes.
+    """
     links = wire.cut(verify(wire.cut(stars(buckets))))
     found = components(links)
-    more = wire.cut(rest(buckets, found))
-    if more.isEmpty():
+    left = wire.cut(leftovers(buckets, found))
+    if left.isEmpty():
         return found
-    extra = wire.cut(verify(more))
+    body = texts(left.select("node").distinct()).select(F.col("node").alias("n"), "text")
+    extra = wire.cut(cross_links(left.join(body, F.col("node") == F.col("n")).drop("n"), sets_of, percent))
     return found if extra.isEmpty() else components(links.unionByName(extra))

@@ -133,6 +133,13 @@ def prune(threshold: float):
     return run
 
 
+def set_list(texts: pa.Array, k: int) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for _, _, items, off in shingle_sets(texts, k):
+        out += np.split(items, off[1:-1])
+    return out
+
+
 def exactly(k: int, percent: int):
     """Keeps (a, b) rows whose texts ta and tb have 100 * intersection >= percent * union."""
 
@@ -140,14 +147,8 @@ def exactly(k: int, percent: int):
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
-                sets = []
-                for c in ("ta", "tb"):
-                    own = []
-                    for i, j, items, off in shingle_sets(part.column(c), k):
-                        own += np.split(items, off[1:-1])
-                    sets.append(own)
                 good = []
-                for p, q in zip(*sets):
+                for p, q in zip(set_list(part.column("ta"), k), set_list(part.column("tb"), k)):
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     good.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -199,7 +200,7 @@ def find(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
         full = full.join(texts.withColumnRenamed("text", "tb"), F.col("b") == F.col("node")).select("a", "b", "ta", "tb")
         return full.mapInArrow(exactly(shingle, percent), "a long, b long")
 
-    nodes = graph.settle(buckets, verify).withColumnRenamed("component", "by_link")
+    nodes = graph.settle(buckets, verify, lambda n: wanted_texts(dealt, n, chunks), lambda t: set_list(t, shingle), percent).withColumnRenamed("component", "by_link")
     keys = classes.select(F.col("n_shingles").alias("kn"), F.col("x").alias("kx"), F.col("y").alias("ky"), F.col("node").alias("class"))
     same = slim.join(keys, (F.col("n_shingles") == F.col("kn")) & (F.col("x") == F.col("kx")) & (F.col("y") == F.col("ky")), "left")
     rows = same.join(nodes, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", "class", F.coalesce("by_link", "class", "doc_id").alias("component"))
