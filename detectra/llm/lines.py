@@ -5,8 +5,8 @@ buckets; keys of one line only end there.  Candidate lines are compared exactly
 sets, linked lines are joined by union-find, and of each component the first line in order of
 doc_id and line number stays.  Lines shorter than ``least`` bytes are left alone.
 
-A null text has no lines and stays null.  Equal lines have similarity 1, so exact repeats, inside a
-document or across, go the same way.
+A null text has no lines and stays null.  Equal lines of different chunks are found by 128-bit
+fingerprints in the same exchange, so only unlike lines are banded together and compared.
 """
 
 from __future__ import annotations
@@ -63,6 +63,17 @@ def shingles(lines: list[bytes]) -> Iterable[tuple[int, int, np.ndarray, np.ndar
         yield i, j, np.repeat(np.arange(j - i), n), scan.Prints(part, 21).grams(SHINGLE)[at] if len(at) else np.zeros(0, np.uint64)
 
 
+def line_prints(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of whole lines."""
+    data = np.frombuffer(b"".join(lines), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
+    out: tuple[list, list] = ([], [])
+    for _, _, part, off in scan.passes(data, offsets):
+        for seed, to in zip((22, 23), out):
+            to.append(scan.Prints(part, seed).at(off[:-1], off[1:]))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out)
+
+
 def band_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and line numbers: the smallest fingerprint of each of ROWS * BANDS parts of the hash range.
 
@@ -96,38 +107,53 @@ def band_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def shared_buckets(t: pa.Table) -> pa.Table:
-    """(key, node) of all band keys that two lines have; a node is chunk * 2**32 + line."""
-    keys, nodes = [], []
-    for c, body in zip(t.column("chunk").to_pylist(), t.column("body").to_pylist()):
-        hi, lo, line = wire.unpack(body)
-        keys.append(hi.astype(np.uint64) << U(8) | lo)
-        nodes.append((np.int64(c) << 32) + line.astype(np.int64))
-    key, node = np.concatenate(keys), np.concatenate(nodes)
-    order = np.argsort(key)
-    key, node = key[order], node[order]
-    same = np.zeros(len(key) + 1, bool)
-    same[1:-1] = key[1:] == key[:-1]
-    some = same[1:] | same[:-1]
-    bucket = t.column("bucket")[0].as_py()
-    return pa.table({"key": pa.array((key[some] + U(bucket << 40)).view(np.int64)), "node": pa.array(node[some])})
+def meet(chunks: int):
+    """What a bucket finds among the chunks' lines: (key, node, rep) rows.
+
+    A node is chunk * 2**32 + line.  Buckets of whole-line fingerprints give (null, node, rep) for
+    lines that equal another chunk's; rep is the smallest node.  Buckets of band keys give (key,
+    node, null) for keys that unlike lines have, where equal lines count as the smallest node.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [(np.int64(c) << 32, wire.unpack(b)) for c, b in zip(t.column("chunk").to_pylist(), t.column("body").to_pylist())]
+        bucket = t.column("bucket")[0].as_py()
+        node = np.concatenate([c + p[-1].astype(np.int64) for c, p in parts])
+        x, y = (np.concatenate([p[i] for _, p in parts]).astype(np.uint64) for i in (0, 1))
+        if bucket < chunks:
+            x = x << U(8) | y
+            y = np.concatenate([p[2] for _, p in parts]).astype(np.uint64)
+        order = np.lexsort((node, y, x))
+        x, y, node = x[order], y[order], node[order]
+        new_x = np.ones(len(x), bool)
+        new_x[1:] = x[1:] != x[:-1]
+        new = new_x.copy()
+        new[1:] |= y[1:] != y[:-1]
+        if bucket < chunks:
+            x, node, new_x = x[new], node[new], new_x[new]
+            some = np.diff(np.append(np.flatnonzero(new_x), len(x)))[np.cumsum(new_x) - 1] > 1
+            key = (x[some] + U(bucket << 40)).view(np.int64)
+            return pa.table({"key": pa.array(key), "node": pa.array(node[some]), "rep": pa.array([None] * int(some.sum()), pa.int64())})
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        some = np.diff(np.append(first, len(x)))[group] > 1
+        return pa.table({"key": pa.array([None] * int(some.sum()), pa.int64()), "node": pa.array(node[some]), "rep": pa.array(node[first][group][some])})
+
+    return run
+
+
+def set_list(lines: pa.Array) -> list[np.ndarray]:
+    own: list[np.ndarray] = []
+    for i, j, line, print_ in shingles(lines.to_pylist()):
+        own += [np.unique(x) for x in np.split(print_, np.searchsorted(line, np.arange(1, j - i)))]
+    return own
 
 
 def exactly(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
-            sides = []
-            for c in ("ta", "tb"):
-                lines = b.column(c).to_pylist()
-                own = [np.zeros(0, np.uint64)] * len(lines)
-                for i, j, line, print_ in shingles(lines):
-                    order = np.lexsort((print_, line))
-                    cuts = np.searchsorted(line[order], np.arange(1, j - i))
-                    own[i:j] = np.split(print_[order], cuts)
-                sides.append(own)
             good = []
-            for p, q in zip(*sides):
-                p, q = np.unique(p), np.unique(q)
+            for p, q in zip(set_list(b.column("ta")), set_list(b.column("tb"))):
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(100 * both >= percent * (len(p) + len(q) - both))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -148,14 +174,20 @@ def dedup(docs: DataFrame, percent: int = 80, least: int = 20, carry: bool = Fal
     dealt = wire.chunked(docs, chunks, carry).repartition(chunks, "chunk")
 
     def sign(chunk: int, ids: np.ndarray, texts: pa.Array) -> pa.Table:
-        keys, owners = band_keys(Lines(ids, texts, least).distinct)
+        own = Lines(ids, texts, least).distinct
+        a, b = line_prints(own)
+        keys, owners = band_keys(own)
         bucket = ((keys & U(0xFFFFFF)) % U(chunks)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        keys, bucket, v = keys[order], bucket[order], keys[order] >> U(24)
-        return wire.cells(chunk, bucket, (v >> U(8)).astype(np.uint32), (v & U(0xFF)).astype(np.uint8), owners[order].astype(np.uint32))
+        keys, bucket, owners, v = keys[order], bucket[order], owners[order], keys[order] >> U(24)
+        bands = wire.cells(chunk, bucket, (v >> U(8)).astype(np.uint32), (v & U(0xFF)).astype(np.uint8), (a[owners] >> U(32)).astype(np.uint32), wire.narrow(owners))
+        bucket = (a % U(chunks)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return pa.concat_tables([bands, wire.cells(chunk, bucket[order] + chunks, a[order], b[order], wire.narrow(order))])
 
     sent = wire.each_chunk(dealt, sign, wire.CELL)
-    buckets = wire.cut(sent.groupBy("bucket").applyInArrow(shared_buckets, "key long, node long"))
+    met = wire.cut(sent.groupBy("bucket").applyInArrow(meet(chunks), "key long, node long, rep long"))
+    buckets, equal = met.filter("key is not null").select("key", "node"), met.filter("rep is not null").select("node", "rep")
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = "node long, doc_id long, line long, text binary"
@@ -164,27 +196,30 @@ def dedup(docs: DataFrame, percent: int = 80, least: int = 20, carry: bool = Fal
         ids, texts = wire.open_chunk(left.column("body"))
         own = Lines(ids, texts, least)
         node = np.asarray(right.column("node"), np.int64)
-        at = (node & 0xFFFFFFFF).tolist()
+        at, near = (node & 0xFFFFFFFF).tolist(), right.column("near").to_pylist()
         return pa.table(
             {
                 "node": pa.array(node),
                 "doc_id": pa.array([int(ids[own.first[x][0]]) for x in at], pa.int64()),
                 "line": pa.array([(own.first[x][0] << 32) + own.first[x][1] for x in at], pa.int64()),
-                "text": pa.array([own.distinct[x] for x in at], pa.binary()),
+                "text": pa.array([own.distinct[x] if n else None for x, n in zip(at, near)], pa.binary()),
             }
         )
 
-    wanted = buckets.select("node").distinct().withColumn("chunk", F.shiftright("node", 32).cast("int"))
+    # Texts are wanted of lines in band buckets only, places of all.
+    wanted = met.groupBy("node").agg(F.max(F.col("key").isNotNull()).alias("near")).withColumn("chunk", F.shiftright("node", 32).cast("int"))
     texts = wire.cut(dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(look_up, "node long, doc_id long, line long, text binary"))
-    body = texts.select(F.col("node").alias("n"), "text")
+    body = texts.filter("text is not null").select(F.col("node").alias("n"), "text")
 
     def verify(pairs: DataFrame) -> DataFrame:
         full = pairs.join(body.withColumnRenamed("text", "ta"), F.col("a") == F.col("n")).drop("n")
         full = full.join(body.withColumnRenamed("text", "tb"), F.col("b") == F.col("n")).drop("n")
         return full.mapInArrow(exactly(percent), "a long, b long")
 
-    found = graph.settle(buckets, verify)
-    places = found.join(texts.select(F.col("node").alias("n"), "doc_id", "line"), F.col("node") == F.col("n")).select("node", "component", F.struct("doc_id", "line", "node").alias("place"))
+    found = graph.settle(buckets, verify, lambda n: n.join(body.withColumnRenamed("n", "m"), F.col("node") == F.col("m")).select("node", "text"), set_list, percent)
+    # A line stands for the lines that equal it; a line alone in its component needs no row.
+    stands = texts.join(equal.withColumnRenamed("node", "e"), F.col("node") == F.col("e"), "left").select("node", "doc_id", "line", F.coalesce("rep", "node").alias("rep"))
+    places = stands.join(found.withColumnRenamed("node", "n"), F.col("rep") == F.col("n"), "left").select("node", F.coalesce("component", "rep").alias("component"), F.struct("doc_id", "line", "node").alias("place"))
     keep = places.groupBy("component").agg(F.min("place").alias("first")).select(F.col("component").alias("c"), F.col("first.node").alias("keeper"))
     gone = places.join(keep, F.col("component") == F.col("c")).filter("node <> keeper").select("node", F.shiftright("node", 32).cast("int").alias("chunk"))
 
