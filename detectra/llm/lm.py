@@ -2,7 +2,9 @@
 
 Every token is predicted from ``SIDE`` tokens on either side.  Tokens are lower-cased words; the
 ``FREQUENT`` commonest words of the whole corpus are tokens of their own and all others fall into
-``CLASSES`` classes by a hash.  Training is data-parallel: in each round every partition starts from
+classes by a hash, ``CLASSES`` of them in a small corpus and twice as many for each four times the
+distinct words.  A word's probability is that of its class, by the network, times its share of all
+words of that class, from counts of every word of the corpus that meet in buckets.  Training is data-parallel: in each round every partition starts from
 the same weights, passes over a seeded share of its own windows, and sends its weights, which are
 averaged by the tokens they saw in two levels.  So what is gathered, word counts and weights, grows
 with the corpus, while what one task or the driver holds does not.
@@ -26,21 +28,28 @@ from . import scan, wire
 U = np.uint64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 FREQUENT, CLASSES = 191, 64
-VOCAB = 1 + FREQUENT + CLASSES  # 0 stands outside of a document
+VOCAB = 1 + FREQUENT + CLASSES  # 0 stands outside of a document; the symbols of a small corpus
 ROUNDS, SHARE, STEP, BATCH = 3, 0.1, 2e-3, 256
 FAN = 64
-SHAPES = {"embed": (VOCAB, WIDTH), "hidden": (2 * SIDE * WIDTH, HIDDEN), "shift": (HIDDEN,), "out": (HIDDEN, VOCAB), "bias": (VOCAB,)}
 SCHEMA = "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
 
 
+def shapes(vocab: int = VOCAB) -> dict[str, tuple[int, ...]]:
+    return {"embed": (vocab, WIDTH), "hidden": (2 * SIDE * WIDTH, HIDDEN), "shift": (HIDDEN,), "out": (HIDDEN, vocab), "bias": (vocab,)}
+
+
+def classes_for(distinct: int) -> int:
+    return CLASSES << max(0, (distinct.bit_length() - 17) // 2)
+
+
 def word_prints(part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     part = scan.LOWER[part]
     s, e, by_doc = scan.words(part, off, scan.SPACES)
     return scan.Prints(part, 41).at(s, e), by_doc
 
 
-def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Fingerprints of the commonest words over all texts, the commonest first."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): fingerprints and counts of all words over all texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held, size = [], 0
@@ -61,24 +70,41 @@ def frequent_words(docs: DataFrame) -> np.ndarray:
             v, n = merged()
             yield from pa.table({"word": pa.array(v.view(np.int64)), "n": pa.array(n)}).to_batches(1 << 16)
 
-    counts = wire.ids_and_texts(docs).select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    return np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    return wire.ids_and_texts(docs).select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    def __init__(self, words: np.ndarray):
+    """The frequent words, the commonest first, and classes of all others with their numbers of words."""
+
+    def __init__(self, words: np.ndarray, classes: int = CLASSES, sizes: np.ndarray | None = None):
         self.order = np.argsort(words)
         self.words = words[self.order]
+        self.classes, self.sizes = classes, sizes
+
+    @property
+    def symbols(self) -> int:
+        return 1 + FREQUENT + self.classes
 
     def tokens(self, prints: np.ndarray) -> np.ndarray:
-        other = 1 + FREQUENT + (prints & U(CLASSES - 1)).astype(np.int64)
+        other = 1 + FREQUENT + (prints & U(self.classes - 1)).astype(np.int64)
         if not len(self.words):
             return other
         at = np.minimum(np.searchsorted(self.words, prints), len(self.words) - 1)
         return np.where(self.words[at] == prints, 1 + self.order[at], other)
 
 
+def vocabulary_of(docs: DataFrame) -> Vocabulary:
+    counts = wire.cut(word_counts(docs))
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    classes = classes_for(counts.count())
+    sizes = np.zeros(classes)
+    for c, n in counts.groupBy(F.col("word").bitwiseAND(F.lit(classes - 1)).alias("c")).agg(F.sum("n")).collect():
+        sizes[c] = n
+    for r in top:
+        sizes[r["word"] & (classes - 1)] -= r["n"]
+    return Vocabulary(np.array([r["word"] for r in top], np.int64).view(np.uint64), classes, sizes)
+
+
 def windows(tokens: np.ndarray, by_doc: np.ndarray) -> np.ndarray:
     """For each token the SIDE tokens before and after it; 0 outside of its document."""
     n = np.diff(by_doc)
@@ -88,9 +114,9 @@ def windows(tokens: np.ndarray, by_doc: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + d] for d in range(-SIDE, SIDE + 1) if d], 1)
 
 
-def start_weights(seed: int = 3) -> dict[str, np.ndarray]:
+def start_weights(seed: int = 3, vocab: int = VOCAB) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
-    return {k: (r.normal(0, 0.1 if k == "embed" else s[0] ** -0.5, s) if len(s) == 2 else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+    return {k: (r.normal(0, 0.1 if k == "embed" else s[0] ** -0.5, s) if len(s) == 2 else np.zeros(s)).astype(np.float32) for k, s in shapes(vocab).items()}
 
 
 def forward(w: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,13 +138,12 @@ def gradients(w: dict[str, np.ndarray], around: np.ndarray, tokens: np.ndarray)
     """Of the mean negative log-probability."""
     x, h, z = forward(w, around)
     z -= z.max(1)[:, None]
-    p = np.exp(z)
-    p /= p.sum(1)[:, None]
-    p[np.arange(len(p)), tokens] -= 1
-    p /= len(p)
+    p = np.exp(z, out=z)
+    p *= (1 / (len(p) * p.sum(1)))[:, None]
+    p[np.arange(len(p)), tokens] -= 1 / len(p)
     dh = (p @ w["out"].T) * (1 - h * h)
-    embed = np.zeros_like(w["embed"])
-    np.add.at(embed, around.ravel(), (dh @ w["hidden"].T).reshape(-1, WIDTH))
+    at = around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    embed = np.bincount(at.ravel(), (dh @ w["hidden"].T).ravel(), w["embed"].size).reshape(-1, WIDTH).astype(w["embed"].dtype)
     return {"embed": embed, "hidden": x.T @ dh, "shift": dh.sum(0), "out": h.T @ p, "bias": p.sum(0)}
 
 
@@ -138,12 +163,12 @@ class Adam:
 
 
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in SHAPES])
+    return np.concatenate([w[k].ravel() for k in shapes()])
 
 
-def shaped(x: np.ndarray) -> dict[str, np.ndarray]:
+def shaped(x: np.ndarray, vocab: int = VOCAB) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in SHAPES.items():
+    for k, s in shapes(vocab).items():
         n = int(np.prod(s))
         out[k] = x[at : at + n].reshape(s).astype(np.float32)
         at += n
@@ -158,10 +183,9 @@ def batches_of(batches: Iterable[pa.RecordBatch], words: Vocabulary) -> Iterator
             yield b, i, j, words.tokens(prints), by_doc
 
 
-def train(docs: DataFrame, words: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, share: float = SHARE) -> dict[str, np.ndarray]:
     texts = wire.ids_and_texts(docs).select("text")
-    w = start_weights()
-    vocabulary = Vocabulary(words)
+    w = start_weights(vocab=vocabulary.symbols)
     for r in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast((vocabulary, w))
 
@@ -180,15 +204,15 @@ def train(docs: DataFrame, words: np.ndarray, rounds: int = ROUNDS, share: float
                 yield pa.record_batch({"salt": pa.array([part % FAN], pa.int32()), "seen": pa.array([seen], pa.int64()), "body": pa.array([(flat(own.w).astype(np.float64) * seen).astype(np.float32).tobytes()], pa.binary())})
 
         def add(t: pa.Table) -> pa.Table:
-            total = np.zeros(sum(int(np.prod(s)) for s in SHAPES.values()))
+            total = 0.0
             for x in t.column("body"):
-                total += np.frombuffer(x.as_buffer(), np.float32)
+                total = total + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
             return pa.table({"salt": t.column("salt").slice(0, 1), "seen": pa.array([sum(t.column("seen").to_pylist())], pa.int64()), "body": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
         sums = texts.mapInArrow(learn, "salt int, seen long, body binary").groupBy("salt").applyInArrow(add, "salt int, seen long, body binary").collect()
         if not sums:
             break
-        w = shaped(sum(np.frombuffer(x["body"], np.float32).astype(np.float64) for x in sums) / sum(x["seen"] for x in sums))
+        w = shaped(sum(np.frombuffer(x["body"], np.float32).astype(np.float64) for x in sums) / sum(x["seen"] for x in sums), vocabulary.symbols)
     return w
 
 
@@ -197,16 +221,56 @@ def score(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> DataFr
 
     ``share`` of all windows of the corpus train the network in each of ``rounds`` passes.
     """
-    words = frequent_words(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((Vocabulary(words), train(docs, words, rounds, share)))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    vocabulary = vocabulary_of(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, train(docs, vocabulary, rounds, share)))
+    chunks = wire.pieces(docs)
+    dealt = wire.chunked(docs, chunks).repartition(chunks, "chunk")
+
+    def rare_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words that are no token of their own, by bucket, with their numbers in a chunk and buckets."""
+        held = []
+        for _, _, part, off in scan.passes(*scan.column_bytes(texts)):
+            prints, _ = word_prints(part, off)
+            held.append(np.unique(prints, return_counts=True))
+        v, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in held)]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([np.zeros(0), *(x[1] for x in held)]), len(v)).astype(np.int64)
+        rare = shared.value[0].tokens(v) > FREQUENT
+        v, n = v[rare], n[rare]
+        bucket = (scan.mix(v) % U(chunks)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return v[order], n[order], bucket[order]
+
+    def send(chunk: int, ids: np.ndarray, texts: pa.Array) -> pa.Table:
+        v, n, bucket = rare_words(texts)
+        return wire.cells(chunk, bucket, v, wire.narrow(n))
+
+    def add(cells: list[list[np.ndarray]]) -> list[np.ndarray]:
+        v, inverse = np.unique(np.concatenate([x[0] for x in cells]), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([x[1] for x in cells]), len(v)).astype(np.int64)[inverse]
+        return [wire.narrow(x) for x in np.split(total, np.cumsum([len(x[0]) for x in cells])[:-1])]
+
+    def run(chunk: int, ids: np.ndarray, texts: pa.Array, got: dict[int, bytes]) -> pa.Table:
         vocabulary, w = shared.value
-        for b, i, j, tokens, by_doc in batches_of(batches, vocabulary):
+        v, _, bucket = rare_words(texts)
+        share = np.concatenate([np.zeros(0), *(wire.unpack(got[b])[0] for b in np.unique(bucket).tolist())])
+        share = np.log(share / vocabulary.sizes[(v & U(vocabulary.classes - 1)).astype(np.int64)])
+        order = np.argsort(v)
+        v, share = v[order], share[order]
+        sums, counts = [], []
+        for _, _, part, off in scan.passes(*scan.column_bytes(texts)):
+            prints, by_doc = word_prints(part, off)
+            tokens = vocabulary.tokens(prints)
             around = windows(tokens, by_doc)
-            logs = [log_probabilities(w, around[s : s + 2048], tokens[s : s + 2048]) for s in range(0, len(tokens), 2048)]
-            sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logs), dtype=np.float64)]) if logs else np.zeros(1)
-            total, n = sums[by_doc[1:]] - sums[by_doc[:-1]], np.diff(by_doc)
-            yield pa.record_batch({"doc_id": b.column("doc_id").slice(i, j - i), "n_tokens": pa.array(n.astype(np.int64)), "log_likelihood": pa.array(total), "mean_log_likelihood": pa.array(total / np.maximum(n, 1), mask=n == 0)})
-
-    return wire.ids_and_texts(docs).mapInArrow(run, SCHEMA).withColumn("doc_id", wire.real_id())
+            own = np.zeros(len(tokens) + 1)
+            for s in range(0, len(tokens), 2048):
+                own[s + 1 : s + 2049] = log_probabilities(w, around[s : s + 2048], tokens[s : s + 2048])
+            rare = np.flatnonzero(tokens > FREQUENT)
+            own[rare + 1] += share[np.searchsorted(v, prints[rare])]
+            own = np.cumsum(own)
+            sums.append(own[by_doc[1:]] - own[by_doc[:-1]])
+            counts.append(np.diff(by_doc))
+        total, n = np.concatenate(sums), np.concatenate(counts).astype(np.int64)
+        return pa.table({"doc_id": pa.array(ids), "n_tokens": pa.array(n), "log_likelihood": pa.array(total), "mean_log_likelihood": pa.array(total / np.maximum(n, 1), mask=n == 0)})
+
+    answers = wire.each_bucket(wire.each_chunk(dealt, send, wire.CELL), add)
+    return wire.each_chunk_with(dealt, answers, run, SCHEMA).withColumn("doc_id", wire.real_id())

@@ -151,6 +151,28 @@ def test_lm_prefers_text_in_order(spark):
     assert (s.n_tokens == 96).all() and np.allclose(s.log_likelihood, s.mean_log_likelihood * 96)
 
 
+def test_lm_scores_words_not_classes(spark):
+    words = [(f"w{i}", 2) for i in range(300)]
+    counts = dict([("common", 900), ("rare", 1), *words, *((f"f{i}", 50) for i in range(lm.FREQUENT - 1))])
+    text = " ".join(w for w, n in counts.items() for _ in range(n))
+    df = spark.createDataFrame([(1, text), *((10 + i, f"w{i}") for i in range(300)), (2, "rare")], "doc_id long, text string")
+    counts = {w: n + (w == "rare" or (w[0] == "w")) for w, n in counts.items()}
+    s = lm.score(df).toPandas().set_index("doc_id").log_likelihood
+    prints = {w: int(lm.word_prints(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) & (lm.CLASSES - 1) for w in counts}
+    same = [i for i in range(300) if prints[f"w{i}"] == prints["rare"]]
+    assert same and all(s[2] - s[10 + i] == pytest.approx(np.log(counts["rare"] / counts[f"w{i}"]), abs=1e-4) for i in same)
+    by_class = {}
+    for i in range(300):
+        by_class.setdefault(prints[f"w{i}"], []).append(s[10 + i])
+    assert all(max(v) - min(v) < 1e-4 for v in by_class.values())
+    assert sum(np.exp(s[10 + i]) for i in range(300)) + np.exp(s[2]) < 1
+
+
+def test_lm_classes_grow():
+    assert [lm.classes_for(n) for n in (0, 1 << 17, 1 << 19, 1 << 23)] == [64, 64, 128, 512]
+    assert lm.shaped(lm.flat(lm.start_weights(vocab=320)), 320)["out"].shape == (lm.HIDDEN, 320)
+
+
 def test_lm_edges(odd, nothing):
     rows = lm.score(odd, rounds=1).collect()
     assert len(rows) == 5 and [(r["n_tokens"], r["log_likelihood"], r["mean_log_likelihood"]) for r in rows if r["doc_id"] == 6] == [(0, 0.0, None)]
