@@ -5,8 +5,9 @@ Every token is predicted from ``SIDE`` tokens on either side.  Tokens are lower-
 classes by a hash, ``CLASSES`` of them in a small corpus and twice as many for each four times the
 distinct words.  A word's probability is that of its class, by the network, times its share of all
 words of that class, from counts of every word of the corpus that meet in buckets.  Training is data-parallel: in each round every partition starts from
-the same weights, passes over a seeded share of its own windows, and sends its weights, which are
-averaged by the tokens they saw in two levels.  So what is gathered, word counts and weights, grows
+the same weights, passes over a share of its own windows, in shuffled order, and sends its weights, which are
+averaged by the tokens they saw in two levels.  The rounds' shares are disjoint and together all
+windows.  So what is gathered, word counts and weights, grows
 with the corpus, while what one task or the driver holds does not.
 
 A document's score is the sum of its tokens' conditional log-probabilities.  A null text or one
@@ -29,7 +30,8 @@ U = np.uint64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 FREQUENT, CLASSES = 191, 64
 VOCAB = 1 + FREQUENT + CLASSES  # 0 stands outside of a document; the symbols of a small corpus
-ROUNDS, SHARE, STEP, BATCH = 3, 0.1, 2e-3, 256
+ROUNDS, STEP, BATCH = 3, 2e-3, 256
+SHARE = 1 / ROUNDS
 FAN = 64
 SCHEMA = "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
 
@@ -114,6 +116,16 @@ def windows(tokens: np.ndarray, by_doc: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + d] for d in range(-SIDE, SIDE + 1) if d], 1)
 
 
+def taught(by_doc: np.ndarray, r: int, rounds: int, share: float) -> np.ndarray:
+    """The windows of round r: of ``rounds`` rounds each window has the same number, at least one.
+
+    They follow from a token's place and its document's length, so any partitioning and any retry agree.
+    """
+    n = np.diff(by_doc)
+    place = np.arange(by_doc[-1]) - np.repeat(by_doc[:-1] - n, n)
+    return np.flatnonzero((place + r) % rounds < max(1, round(share * rounds)))
+
+
 def start_weights(seed: int = 3, vocab: int = VOCAB) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     return {k: (r.normal(0, 0.1 if k == "embed" else s[0] ** -0.5, s) if len(s) == 2 else np.zeros(s)).astype(np.float32) for k, s in shapes(vocab).items()}
@@ -195,7 +207,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, share:
             rng, own, seen = np.random.default_rng([r, part]), Adam(w), 0
             for _, _, _, tokens, by_doc in batches_of(batches, vocabulary):
                 around = windows(tokens, by_doc)
-                pick = np.flatnonzero(rng.random(len(tokens)) < share)
+                pick = taught(by_doc, r, rounds, share)
                 rng.shuffle(pick)
                 for s in range(0, len(pick), BATCH):
                     own.step(around[pick[s : s + BATCH]], tokens[pick[s : s + BATCH]])
@@ -219,7 +231,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, share:
 def score(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
     """One row for each input row: doc_id, n_tokens, log_likelihood, mean_log_likelihood.
 
-    ``share`` of all windows of the corpus train the network in each of ``rounds`` passes.
+    ``share`` of all windows of the corpus train the network in each of ``rounds`` rounds, and every
+    window does in at least one.
     """
     vocabulary = vocabulary_of(docs)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, train(docs, vocabulary, rounds, share)))

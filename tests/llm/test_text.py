@@ -173,6 +173,21 @@ def test_lm_classes_grow():
     assert lm.shaped(lm.flat(lm.start_weights(vocab=320)), 320)["out"].shape == (lm.HIDDEN, 320)
 
 
+@pytest.mark.parametrize("rounds, share, times", [(3, lm.SHARE, 1), (3, 1.0, 3), (4, 0.5, 2), (3, 0.1, 1), (1, lm.SHARE, 1)])
+def test_lm_trains_on_every_window(rounds, share, times):
+    by_doc = np.array([0, 1, 2, 2, 40, 41, 1000])
+    seen = [lm.taught(by_doc, r, rounds, share) for r in range(rounds)]
+    assert (np.bincount(np.concatenate(seen), minlength=1000) == times).all()
+
+
+def test_lm_prefers_text_in_order_as_registered(spark):
+    r = np.random.default_rng(0)
+    phrase = "the quick brown fox jumps over the lazy dog and runs away".split()
+    rows = [(i, " ".join(phrase * 8)) for i in range(450)] + [(1000 + i, " ".join(r.permutation(phrase * 8))) for i in range(15)]
+    s = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert s[s.index < 1000].mean_log_likelihood.min() > s[s.index >= 1000].mean_log_likelihood.max()
+
+
 def test_lm_edges(odd, nothing):
     rows = lm.score(odd, rounds=1).collect()
     assert len(rows) == 5 and [(r["n_tokens"], r["log_likelihood"], r["mean_log_likelihood"]) for r in rows if r["doc_id"] == 6] == [(0, 0.0, None)]
