@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-equal lines the first stays; n_chars, where docs has it, counts what is left."""
-    out = lines.dedup(docs, percent=80, carry=True)
+    out = lines.dedup(docs, percent=80, carry=True, whole=True)
     size = F.length("kept_text").cast("long")
     columns = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, size).otherwise(F.col("rest.`n_chars`"))} if "n_chars" in docs.columns else {"text": F.col("kept_text")}
     return out.select(*[columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])

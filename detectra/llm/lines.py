@@ -3,7 +3,8 @@
 A chunk's distinct lines are signed by one-permutation hashing, banded, and the band keys dealt to
 buckets; keys of one line only end there.  Candidate lines are compared exactly by their shingle
 sets, linked lines are joined by union-find, and of each component the first line in order of
-doc_id and line number stays.  Lines shorter than ``least`` bytes are left alone.
+doc_id and line number stays.  Lines shorter than ``least`` bytes are left alone, or with ``whole``
+only blank lines: then lines too short for a shingle are joined if they are equal.
 
 A null text has no lines and stays null.  Equal lines of different chunks are found by 128-bit
 fingerprints in the same exchange, so only unlike lines are banded together and compared.
@@ -28,7 +29,10 @@ SCHEMA = "doc_id long, n_lines long, n_removed long, removed array<int>, kept_te
 
 
 class Lines:
-    """Distinct lines of a chunk in order of first occurrence, with all their places."""
+    """Distinct lines of a chunk in order of first occurrence, with all their places.
+
+    A ``least`` of 0 takes all lines that are not blank.
+    """
 
     def __init__(self, ids: np.ndarray, texts: pa.Array, least: int):
         self.ids = ids
@@ -42,7 +46,7 @@ class Lines:
         for d, own in enumerate(self.texts):
             row = []
             for n, line in enumerate(own):
-                if len(line) < least:
+                if len(line) < least or not least and not line.strip():
                     row.append(-1)
                     continue
                 c = known.setdefault(line, len(known))
@@ -161,15 +165,16 @@ def exactly(percent: int):
     return run
 
 
-def dedup(docs: DataFrame, percent: int = 80, least: int = 20, carry: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = 80, least: int = 20, carry: bool = False, whole: bool = False) -> DataFrame:
     """One row for each input row: doc_id, n_lines, n_removed, removed (line numbers from 0), kept_text.
 
-    With ``carry`` a struct ``rest`` holds the row's columns other than text.
+    With ``carry`` a struct ``rest`` holds the row's columns other than text.  With ``whole`` all lines
+    but blank ones take part, whatever ``least`` is; lines under SHINGLE bytes are linked if equal.
 
     Lines are linked at ``percent`` Jaccard similarity of their sets of SHINGLE-byte shingles; of the
     lines that links join, the first by (doc_id, line number) stays and all others are removed.
     """
-    least = max(least, SHINGLE)
+    least = 0 if whole else max(least, SHINGLE)
     chunks = wire.pieces(docs)
     dealt = wire.chunked(docs, chunks, carry).repartition(chunks, "chunk")
 

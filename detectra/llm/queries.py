@@ -62,7 +62,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup(documents(spark, sf_dir), percent=80)
+    out = lines.dedup(documents(spark, sf_dir), percent=80, whole=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from detectra.llm import exact, graph, lines, near, substring, suffix
+import corpus_pipeline
+from detectra.llm import exact, graph, lines, near, queries, substring, suffix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -226,6 +227,16 @@ def test_lines(docs, texts):
         assert r["rest"]["rest"] == 7 and r["rest"]["doc_id"] == r["doc_id"]
 
 
+def test_short_lines_as_registered(spark, tmp_path):
+    rows = [(i, f"Page 1\n\n \nunlike line number {i * 7919} {'abcdefgh'[i % 8] * 20}\nfooter line 12\nPage 1\n{i}x") for i in range(40)]
+    spark.createDataFrame([(*r, None, None, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert len(out) == 40 and all(r["n_lines"] == 7 for r in out.values())
+    assert {d: r["n_removed"] for d, r in out.items()} == {d: 1 if d == 0 else 3 for d in range(40)}
+    stage = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").collect()
+    assert sum(r["text"].split("\n").count("Page 1") for r in stage) == 1 and all(r["text"].split("\n")[-1] == f"{r['doc_id']}x" for r in stage)
+
+
 def test_line_edges(odd, nothing):
     rows = lines.dedup(odd).collect()
     assert len(rows) == 5 and sum(r["n_removed"] for r in rows) == 1
