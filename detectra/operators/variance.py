@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import draws
+from ..plans import checkpoint
 
 #: Weights below this count as none; the weight then used instead.
 WEIGHT_FLOOR, WEIGHT_LEAST = 1e-12, 1e-10
-#: Rows of the smaller side of a kernel join that may be broadcast, and rows for bandwidth search.
+#: Rows of the smaller side of a kernel join that may be broadcast, and rows for bandwidth search on the
+#: driver; beyond, the same search runs over all pairs of blocks of that many rows at most.
 BROADCAST_ROWS = 200_000
 BANDWIDTH_ROWS = 5_000
 
@@ -107,23 +110,71 @@ def loo_error(X: np.ndarray, r2: np.ndarray, h: float) -> float:
     return out / n
 
 
+def packed_blocks(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """(block, body): all rows as arrays, in blocks of about ``most`` rows; cut, so all passes see the same blocks."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held = [np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns], 1) for b in batches if b.num_rows]
+        if held:
+            yield pa.record_batch({"block": pa.array([TaskContext.get().partitionId()], pa.int64()), "body": pa.array([np.concatenate(held).tobytes()], pa.binary())})
+
+    return checkpoint.cut(rows.repartition(max(1, -(-n // most))).mapInArrow(pack, "block long, body binary"))
+
+
+def blocked_errors(blocks: DataFrame, columns: int, bandwidths: Sequence[float]) -> np.ndarray:
+    """Sums of squared leave-one-out errors over all rows, one for each bandwidth."""
+    hs = [float(h) for h in bandwidths]
+
+    def opened(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+        v = np.frombuffer(x).reshape(-1, columns)
+        return v[:, :-1], v[:, -1] ** 2
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            for a, c, x, y in zip(*(b.column(k).to_pylist() for k in ("block", "other", "body", "met"))):
+                (X, _), (Y, r2) = opened(x), opened(y)
+                out = np.empty((len(hs), 2, len(X)))
+                for s in range(0, len(X), 512):
+                    d2 = ((X[s : s + 512, None, :] - Y[None, :, :]) ** 2).sum(2)
+                    for k, h in enumerate(hs):
+                        w = np.exp(-d2 / (2 * h * h))
+                        if a == c:
+                            w[np.arange(len(w)), np.arange(s, s + len(w))] = 0
+                        out[k, 0, s : s + 512], out[k, 1, s : s + 512] = w.sum(1), w @ r2
+                yield pa.record_batch({"block": pa.array([a], pa.int64()), "sums": pa.array([out.tobytes()], pa.binary())})
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, r2 = opened(right.column("body")[0].as_py())
+        w, v = sum(np.frombuffer(x.as_buffer()) for x in left.column("sums")).reshape(len(hs), 2, -1).transpose(1, 0, 2)
+        errors = ((r2 - v / np.where(w <= WEIGHT_FLOOR, WEIGHT_LEAST, w)) ** 2).sum(1)
+        return pa.table({"k": pa.array(np.arange(len(hs))), "error": pa.array(errors)})
+
+    pairs = blocks.crossJoin(blocks.select(F.col("block").alias("other"), F.col("body").alias("met"))).mapInArrow(meet, "block long, sums binary")
+    sums = pairs.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(add, "k long, error double").groupBy("k").agg(F.sum("error"))
+    return np.array([e for _, e in sorted(sums.collect())])
+
+
 def optimise_bandwidth(train: DataFrame, inputs: Sequence[str], residual: str = "residual", most: int = BANDWIDTH_ROWS) -> float:
     """The leave-one-out bandwidth between 0.01 and 0.5 of the widest input range.
 
-    The search is quadratic, so it runs on all rows up to ``most`` and on a keyed sample of about
-    that many beyond; the smoothing itself always uses all rows.
+    The search is over all rows and quadratic: on the driver up to ``most`` rows, and beyond over all
+    pairs of blocks, a job for the ladder and one for each further bandwidth.
     """
     n = train.count()
     rows = train.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(inputs)], F.col(residual).cast("double").alias("r"))
     if n > most:
-        rows = rows.filter(draws.uniform(F.lit(11), F.xxhash64(*rows.columns)) < most / n)
-    pdf = rows.orderBy(*rows.columns).toPandas()
-    X, r2 = pdf.drop(columns="r").to_numpy(float), pdf.r.to_numpy(float) ** 2
-    width = float(max((X.max(0) - X.min(0)).max(), 1e-12)) if len(X) else 1.0
+        blocks = packed_blocks(rows, n, most)
+        width = max(float(x) for x in rows.agg(*[F.max(c) - F.min(c) for c in rows.columns[:-1]]).first())
+        errors_of = lambda hs: blocked_errors(blocks, len(rows.columns), hs) / n
+    else:
+        pdf = rows.orderBy(*rows.columns).toPandas()
+        X, r2 = pdf.drop(columns="r").to_numpy(float), pdf.r.to_numpy(float) ** 2
+        width = float((X.max(0) - X.min(0)).max()) if len(X) else 1.0
+        errors_of = lambda hs: [loo_error(X, r2, h) for h in hs]
+    width = max(width, 1e-12)
     ladder = np.geomspace(0.01 * width, 0.5 * width, 12)
-    errors = [loo_error(X, r2, h) for h in ladder]
-    k = int(np.argmin(errors))
-    return minimise(lambda h: loo_error(X, r2, h), ladder[max(k - 1, 0)], ladder[min(k + 1, 11)], 1e-5 * width)
+    k = int(np.argmin(errors_of(ladder)))
+    return minimise(lambda h: errors_of([h])[0], ladder[max(k - 1, 0)], ladder[min(k + 1, 11)], 1e-5 * width)
 
 
 def fixed_bandwidth(df: DataFrame, inputs: Sequence[str], ratio: float = 0.1) -> float:

@@ -106,6 +106,19 @@ def test_noise_that_grows(spark):
     assert 0 < h <= 0.5 * 4.9 + 1e-6 and s.iloc[1] > 2 * s.iloc[0]
 
 
+def test_bandwidth_uses_all_rows_beyond_a_block(spark):
+    r = np.random.default_rng(2)
+    x, z = r.uniform(0, 5, 400), r.uniform(0, 3, 400)
+    train = frame(spark, x=x, z=z, residual=r.normal(0, 1, 400) * (0.2 + x))
+    for names in (["x"], ["x", "z"]):
+        whole = variance.optimise_bandwidth(train, names)
+        assert variance.optimise_bandwidth(train, names, most=150) == pytest.approx(whole, abs=1e-4)
+    e = train.toPandas()
+    blocks = variance.packed_blocks(train.select("x", "z", "residual"), 400, 150)
+    want = [variance.loo_error(e[["x", "z"]].to_numpy(), e.residual.to_numpy() ** 2, h) for h in (0.05, 1.0)]
+    assert blocks.count() == 3 and variance.blocked_errors(blocks, 3, (0.05, 1.0)) / 400 == pytest.approx(want)
+
+
 @pytest.mark.parametrize(("family", "draw"), [("norm", lambda r: r.normal(0, 1, 3000)), ("gumbel_r", lambda r: r.gumbel(0, 1, 3000)), ("uniform", lambda r: r.uniform(-1, 1, 3000)), ("laplace", lambda r: r.laplace(0, 1, 3000))])
 def test_families_are_recognised(family, draw):
     assert errors.best_of(draw(np.random.default_rng(0)))[0] == family
