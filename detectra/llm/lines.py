@@ -7,12 +7,14 @@ doc_id and line number stays.  Lines shorter than ``least`` bytes are left alone
 only blank lines: then lines too short for a shingle are joined if they are equal.
 
 A null text has no lines and stays null.  Equal lines of different chunks are found by 128-bit
-fingerprints in the same exchange, so only unlike lines are banded together and compared.
+cryptographic digests in the same exchange, so only unlike lines are banded together and compared.
+A shingle is eight bytes and so a number of its own: comparisons of shingle sets are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -58,28 +60,22 @@ class Lines:
 
 
 def shingles(lines: list[bytes]) -> Iterable[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, after last, line numbers, shingle fingerprints) of passes over lines."""
+    """(first, after last, line numbers, shingles) of passes over lines; a shingle's eight bytes, mixed, are its number."""
     data = np.frombuffer(b"".join(lines), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
     for i, j, part, off in scan.passes(data, offsets):
         at = scan.window_starts(off, SHINGLE)
         n = np.maximum(np.diff(off) - SHINGLE + 1, 0)
-        yield i, j, np.repeat(np.arange(j - i), n), scan.Prints(part, 21).grams(SHINGLE)[at] if len(at) else np.zeros(0, np.uint64)
+        yield i, j, np.repeat(np.arange(j - i), n), scan.mix(scan.loads(part)[at])
 
 
-def line_prints(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two fingerprints of whole lines."""
-    data = np.frombuffer(b"".join(lines), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
-    out: tuple[list, list] = ([], [])
-    for _, _, part, off in scan.passes(data, offsets):
-        for seed, to in zip((22, 23), out):
-            to.append(scan.Prints(part, seed).at(off[:-1], off[1:]))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out)
+def line_digests(lines: list[bytes]) -> np.ndarray:
+    """Cryptographic digests of whole lines, of two 64-bit numbers each."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in lines]), np.uint64).reshape(-1, 2)
 
 
 def band_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and line numbers: the smallest fingerprint of each of ROWS * BANDS parts of the hash range.
+    """Band keys and line numbers: the smallest shingle number of each of ROWS * BANDS parts of the hash range.
 
     Empty parts borrow from the next part that has one, by rotation.
     """
@@ -114,7 +110,7 @@ def band_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def meet(chunks: int):
     """What a bucket finds among the chunks' lines: (key, node, rep) rows.
 
-    A node is chunk * 2**32 + line.  Buckets of whole-line fingerprints give (null, node, rep) for
+    A node is chunk * 2**32 + line.  Buckets of whole-line digests give (null, node, rep) for
     lines that equal another chunk's; rep is the smallest node.  Buckets of band keys give (key,
     node, null) for keys that unlike lines have, where equal lines count as the smallest node.
     """
@@ -180,7 +176,7 @@ def dedup(docs: DataFrame, percent: int = 80, least: int = 20, carry: bool = Fal
 
     def sign(chunk: int, ids: np.ndarray, texts: pa.Array) -> pa.Table:
         own = Lines(ids, texts, least).distinct
-        a, b = line_prints(own)
+        a, b = line_digests(own).T
         keys, owners = band_keys(own)
         bucket = ((keys & U(0xFFFFFF)) % U(chunks)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -217,16 +213,16 @@ def dedup(docs: DataFrame, percent: int = 80, least: int = 20, carry: bool = Fal
     body = texts.filter("text is not null").select(F.col("node").alias("n"), "text")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(body.withColumnRenamed("text", "ta"), F.col("a") == F.col("n")).drop("n")
-        full = full.join(body.withColumnRenamed("text", "tb"), F.col("b") == F.col("n")).drop("n")
+        full = pairs.join(body.withColumnRenamed("text", "tb"), F.col("b") == F.col("n")).drop("n")
+        full = graph.looked_up(full, "a", "b", body.withColumnsRenamed({"n": "k_", "text": "ta"}), keys=pairs)
         return full.mapInArrow(exactly(percent), "a long, b long")
 
     found = graph.settle(buckets, verify, lambda n: n.join(body.withColumnRenamed("n", "m"), F.col("node") == F.col("m")).select("node", "text"), set_list, percent)
     # A line stands for the lines that equal it; a line alone in its component needs no row.
-    stands = texts.join(equal.withColumnRenamed("node", "e"), F.col("node") == F.col("e"), "left").select("node", "doc_id", "line", F.coalesce("rep", "node").alias("rep"))
-    places = stands.join(found.withColumnRenamed("node", "n"), F.col("rep") == F.col("n"), "left").select("node", F.coalesce("component", "rep").alias("component"), F.struct("doc_id", "line", "node").alias("place"))
-    keep = places.groupBy("component").agg(F.min("place").alias("first")).select(F.col("component").alias("c"), F.col("first.node").alias("keeper"))
-    gone = places.join(keep, F.col("component") == F.col("c")).filter("node <> keeper").select("node", F.shiftright("node", 32).cast("int").alias("chunk"))
+    names = graph.looked_up(equal, "rep", "node", found.withColumnRenamed("node", "k_"), "left").select(F.col("node").alias("e"), F.coalesce("component", "rep").alias("name"))
+    names = names.unionByName(found.join(equal, "node", "left_anti").select(F.col("node").alias("e"), F.col("component").alias("name")))
+    places = texts.join(names, F.col("node") == F.col("e"), "left").select("node", F.coalesce("name", "node").alias("component"), F.struct("doc_id", "line", "node").alias("place"))
+    gone = graph.beside(places, "component", "node", first=F.min("place")).filter("node <> first.node").select("node", F.shiftright("node", 32).cast("int").alias("chunk"))
 
     schema = docs.sparkSession.createDataFrame([], SCHEMA).schema
     if carry:

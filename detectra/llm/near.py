@@ -4,11 +4,13 @@ Documents with equal shingle sets form a class and only its smallest document go
 are banded into buckets.  A candidate pair's signatures are compared batch by batch: with a uniform
 prior, m matches of n leave the similarity a Beta(m + 1, n - m + 1) posterior, and the pair is
 dropped once the posterior chance of reaching the threshold is below the chosen miss probability.
-Survivors are compared exactly on their full shingle sets.
+Survivors are compared exactly on their full shingle sets, word by word.
 
 Null or empty texts have no shingles and are linked with nothing.  A text of fewer words than a
 shingle has its whole word sequence as its one shingle.  Each row is labelled by its own text; rows
-that repeat a doc_id with another text are compared by the least of its texts.
+that repeat a doc_id with another text are compared by the least of its texts.  Rows without a
+doc_id are documents of their own, one for each text, and come before all others; ids below -2**62
+stand for them.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, scan, wire
@@ -91,7 +93,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             yield from _rows(np.asarray(b.column("doc_id"), np.int64), b.column("text"), k).to_batches()
 
-    return wire.ids_and_texts(docs).mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
 def least_matches(threshold: float, batches: int, miss: float) -> list[int]:
@@ -114,8 +116,8 @@ def least_matches(threshold: float, batches: int, miss: float) -> list[int]:
     return out
 
 
-def prune(threshold: float):
-    least = least_matches(threshold, ROWS * BANDS // BATCH, MISS)
+def prune(least: list[int]):
+    """Keeps (a, b) rows whose signatures sa and sb have the least matches of each batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
@@ -140,22 +142,42 @@ def set_list(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
+LOWER_BYTES = scan.LOWER.tobytes()
+
+
+def true_set(text: str, k: int) -> set[tuple[bytes, ...]]:
+    w = text.encode().translate(LOWER_BYTES).split()
+    return set(zip(*(w[i:] for i in range(k)))) if len(w) >= k else {tuple(w)}
+
+
 def exactly(k: int, percent: int):
-    """Keeps (a, b) rows whose texts ta and tb have 100 * intersection >= percent * union."""
+    """Keeps (a, b) rows whose texts ta and tb have 100 * intersection >= percent * union, of true words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        last, p = None, set()
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                part = b.slice(s, 512)
-                good = []
-                for p, q in zip(set_list(part.column("ta"), k), set_list(part.column("tb"), k)):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    good.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good = []
+            for ta, tb in zip(b.column("ta"), b.column("tb")):
+                if last is None or ta != last:
+                    last, p = ta, true_set(ta.as_py(), k)
+                q = true_set(tb.as_py(), k)
+                both = len(p & q)
+                good.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
+def node_of() -> F.Column:
+    """The row's doc_id; where it has none, a number below -2**62 made from its text."""
+    own = F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(2**62)) + F.lit(-(2**63) + 1)
+    return F.coalesce(F.col("doc_id").cast("long"), own)
+
+
+def real_id(name: str) -> F.Column:
+    return F.when(F.col(name) >= -(2**62), F.col(name))
+
+
 def wanted_texts(dealt: DataFrame, nodes: DataFrame, chunks: int) -> DataFrame:
     """(node, text) of the wanted ids, which go to their chunks; of rows of one id, the first."""
 
@@ -174,40 +196,58 @@ def find(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept, class_id.
 
     component_id is the smallest doc_id that links of ``percent`` similarity reach; kept is
-    doc_id = component_id; class_id is the smallest doc_id with an equal shingle set.
+    doc_id = component_id, of rows without ids true for the smallest; class_id is the smallest doc_id
+    with an equal shingle set.
     """
+    return labelled(docs, shingle, percent).select(
+        real_id("doc_id").alias("doc_id"),
+        "n_shingles",
+        real_id("component").alias("component_id"),
+        (F.col("doc_id") == F.col("component")).alias("kept"),
+        real_id("class").alias("class_id"),
+    )
+
+
+def keep(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, with all their columns, of the smallest document of each component; of repeated rows one."""
+    kept = labelled(docs, shingle, percent).filter("doc_id = component").select(F.col("doc_id").alias("node_")).distinct()
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), node_of().alias("node"), F.xxhash64("text").alias("print"))
+    rows = rows.join(kept, F.col("node") == F.col("node_"), "left_semi")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("node", "print").orderBy("print")))
+    return rows.filter("place = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+
+
+def labelled(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, class, component) of each row, where doc_id is node_of()."""
+    rows = docs.select(node_of().alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = wire.pieces(docs)
-    signed = wire.cut(signatures(docs, shingle))
-    slim = signed.select("doc_id", "n_shingles", "x", "y")
-    classes = signed.filter("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min(F.struct("doc_id", "signature", "bands")).alias("r"))
-    classes = wire.cut(classes.select("n_shingles", "x", "y", F.col("r.doc_id").alias("node"), F.col("r.signature").alias("signature"), F.col("r.bands").alias("bands")))
+    signed = wire.cut(signatures(rows, shingle).withColumn("k", F.struct("n_shingles", "x", "y")))
+    classes = signed.filter("n_shingles > 0").groupBy("k").agg(F.min(F.struct("doc_id", "signature", "bands")).alias("r"))
+    classes = wire.cut(classes.select("k", F.col("r.doc_id").alias("node"), F.col("r.signature").alias("signature"), F.col("r.bands").alias("bands")))
     spread = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("i")
     buckets = classes.select("node", "bands", spread).select(F.substring("bands", F.col("i") * 8 + 1, F.lit(8)).alias("key"), "node")
     often = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("k"))
     buckets = wire.cut(buckets.join(often, F.col("key") == F.col("k"), "left_semi"))
-    marks = classes.select(F.col("node").alias("m"), "signature")
-    dealt = wire.chunked(docs, chunks).repartition(chunks, "chunk")
+    marks = classes.select(F.col("node").alias("k_"), "signature")
+    least = least_matches(percent / 100, ROWS * BANDS // BATCH, MISS)
+    dealt = wire.chunked(rows, chunks).repartition(chunks, "chunk")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(marks, F.col("a") == F.col("m")).select("a", "b", F.col("signature").alias("sa"))
-        near = near.join(marks, F.col("b") == F.col("m")).select("a", "b", "sa", F.col("signature").alias("sb"))
-        near = wire.cut(near.mapInArrow(prune(percent / 100), "a long, b long"))
-        if near.isEmpty():
-            return near
+        near = pairs.join(marks, F.col("b") == F.col("k_")).select("a", "b", F.col("signature").alias("sb"))
+        near = graph.looked_up(near, "a", "b", marks, keys=pairs).withColumnRenamed("signature", "sa")
+        near = wire.cut(near.mapInArrow(prune(least), "a long, b long"))
         nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
         texts = wanted_texts(dealt, nodes, chunks)
-        full = near.join(texts.withColumnRenamed("text", "ta"), F.col("a") == F.col("node")).select("a", "b", "ta")
-        full = full.join(texts.withColumnRenamed("text", "tb"), F.col("b") == F.col("node")).select("a", "b", "ta", "tb")
+        full = near.join(texts.withColumnRenamed("text", "tb"), F.col("b") == F.col("node")).select("a", "b", "tb")
+        full = graph.looked_up(full, "a", "b", texts.select(F.col("node").alias("k_"), F.col("text").alias("ta")), keys=near)
         return full.mapInArrow(exactly(shingle, percent), "a long, b long")
 
-    nodes = graph.settle(buckets, verify, lambda n: wanted_texts(dealt, n, chunks), lambda t: set_list(t, shingle), percent).withColumnRenamed("component", "by_link")
-    keys = classes.select(F.col("n_shingles").alias("kn"), F.col("x").alias("kx"), F.col("y").alias("ky"), F.col("node").alias("class"))
-    same = slim.join(keys, (F.col("n_shingles") == F.col("kn")) & (F.col("x") == F.col("kx")) & (F.col("y") == F.col("ky")), "left")
-    rows = same.join(nodes, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", "class", F.coalesce("by_link", "class", "doc_id").alias("component"))
-    return rows.select(
-        wire.real_id(),
-        "n_shingles",
-        F.when(F.col("component") != wire.NULL_ID, F.col("component")).alias("component_id"),
-        (F.col("doc_id") == F.col("component")).alias("kept"),
-        F.when(F.col("class") != wire.NULL_ID, F.col("class")).alias("class_id"),
-    )
+    def alike(left: DataFrame) -> DataFrame:
+        return graph.alike(left.join(marks, F.col("node") == F.col("k_")).drop("k_"), least, BATCH)
+
+    nodes = graph.settle(buckets, verify, lambda n: wanted_texts(dealt, n, chunks), lambda t: set_list(t, shingle), percent, alike)
+    of_class = classes.select(F.col("k").alias("k_"), F.col("node").alias("class")).join(nodes, F.col("class") == F.col("node"), "left")
+    of_class = of_class.select("k_", "class", F.coalesce("component", "class").alias("component"))
+    out = graph.looked_up(signed.select("doc_id", "n_shingles", "k"), "k", "doc_id", of_class, "left")
+    return out.select("doc_id", "n_shingles", "class", F.coalesce("component", "doc_id").alias("component"))

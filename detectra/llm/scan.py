@@ -1,7 +1,6 @@
-"""Vectorised text scanning on whole Arrow batches: word bounds, polynomial fingerprints, winnowing.
+"""Vectorised text scanning on whole Arrow batches: word bounds, fingerprints, winnowing.
 
-Everything works on the UTF-8 bytes of many documents at once.  A fingerprint of the symbols
-``[s, e)`` is a difference of prefix sums, so any k-gram or window costs O(1) after one pass.
+Everything works on the UTF-8 bytes of many documents at once.
 """
 
 from __future__ import annotations
@@ -43,50 +42,108 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _family(seed: int) -> tuple[np.ndarray, int, int]:
+@lru_cache(maxsize=32)
+def _family(seed: int) -> tuple[np.uint64, np.uint64, np.ndarray]:
+    """Two random numbers and an odd multiplier for each level of doubling."""
     r = np.random.default_rng(seed)
-    table = r.integers(1, 2**64 - 1, 256, dtype=np.uint64)
-    base = int(r.integers(2**62, 2**63, dtype=np.uint64)) * 2 + 5
-    base = (base - base % 8 + 5) % 2**64
-    return table, base, pow(base, -1, 2**64)
+    a, b = r.integers(1, 2**64 - 1, 2, dtype=np.uint64)
+    return a, b, r.integers(0, 2**63, 48, dtype=np.uint64) * U(2) + U(1)
 
 
-_powers: dict[int, np.ndarray] = {}
+#: Ranges of more bytes are read on their own, all their loads at once.
+LONG = 1 << 10
+#: Byte grams are made for so many positions at a time, which a core's cache holds.
+SLICE = 1 << 14
+#: Of a load of eight bytes, the first 0 to 8.
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        p = np.full(max(n, PASS_BYTES + 1), base, np.uint64)
-        p[0] = 1
-        have = np.cumprod(p, dtype=np.uint64)
-        if n <= 2 * PASS_BYTES:
-            _powers[base] = have
-    return have[:n]
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as one number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 class Prints:
-    """Prefix sums over symbols (bytes, or 64-bit word values) from which any range is fingerprinted."""
+    """Fingerprints of any range of symbols: bytes, or 64-bit values of words.
+
+    Neither is linear in its symbols, so strings that a polynomial sum confuses are told apart.
+    Ranges of bytes are read eight at a time through a bijective mixer.  Ranges of words, and byte
+    grams of one length, come by doubling: a block of 2n symbols mixes two blocks of n, and a range
+    is its first and its last block, which together cover it.
+    """
 
     def __init__(self, symbols: np.ndarray, seed: int = 1):
-        table, base, inverse = _family(seed)
-        v = table[symbols] if symbols.dtype == np.uint8 else symbols ^ table[7]
-        n = len(v)
-        self.inverse = powers(inverse, n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(v * powers(base, n), out=self.sums[1:], dtype=np.uint64)
+        self.seed = seed
+        self.first, self.last, self.odd = _family(seed)
+        self.bytes = symbols.dtype == np.uint8
+        self.n = len(symbols)
+        self.base = loads(symbols) if self.bytes else mix(symbols ^ self.first)
 
     def at(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return mix((self.sums[e] - self.sums[s]) * self.inverse[s] + (e - s).astype(np.uint64))
+        """Fingerprints of the ranges [s, e)."""
+        return self._read(s, e) if self.bytes else self._blocks(s, e)
+
+    def _read(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        n = e - s
+        out = mix(n.astype(np.uint64) * self.odd[0] + self.first)
+        live = np.flatnonzero((n > 0) & (n <= LONG))
+        at, left = s[live], n[live]
+        while len(live):
+            h = mix(out[live] ^ (self.base[at] & MASKS[np.minimum(left, 8)])) * self.odd[1]
+            out[live] = h ^ (h >> U(29))
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(n > LONG).tolist():
+            x = self.base[s[i] : e[i] : 8].copy()
+            x[-1] &= MASKS[(n[i] - 1) % 8 + 1]
+            out[i] ^= Prints(x, self.seed)._blocks(np.zeros(1, np.int64), np.full(1, len(x)))[0]
+        return mix(out ^ self.last)
+
+    def _double(self, blocks: np.ndarray, level: int) -> np.ndarray:
+        """From blocks of 2 ** level symbols those of twice as many."""
+        x = blocks[: -(1 << level)] * self.odd[level]
+        x += blocks[1 << level :]
+        x ^= x >> U(32)
+        return x
+
+    def _blocks(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        n = e - s
+        out = np.full(len(s), self.last)
+        blocks, level, todo = self.base, 0, int((n > 0).sum())
+        while todo:
+            own = np.flatnonzero((n >> level) == 1)
+            if len(own):
+                x = blocks[s[own]] * self.odd[40] + blocks[e[own] - (1 << level)]
+                out[own] = x ^ (x >> U(31))
+                todo -= len(own)
+            if todo:
+                blocks = self._double(blocks, level)
+                level += 1
+        return mix(out * self.odd[41] + n.astype(np.uint64))
 
     def grams(self, k: int) -> np.ndarray:
         """Fingerprints of all k-grams, by start; meaningless where a gram would cross documents."""
-        n = len(self.sums) - k
-        if n <= 0:
+        count = self.n - k + 1
+        if count <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[k:] - self.sums[:n]) * self.inverse[:n] + U(k))
+        if not self.bytes:
+            at = np.arange(count)
+            return self._blocks(at, at + k)
+        if k <= 8:
+            return mix((self.base[:count] & MASKS[k]) ^ self.first)
+        out = np.empty(count, np.uint64)
+        for i in range(0, count, SLICE):
+            j = min(count, i + SLICE)
+            blocks, level = mix(self.base[i : j + k - 8] ^ self.first), 3
+            while 2 << level <= k:
+                blocks = self._double(blocks, level)
+                level += 1
+            x = blocks[: j - i] * self.odd[40]
+            x += blocks[k - (1 << level) : k - (1 << level) + j - i]
+            out[i:j] = mix(x)
+        return out
 
 
 def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -71,7 +71,7 @@ def maximal_repeats(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple
     starts = scan.window_starts(offsets, length)
     if not len(starts):
         return starts, []
-    prints = scan.Prints(data, 9).at(starts, starts + length)
+    prints = scan.Prints(data, 9).grams(length)[starts]
     order = np.argsort(prints, kind="stable")
     edge = np.flatnonzero(np.diff(prints[order], prepend=~prints[order[0]]))
     size = np.diff(np.append(edge, len(order)))
@@ -128,7 +128,7 @@ class Runs:
 
     def cells(self, chunk: int) -> pa.Table:
         v = self.values >> U(24)
-        return wire.cells(chunk, self.bucket, (v >> U(8)).astype(np.uint32), (v & U(0xFF)).astype(np.uint8), np.minimum(self.times, 255).astype(np.uint8))
+        return wire.cells(chunk, self.bucket, (v >> U(8)).astype(np.uint32), (v & U(0xFF)).astype(np.uint8), wire.narrow(self.times))
 
 
 def count_anchors(cells: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
@@ -172,8 +172,8 @@ class Contexts:
             lo, hi = np.searchsorted(self.at, [runs.offsets[i], runs.offsets[j]])
             if hi > lo:
                 s = self.at[lo:hi] - runs.offsets[i]
-                a.append(scan.Prints(part, 3).at(s, s + runs.length))
-                b.append(scan.Prints(part, 4).at(s, s + runs.length))
+                a.append(scan.Prints(part, 3).grams(runs.length)[s])
+                b.append(scan.Prints(part, 4).grams(runs.length)[s])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b))
         bucket = (a % U(runs.buckets)).astype(np.int64)
         order = np.lexsort((b, a, bucket))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -40,11 +41,14 @@ def pieces(df: DataFrame, each: int = CHUNK_BYTES, least: int = 4) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; where the session names none, as in tests, a temporary one."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(conf or os.path.join(tempfile.gettempdir(), "detectra-checkpoints"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    """The shared checkpoint folder; where the session names none, a temporary one, which only a local session can use."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        conf = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(conf or os.path.join(tempfile.gettempdir(), "detectra-checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -53,6 +57,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame written as a table in the shared folder, and its path, for tables that are discarded before the end."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def id_and_text() -> list[F.Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")]
 
