@@ -31,8 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
-    kept = near.find(docs, shingle=5, percent=80).filter("kept or doc_id is null").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_doc_id"]), "left_semi")
+    return near.keep(docs, shingle=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
