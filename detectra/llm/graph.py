@@ -18,6 +18,8 @@ from . import scan, wire
 SALTS = 64
 #: Queries and nodes of a block, where sets are compared and where signatures are.
 SETS, SIGNATURES = (256, 1024), (2048, 8192)
+#: Queries times shingles that are looked up at a time.
+MEET = 1 << 22
 
 
 def salted(rows: DataFrame, spread: str) -> DataFrame:
@@ -163,7 +165,7 @@ def alike(rows: DataFrame, least: list[int], batch: int) -> DataFrame:
             good[q] |= len(live) > 0
         return t.select(["hub", "node", "c"]).filter(pa.array(good))
 
-    return blocks(rows, SIGNATURES).groupBy("hub", "i", "j").applyInArrow(meet, "hub long, node long, c long").distinct()
+    return wire.runs_of(blocks(rows, SIGNATURES), ["hub", "i", "j"], meet, "hub long, node long, c long").distinct()
 
 
 def cross_links(rows: DataFrame, sets_of: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
@@ -185,16 +187,30 @@ def cross_links(rows: DataFrame, sets_of: Callable[[pa.Array], list[np.ndarray]]
             owner = np.repeat(np.arange(len(queries)), size)
             order = np.argsort(items, kind="stable")
             items, owner = items[order], owner[order]
-            for x in others.tolist():
-                lo, hi = np.searchsorted(items, sets[x], "left"), np.searchsorted(items, sets[x], "right")
-                both = np.bincount(owner[scan.ranges(lo, hi - lo)], minlength=len(queries))
-                good = (both > 0) & (100 * both >= percent * (size + len(sets[x]) - both)) & (c[queries] != c[x])
-                for y in queries[good].tolist():
+            first = np.flatnonzero(np.append(True, items[1:] != items[:-1]))
+            known, times = items[first], np.diff(np.append(first, len(items)))
+            weight = np.cumsum([len(sets[x]) for x in others])
+            at = 0
+            while at < len(others):  # about MEET shingles at a time
+                to = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + MEET // len(queries), "right")))
+                own = others[at:to]
+                at = to
+                told = np.concatenate([sets[x] for x in own])
+                near = np.minimum(np.searchsorted(known, told), len(known) - 1)
+                same = np.flatnonzero(known[near] == told)
+                near = near[same]
+                teller = np.repeat(np.arange(len(own)), [len(sets[x]) for x in own])[same]
+                cell = np.repeat(teller, times[near]) * len(queries) + owner[scan.ranges(first[near], times[near])]
+                both = np.bincount(cell, minlength=len(own) * len(queries)).reshape(len(own), -1)
+                total = size[None, :] + np.array([len(sets[x]) for x in own])[:, None] - both
+                good = (both > 0) & (100 * both >= percent * total) & (c[own][:, None] != c[queries][None, :])
+                for i, j in zip(*np.nonzero(good)):
+                    x, y = own[i], queries[j]
                     links.setdefault((int(node[y]), int(c[x])), (int(min(node[y], node[x])), int(max(node[y], node[x]))))
         found = sorted(set(links.values()))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return blocks(rows, SETS).groupBy("hub", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    return wire.runs_of(blocks(rows, SETS), ["hub", "i", "j"], meet, "a long, b long").distinct()
 
 
 def settle(

@@ -18,6 +18,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,6 +28,8 @@ from . import graph, scan, wire
 U = np.uint64
 ROWS, BANDS = 4, 12
 SHINGLE = 8
+#: Bytes of lines that one vectorised pass works on, which a core's cache holds.
+PASS = 1 << 17
 SCHEMA = "doc_id long, n_lines long, n_removed long, removed array<int>, kept_text string"
 
 
@@ -59,16 +62,6 @@ class Lines:
         self.distinct = list(known)
 
 
-def shingles(lines: list[bytes]) -> Iterable[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, after last, line numbers, shingles) of passes over lines; a shingle's eight bytes, mixed, are its number."""
-    data = np.frombuffer(b"".join(lines), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
-    for i, j, part, off in scan.passes(data, offsets):
-        at = scan.window_starts(off, SHINGLE)
-        n = np.maximum(np.diff(off) - SHINGLE + 1, 0)
-        yield i, j, np.repeat(np.arange(j - i), n), scan.mix(scan.loads(part)[at])
-
-
 def line_digests(lines: list[bytes]) -> np.ndarray:
     """Cryptographic digests of whole lines, of two 64-bit numbers each."""
     return np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in lines]), np.uint64).reshape(-1, 2)
@@ -81,15 +74,24 @@ def band_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """
     bins = ROWS * BANDS
     keys, owners = [], []
-    for i, j, line, print_ in shingles(lines):
-        if not len(print_):
+    data = np.frombuffer(b"".join(lines), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
+    for i, j, part, off in scan.passes(data, offsets, PASS):
+        n = len(part) - SHINGLE + 1
+        if n <= 0:
             continue
-        slot = line.astype(np.uint64) * U(bins) + ((print_ >> U(32)) * U(bins) >> U(32))
-        packed = np.sort((slot << U(32)) | (print_ & U(0xFFFFFFFF)))
+        # A shingle's hash times the number of parts: its part, and its place there, which the smallest wins.
+        packed = (scan.mix(scan.loads(part)[:n]) >> U(32)) * U(bins)
+        line = np.repeat(np.arange(j - i, dtype=np.uint64) * U(bins << 32), np.diff(off))[:n]
+        cross = (off[1:-1, None] - np.arange(1, SHINGLE)).ravel()
+        line[cross[(cross >= 0) & (cross < n)]] = U((j - i) * bins << 32)
+        packed += line
+        packed.sort()
         slot = packed >> U(32)
-        first = np.flatnonzero(np.diff(slot, prepend=slot[0] + U(1)))
-        table = np.full((j - i) * bins, -1, np.int64)
+        first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        table = np.full((j - i + 1) * bins, -1, np.int64)
         table[slot[first].astype(np.int64)] = (packed[first] & U(0xFFFFFFFF)).astype(np.int64)
+        table = table[: (j - i) * bins]
         table = table.reshape(j - i, bins)
         live = np.flatnonzero((table >= 0).any(1))
         table = table[live]
@@ -143,19 +145,29 @@ def meet(chunks: int):
 
 
 def set_list(lines: pa.Array) -> list[np.ndarray]:
-    own: list[np.ndarray] = []
-    for i, j, line, print_ in shingles(lines.to_pylist()):
-        own += [np.unique(x) for x in np.split(print_, np.searchsorted(line, np.arange(1, j - i)))]
-    return own
+    return [true_set(x) for x in lines.to_pylist()]
+
+
+def true_set(line: bytes) -> np.ndarray:
+    """Distinct shingles as sorted numbers of their eight bytes."""
+    x = np.sort(scan.loads(np.frombuffer(line, np.uint8))[: max(0, len(line) - SHINGLE + 1)])
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 def exactly(percent: int):
+    """Keeps (a, b) rows whose lines ta and tb have so similar sets of shingles."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for p, q in zip(set_list(b.column("ta")), set_list(b.column("tb"))):
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
+            b = b.take(pc.sort_indices(b.column("a")))
+            last, p, good = None, np.zeros(0, np.uint64), []
+            for a, ta, tb in zip(b.column("a").to_pylist(), b.column("ta"), b.column("tb")):
+                if a != last:
+                    last, p = a, true_set(ta.as_py())
+                q = true_set(tb.as_py())
+                x = np.sort(np.concatenate([p, q]))
+                both = int(np.count_nonzero(x[1:] == x[:-1]))
+                good.append(100 * both >= percent * (len(x) - both))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -172,7 +184,7 @@ def dedup(docs: DataFrame, percent: int = 80, least: int = 20, carry: bool = Fal
     """
     least = 0 if whole else max(least, SHINGLE)
     chunks = wire.pieces(docs)
-    dealt = wire.chunked(docs, chunks, carry).repartition(chunks, "chunk")
+    dealt = wire.dealt_table(docs, chunks, carry)
 
     def sign(chunk: int, ids: np.ndarray, texts: pa.Array) -> pa.Table:
         own = Lines(ids, texts, least).distinct

@@ -21,6 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,12 +155,12 @@ def exactly(k: int, percent: int):
     """Keeps (a, b) rows whose texts ta and tb have 100 * intersection >= percent * union, of true words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        last, p = None, set()
         for b in batches:
-            good = []
-            for ta, tb in zip(b.column("ta"), b.column("tb")):
-                if last is None or ta != last:
-                    last, p = ta, true_set(ta.as_py(), k)
+            b = b.take(pc.sort_indices(b.column("a")))
+            last, p, good = None, set(), []
+            for a, ta, tb in zip(b.column("a").to_pylist(), b.column("ta"), b.column("tb")):
+                if a != last:
+                    last, p = a, true_set(ta.as_py(), k)
                 q = true_set(tb.as_py(), k)
                 both = len(p & q)
                 good.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
@@ -231,7 +232,7 @@ def labelled(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     buckets = wire.cut(buckets.join(often, F.col("key") == F.col("k"), "left_semi"))
     marks = classes.select(F.col("node").alias("k_"), "signature")
     least = least_matches(percent / 100, ROWS * BANDS // BATCH, MISS)
-    dealt = wire.chunked(rows, chunks).repartition(chunks, "chunk")
+    dealt = wire.dealt_table(rows, chunks)
 
     def verify(pairs: DataFrame) -> DataFrame:
         near = pairs.join(marks, F.col("b") == F.col("k_")).select("a", "b", F.col("signature").alias("sb"))

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: Input bytes, as Spark estimates them, for each chunk and each bucket.
 CHUNK_BYTES = 3 << 20
+#: As many buckets as a table may have by default.
+MOST_BUCKETS = 100_000
 CELL = "chunk int, bucket int, body binary"
 BODIES = "chunk int, body binary"
 
@@ -51,20 +53,19 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: lineage ends here and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """The frame written as a table in the shared folder, and its path, for tables that are discarded before the end."""
+    """The frame written as a table in the shared folder, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back: lineage ends here and survives lost executors."""
+    return stored(df)[0]
+
+
 def discard(spark: SparkSession, path: str) -> None:
     to = spark._jvm.org.apache.hadoop.fs.Path(path)
     to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
@@ -127,6 +128,15 @@ def chunked(docs: DataFrame, chunks: int, carry: bool = False) -> DataFrame:
     return tagged.mapInArrow(deal, BODIES)
 
 
+def dealt_table(docs: DataFrame, chunks: int, carry: bool = False) -> DataFrame:
+    """Chunks of documents as a bucketed table in the shared folder, which several jobs read without a shuffle."""
+    spark = docs.sparkSession
+    name = f"chunks_{uuid.uuid4().hex}"
+    rows = chunked(docs, chunks, carry).repartition(chunks, "chunk")
+    rows.write.bucketBy(min(chunks, MOST_BUCKETS), "chunk").option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
+    return spark.table(name)
+
+
 def chunk_table(bodies: pa.ChunkedArray) -> pa.Table:
     """A chunk's rows in a fixed order: by id, then text."""
     t = pa.concat_tables([unseal(b.as_py()) for b in bodies])
@@ -212,6 +222,33 @@ def each_bucket(sent: DataFrame, f: Callable[[list[list[np.ndarray]]], list[np.n
     return sent.groupBy("bucket").applyInArrow(run, CELL)
 
 
+def runs_of(rows: DataFrame, keys: list[str], f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """f of all rows of each value of the keys, like a grouped map but without its cost for each small group."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [np.asarray(b.column(k)) for k in keys]
+            new = np.zeros(b.num_rows, bool)
+            for c in cols:
+                new[1:] |= c[1:] != c[:-1]
+            starts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+            for s, e in zip(starts, starts[1:]):
+                own = tuple(int(c[s]) for c in cols)
+                if held and own != last:
+                    yield from f(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                last = own
+                held.append(b.slice(s, e - s))
+        if held:
+            yield from f(pa.Table.from_batches(held)).to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def by_cell(bucket: np.ndarray, got: dict[int, bytes]) -> np.ndarray:
     """Answers of bits, put together again for entries sorted by bucket."""
     out = np.zeros(len(bucket), bool)
