@@ -265,3 +265,21 @@ def test_pipeline(spark, tmp_path, docs):
     assert sizes.filter(F.length("text") != F.col("n_chars")).count() == 0 and sizes.count() == docs.count()
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert 0 < len(out) < docs.count() and not any(r["size"] == 2 and r["doc_id"] % 3 for r in out)
+
+
+def thue_morse(n: int, swap: bool = False) -> str:
+    """A string and, swapped, its complement, which sums of powers modulo 2**64 can't tell apart."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("most", [decontam.BROADCAST_BYTES, 0])
+def test_decontamination_verifies_words_and_decides_by_row(spark, most):
+    a, b = thue_morse(1024), thue_morse(1024, True)
+    rows = [(1, a), (2, b), (5, "x " + a), (5, "a clean text"), (None, a), (None, "clean"), (7, None), (8, a + " " + "y" * (1 << 20))]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, items string")
+    bench = spark.createDataFrame([(1, a), (None, "clean"), (2, "one, two;"), (3, a)], "item_id long, text string").selectExpr("concat(item_id, ',;') as item_id", "text")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontam.find(docs, bench, 10, most).collect())
+    both = ("1,;", "3,;")
+    assert got == sorted([(1, 1, 1, both), (2, 1, 0, ()), (5, 2, 1, both), (5, 3, 0, ()), (0, 1, 1, both), (0, 1, 0, ()), (7, 0, 0, ()), (8, 2, 1, both)])
+    kept = sorted((r["doc_id"] or 0, r["text"] or "", r["items"]) for r in decontam.keep(docs, bench, 10, most).collect())
+    assert kept == [(0, "clean", "k"), (2, b, "k"), (5, "a clean text", "k"), (7, "", "k")]
