@@ -131,13 +131,17 @@ class Runs:
         return wire.cells(chunk, self.bucket, (v >> U(8)).astype(np.uint32), (v & U(0xFF)).astype(np.uint8), wire.narrow(self.times))
 
 
-def count_anchors(cells: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+def count_anchors(most: int):
     """For each anchor of each cell two bits: it occurs twice or more; it is hot."""
-    key = np.concatenate([hi.astype(np.uint64) << U(8) | lo for hi, lo, _ in cells])
-    _, inverse = np.unique(key, return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([n for _, _, n in cells]))[inverse]
-    cuts = np.cumsum([len(hi) for hi, _, _ in cells])[:-1]
-    return [[np.packbits(x > 1), np.packbits(x > HOT)] for x in np.split(total, cuts)]
+
+    def run(cells: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+        key = np.concatenate([hi.astype(np.uint64) << U(8) | lo for hi, lo, _ in cells])
+        _, inverse = np.unique(key, return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([n for _, _, n in cells]))[inverse]
+        cuts = np.cumsum([len(hi) for hi, _, _ in cells])[:-1]
+        return [[np.packbits(x > 1), np.packbits(x > most)] for x in np.split(total, cuts)]
+
+    return run
 
 
 class Contexts:
@@ -270,7 +274,7 @@ def solve_bucket(length: int, buckets: int):
     return run
 
 
-def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
     """Each document without the bytes covered by a string of ``length`` bytes that also starts elsewhere.
 
     Returns one row for each input row: doc_id, n_bytes, n_removed, spans (start, end, ... of the
@@ -282,7 +286,7 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     def seeds(chunk: int, ids: np.ndarray, texts: pa.Array) -> pa.Table:
         return Runs(ids, texts, length, parts).cells(chunk)
 
-    first = wire.each_bucket(wire.each_chunk(dealt, seeds, wire.CELL), count_anchors)
+    first = wire.each_bucket(wire.each_chunk(dealt, seeds, wire.CELL), count_anchors(hot))
 
     def contexts(chunk: int, ids: np.ndarray, texts: pa.Array, got: dict[int, bytes]) -> pa.Table:
         return Contexts(Runs(ids, texts, length, parts), got).cells(chunk)

@@ -46,14 +46,15 @@ def test_exact_keeps_one_of_repeated_rows(odd, nothing):
     assert exact.groups(nothing).count() == 0
 
 
-def test_substring(docs, texts):
+@pytest.mark.parametrize("hot", [substring.HOT, 1])
+def test_substring(docs, texts, hot):
     length = 13
     first: dict = {}
     words = {d: WORD.findall(t or "") for d, t in texts.items()}
     for d in sorted(words):
         for i in range(len(words[d]) - length + 1):
             first.setdefault(tuple(words[d][i : i + length]), d)
-    got = {r["doc_id"]: r for r in substring.dedup(docs, length).collect()}
+    got = {r["doc_id"]: r for r in substring.dedup(docs, length, hot).collect()}
     removed = 0
     for d, w in words.items():
         hit = [False] * len(w)
@@ -88,10 +89,9 @@ def repeated_bytes(texts, length):
 
 
 @pytest.mark.parametrize("hot", [suffix.HOT, 1])
-def test_suffix(docs, texts, hot, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT", hot)
+def test_suffix(docs, texts, hot):
     raw, hits = repeated_bytes(texts, 60)
-    got = {r["doc_id"]: r for r in suffix.dedup(docs, 60).collect()}
+    got = {r["doc_id"]: r for r in suffix.dedup(docs, 60, hot).collect()}
     assert sum(map(sum, hits.values())) > 5000
     for d, b in raw.items():
         assert bytes(got[d]["kept"]) == bytes(x for x, h in zip(b, hits[d]) if not h)
@@ -241,3 +241,40 @@ def test_line_edges(odd, nothing):
     rows = lines.dedup(odd).collect()
     assert len(rows) == 5 and sum(r["n_removed"] for r in rows) == 1
     assert lines.dedup(nothing).count() == 0
+
+
+def thue_morse(n, swap=False):
+    """A string and, swapped, its complement, which sums of powers modulo 2**64 can't tell apart."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_strings_that_sums_of_powers_confuse(spark):
+    a, b = thue_morse(1024), thue_morse(1024, True)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    w = " ".join(f"w{i}" for i in range(12))
+    assert {r["component_id"] for r in near.find(frame([(1, a), (2, b)]), 2).collect()} == {1, 2}
+    assert [r["n_removed"] for r in substring.dedup(frame([(1, f"{w} {a}"), (2, f"{w} {b}")])).collect()] == [0, 0]
+    _, hits = repeated_bytes({1: a, 2: b}, 400)
+    assert {r["doc_id"]: r["n_removed"] for r in suffix.dedup(frame([(1, a), (2, b)]), 400).collect()} == {d: sum(h) for d, h in hits.items()}
+    # As lines the two have the same shingles of eight bytes, so they are near copies; with unlike ends they are still no equal lines.
+    assert lines.line_digests([a.encode(), b.encode()]).tolist()[0] != lines.line_digests([b.encode()]).tolist()[0]
+    assert len(lines.true_set(a.encode())) == len({a[i : i + 8] for i in range(1017)}) and (lines.true_set(a.encode()) == lines.true_set(b.encode())).all()
+
+
+def test_very_long_words_and_texts(spark):
+    word = "xyz" * 400_000
+    rows = [(1, f"{word} one two three"), (2, f"{word} one two three"), (3, f"{word}q one two three"), (4, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near.find(df, 2).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r["doc_id"]: r["n_removed"] for r in substring.dedup(df, 3).collect()} == {1: 0, 2: 4, 3: 3, 4: 0}
+    assert {r["doc_id"]: r["n_removed"] for r in lines.dedup(df, whole=True).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+    assert {r["doc_id"]: r["group_size"] for r in exact.groups(df).collect()} == {1: 2, 2: 2, 3: 1, 4: 1}
+
+
+def test_near_keep_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "a b c d e f g", 1), (None, "a b c d e f g", 2), (None, "h i j k l m n", 3), (None, None, 4), (7, text, 5), (7, text, 6), (8, text + " end", 7), (9, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    got = near.keep(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == sorted([(0, "a b c d e f g"), (0, "h i j k l m n"), (0, ""), (7, text), (9, "")])
