@@ -4,11 +4,14 @@ Every token is predicted from ``SIDE`` tokens on either side.  Tokens are lower-
 ``FREQUENT`` commonest words of the whole corpus are tokens of their own and all others fall into
 classes by a hash, ``CLASSES`` of them in a small corpus and twice as many for each four times the
 distinct words.  A word's probability is that of its class, by the network, times its share of all
-words of that class, from counts of every word of the corpus that meet in buckets.  Training is data-parallel: in each round every partition starts from
-the same weights, passes over a share of its own windows, in shuffled order, and sends its weights, which are
-averaged by the tokens they saw in two levels.  The rounds' shares are disjoint and together all
-windows.  So what is gathered, word counts and weights, grows
-with the corpus, while what one task or the driver holds does not.
+words of that class, from counts of every word of the corpus that meet in buckets.
+
+Documents are dealt into chunks by their id and turned into token numbers once.  Training is
+data-parallel over chunks: in each round every chunk starts from the same weights, passes over its
+windows of the round in an order drawn from (round, chunk), and sends its weights, which are averaged by
+the tokens they saw in a tree of sums of ``FAN`` each.  The rounds' windows are disjoint and together
+all windows.  So scores depend on the documents and the number of chunks alone, not on partitions
+or machines; what is gathered grows with the corpus, while what one task or the driver holds does not.
 
 A document's score is the sum of its tokens' conditional log-probabilities.  A null text or one
 without words has no tokens, score 0 and a null mean.
@@ -16,11 +19,10 @@ without words has no tokens, score 0 and a null mean.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +32,15 @@ U = np.uint64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 FREQUENT, CLASSES = 191, 64
 VOCAB = 1 + FREQUENT + CLASSES  # 0 stands outside of a document; the symbols of a small corpus
-ROUNDS, STEP, BATCH = 3, 2e-3, 256
+ROUNDS, STEP, BATCH = 3, 2e-3, 512
 SHARE = 1 / ROUNDS
 FAN = 64
 SCHEMA = "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
 
 
 def shapes(vocab: int = VOCAB) -> dict[str, tuple[int, ...]]:
-    return {"embed": (vocab, WIDTH), "hidden": (2 * SIDE * WIDTH, HIDDEN), "shift": (HIDDEN,), "out": (HIDDEN, vocab), "bias": (vocab,)}
+    """Of the weights; the last row of ``hidden`` and ``out`` is the bias."""
+    return {"embed": (vocab, WIDTH), "hidden": (2 * SIDE * WIDTH + 1, HIDDEN), "out": (HIDDEN + 1, vocab)}
 
 
 def classes_for(distinct: int) -> int:
@@ -128,50 +131,62 @@ def taught(by_doc: np.ndarray, r: int, rounds: int, share: float) -> np.ndarray:
 
 def start_weights(seed: int = 3, vocab: int = VOCAB) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
-    return {k: (r.normal(0, 0.1 if k == "embed" else s[0] ** -0.5, s) if len(s) == 2 else np.zeros(s)).astype(np.float32) for k, s in shapes(vocab).items()}
+    w = {k: r.normal(0, 0.1 if k == "embed" else s[0] ** -0.5, s).astype(np.float32) for k, s in shapes(vocab).items()}
+    w["hidden"][-1], w["out"][-1] = 0, 0
+    return w
 
 
 def forward(w: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = w["embed"][around].reshape(len(around), -1)
-    h = np.tanh(x @ w["hidden"] + w["shift"])
-    return x, h, h @ w["out"] + w["bias"]
+    """Inputs and hidden units, each with a last column of ones, and the symbols' logits."""
+    n, kind = len(around), w["embed"].dtype
+    x, h = np.ones((n, len(w["hidden"])), kind), np.ones((n, HIDDEN + 1), kind)
+    x[:, :-1] = w["embed"][around].reshape(n, -1)
+    np.tanh(x @ w["hidden"], out=h[:, :-1])
+    return x, h, h @ w["out"]
+
+
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z - shift) in place of z; its sums by row, and the shift, which is only made where it is needed."""
+    shift = np.zeros(len(z), z.dtype)
+    if len(z) and (z.max() > 60 or z[:, 0].min() < -60):
+        shift = z.max(1)
+        z -= shift[:, None]
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype), shift
 
 
 def log_probabilities(w: dict[str, np.ndarray], around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     _, _, z = forward(w, around)
-    top = z.max(1)
     own = z[np.arange(len(z)), tokens]
-    z -= top[:, None]
-    np.exp(z, out=z)
-    return own - top - np.log(z.sum(1))
+    total, shift = exponentials(z)
+    return own - shift - np.log(total)
 
 
 def gradients(w: dict[str, np.ndarray], around: np.ndarray, tokens: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log-probability."""
-    x, h, z = forward(w, around)
-    z -= z.max(1)[:, None]
-    p = np.exp(z, out=z)
-    p *= (1 / (len(p) * p.sum(1)))[:, None]
-    p[np.arange(len(p)), tokens] -= 1 / len(p)
-    dh = (p @ w["out"].T) * (1 - h * h)
+    x, h, p = forward(w, around)
+    total, _ = exponentials(p)
+    p[np.arange(len(p)), tokens] -= total
+    scale = (1 / (len(p) * total))[:, None]
+    own = h[:, :-1]
+    dh = (p @ w["out"][:-1].T) * scale * (1 - own * own)
     at = around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-    embed = np.bincount(at.ravel(), (dh @ w["hidden"].T).ravel(), w["embed"].size).reshape(-1, WIDTH).astype(w["embed"].dtype)
-    return {"embed": embed, "hidden": x.T @ dh, "shift": dh.sum(0), "out": h.T @ p, "bias": p.sum(0)}
+    embed = np.bincount(at.ravel(), (dh @ w["hidden"][:-1].T).ravel(), w["embed"].size).reshape(-1, WIDTH).astype(w["embed"].dtype)
+    return {"embed": embed, "hidden": x.T @ dh, "out": (h * scale).T @ p}
 
 
 class Adam:
     def __init__(self, w: dict[str, np.ndarray]):
-        self.w = {k: v.copy() for k, v in w.items()}
-        self.m = {k: np.zeros_like(v) for k, v in w.items()}
-        self.v = {k: np.zeros_like(v) for k, v in w.items()}
-        self.t = 0
+        self.x = flat(w)
+        self.w = shaped(self.x, len(w["embed"]))
+        self.m, self.v, self.t = np.zeros_like(self.x), np.zeros_like(self.x), 0
 
     def step(self, around: np.ndarray, tokens: np.ndarray) -> None:
         self.t += 1
-        for k, g in gradients(self.w, around, tokens).items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
-            self.w[k] -= STEP * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
+        g = flat(gradients(self.w, around, tokens))
+        self.m += 0.1 * (g - self.m)
+        self.v += 0.001 * (g * g - self.v)
+        self.x -= STEP / (1 - 0.9**self.t) * self.m / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -179,52 +194,79 @@ def flat(w: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def shaped(x: np.ndarray, vocab: int = VOCAB) -> dict[str, np.ndarray]:
+    """The weights as views of one vector."""
     out, at = {}, 0
     for k, s in shapes(vocab).items():
         n = int(np.prod(s))
-        out[k] = x[at : at + n].reshape(s).astype(np.float32)
+        out[k] = x[at : at + n].reshape(s)
         at += n
     return out
 
 
-def batches_of(batches: Iterable[pa.RecordBatch], words: Vocabulary) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
-    for b in batches:
-        data, offsets = scan.column_bytes(b.column("text"))
-        for i, j, part, off in scan.passes(data, offsets):
-            prints, by_doc = word_prints(part, off)
-            yield b, i, j, words.tokens(prints), by_doc
+class Chunk:
+    """A chunk's documents as numbers: ids, words of each, tokens, and which rare word each rare token is."""
+
+    def __init__(self, body: bytes):
+        self.ids, n, self.tokens, self.rare, self.words = wire.unpack(pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True))
+        self.tokens = self.tokens.astype(np.int64)
+        self.by_doc = np.concatenate([[0], np.cumsum(n.astype(np.int64))])
+
+    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rare words in order of their buckets, and the buckets."""
+        bucket = (scan.mix(self.words) % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order]
+
+
+def numbered(dealt: DataFrame, vocabulary) -> DataFrame:
+    """(chunk, body) of chunks of texts as Chunk reads them."""
+
+    def run(chunk: int, ids: np.ndarray, texts: pa.Array) -> pa.Table:
+        prints, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, _, part, off in scan.passes(*scan.column_bytes(texts)):
+            p, by_doc = word_prints(part, off)
+            prints.append(p), n.append(np.diff(by_doc))
+        prints = np.concatenate(prints)
+        tokens = vocabulary.value.tokens(prints)
+        words, rare = np.unique(prints[tokens > FREQUENT], return_inverse=True)
+        body = wire.pack(ids, wire.narrow(np.concatenate(n)), wire.narrow(tokens), wire.narrow(rare), words)
+        return pa.table({"chunk": pa.array([chunk], pa.int32()), "body": pa.array([len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)], pa.binary())})
+
+    return wire.each_chunk(dealt, run, wire.BODIES)
+
+
+SUMS = "place int, seen long, body binary"
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, share: float = SHARE) -> dict[str, np.ndarray]:
-    texts = wire.ids_and_texts(docs).select("text")
-    w = start_weights(vocab=vocabulary.symbols)
+def train(numbers: DataFrame, chunks: int, symbols: int, rounds: int = ROUNDS, share: float = SHARE) -> dict[str, np.ndarray]:
+    """The weights after all rounds over a table of numbered chunks."""
+    w = start_weights(vocab=symbols)
     for r in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((vocabulary, w))
+        shared = numbers.sparkSession.sparkContext.broadcast(w)
 
         def learn(batches: Iterable[pa.RecordBatch], r: int = r, shared=shared) -> Iterable[pa.RecordBatch]:
-            vocabulary, w = shared.value
-            part = TaskContext.get().partitionId()
-            rng, own, seen = np.random.default_rng([r, part]), Adam(w), 0
-            for _, _, _, tokens, by_doc in batches_of(batches, vocabulary):
-                around = windows(tokens, by_doc)
-                pick = taught(by_doc, r, rounds, share)
-                rng.shuffle(pick)
-                for s in range(0, len(pick), BATCH):
-                    own.step(around[pick[s : s + BATCH]], tokens[pick[s : s + BATCH]])
-                seen += len(pick)
-            if seen:
-                yield pa.record_batch({"salt": pa.array([part % FAN], pa.int32()), "seen": pa.array([seen], pa.int64()), "body": pa.array([(flat(own.w).astype(np.float64) * seen).astype(np.float32).tobytes()], pa.binary())})
+            for b in batches:
+                for chunk, body in zip(b.column("chunk").to_pylist(), b.column("body")):
+                    c = Chunk(body.as_py())
+                    own, pick = Adam(shared.value), taught(c.by_doc, r, rounds, share)
+                    around = windows(c.tokens, c.by_doc)
+                    np.random.default_rng([r, chunk]).shuffle(pick)
+                    for s in range(0, len(pick), BATCH):
+                        own.step(around[pick[s : s + BATCH]], c.tokens[pick[s : s + BATCH]])
+                    if len(pick):
+                        yield pa.record_batch({"place": pa.array([chunk], pa.int32()), "seen": pa.array([len(pick)], pa.int64()), "body": pa.array([(own.x.astype(np.float64) * len(pick)).tobytes()], pa.binary())})
 
         def add(t: pa.Table) -> pa.Table:
-            total = 0.0
-            for x in t.column("body"):
-                total = total + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
-            return pa.table({"salt": t.column("salt").slice(0, 1), "seen": pa.array([sum(t.column("seen").to_pylist())], pa.int64()), "body": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-        sums = texts.mapInArrow(learn, "salt int, seen long, body binary").groupBy("salt").applyInArrow(add, "salt int, seen long, body binary").collect()
-        if not sums:
+            total = sum(np.frombuffer(x.as_buffer()) for x in t.sort_by("place").column("body"))
+            return pa.table({"place": pa.array([t.column("place")[0].as_py() // FAN], pa.int32()), "seen": pa.array([sum(t.column("seen").to_pylist())], pa.int64()), "body": pa.array([total.tobytes()], pa.binary())})
+
+        sums, left = numbers.mapInArrow(learn, SUMS), chunks
+        while left > 1:
+            sums, left = sums.groupBy((F.col("place") / FAN).cast("int").alias("up")).applyInArrow(add, SUMS), -(-left // FAN)
+        rows = sums.collect()
+        if not rows:
             break
-        w = shaped(sum(np.frombuffer(x["body"], np.float32).astype(np.float64) for x in sums) / sum(x["seen"] for x in sums), vocabulary.symbols)
+        w = shaped((np.frombuffer(rows[0]["body"]) / rows[0]["seen"]).astype(np.float32), symbols)
     return w
 
 
@@ -234,56 +276,50 @@ def score(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> DataFr
     ``share`` of all windows of the corpus train the network in each of ``rounds`` rounds, and every
     window does in at least one.
     """
-    vocabulary = vocabulary_of(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, train(docs, vocabulary, rounds, share)))
-    chunks = wire.pieces(docs)
-    dealt = wire.chunked(docs, chunks).repartition(chunks, "chunk")
+    return fitted(docs, rounds, share)[0]
 
-    def rare_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct words that are no token of their own, by bucket, with their numbers in a chunk and buckets."""
-        held = []
-        for _, _, part, off in scan.passes(*scan.column_bytes(texts)):
-            prints, _ = word_prints(part, off)
-            held.append(np.unique(prints, return_counts=True))
-        v, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in held)]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([np.zeros(0), *(x[1] for x in held)]), len(v)).astype(np.int64)
-        rare = shared.value[0].tokens(v) > FREQUENT
-        v, n = v[rare], n[rare]
-        bucket = (scan.mix(v) % U(chunks)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return v[order], n[order], bucket[order]
 
-    def send(chunk: int, ids: np.ndarray, texts: pa.Array) -> pa.Table:
-        v, n, bucket = rare_words(texts)
-        return wire.cells(chunk, bucket, v, wire.narrow(n))
+def fitted(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> tuple[DataFrame, Vocabulary, dict[str, np.ndarray]]:
+    """The scores, the vocabulary and the network's weights."""
+    context = docs.sparkSession.sparkContext
+    chunks = wire.pieces(docs)
+    vocabulary = vocabulary_of(docs)
+    numbers = wire.cut(numbered(wire.chunked(docs, chunks).repartition(chunks, "chunk"), context.broadcast(vocabulary)))
+    w = train(numbers, chunks, vocabulary.symbols, rounds, share)
+    shared = context.broadcast((vocabulary, w))
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            for chunk, body in zip(b.column("chunk").to_pylist(), b.column("body")):
+                c = Chunk(body.as_py())
+                order, bucket = c.by_bucket(chunks)
+                n = np.bincount(c.rare, minlength=len(c.words))
+                yield from wire.cells(chunk, bucket, c.words[order], wire.narrow(n[order])).to_batches()
 
     def add(cells: list[list[np.ndarray]]) -> list[np.ndarray]:
         v, inverse = np.unique(np.concatenate([x[0] for x in cells]), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([x[1] for x in cells]), len(v)).astype(np.int64)[inverse]
         return [wire.narrow(x) for x in np.split(total, np.cumsum([len(x[0]) for x in cells])[:-1])]
 
-    def run(chunk: int, ids: np.ndarray, texts: pa.Array, got: dict[int, bytes]) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         vocabulary, w = shared.value
-        v, _, bucket = rare_words(texts)
-        share = np.concatenate([np.zeros(0), *(wire.unpack(got[b])[0] for b in np.unique(bucket).tolist())])
-        share = np.log(share / vocabulary.sizes[(v & U(vocabulary.classes - 1)).astype(np.int64)])
-        order = np.argsort(v)
-        v, share = v[order], share[order]
-        sums, counts = [], []
-        for _, _, part, off in scan.passes(*scan.column_bytes(texts)):
-            prints, by_doc = word_prints(part, off)
-            tokens = vocabulary.tokens(prints)
-            around = windows(tokens, by_doc)
-            own = np.zeros(len(tokens) + 1)
-            for s in range(0, len(tokens), 2048):
-                own[s + 1 : s + 2049] = log_probabilities(w, around[s : s + 2048], tokens[s : s + 2048])
-            rare = np.flatnonzero(tokens > FREQUENT)
-            own[rare + 1] += share[np.searchsorted(v, prints[rare])]
-            own = np.cumsum(own)
-            sums.append(own[by_doc[1:]] - own[by_doc[:-1]])
-            counts.append(np.diff(by_doc))
-        total, n = np.concatenate(sums), np.concatenate(counts).astype(np.int64)
-        return pa.table({"doc_id": pa.array(ids), "n_tokens": pa.array(n), "log_likelihood": pa.array(total), "mean_log_likelihood": pa.array(total / np.maximum(n, 1), mask=n == 0)})
-
-    answers = wire.each_bucket(wire.each_chunk(dealt, send, wire.CELL), add)
-    return wire.each_chunk_with(dealt, answers, run, SCHEMA).withColumn("doc_id", wire.real_id())
+        if not left.num_rows:
+            return wire.empty(SCHEMA)
+        got = dict(zip(right.column("bucket").to_pylist(), right.column("body").to_pylist()))
+        c = Chunk(left.column("body")[0].as_py())
+        order, bucket = c.by_bucket(chunks)
+        part = np.zeros(len(order))
+        part[order] = np.concatenate([np.zeros(0), *(wire.unpack(got[b])[0] for b in np.unique(bucket).tolist())])
+        part = np.log(part / vocabulary.sizes[(c.words & U(vocabulary.classes - 1)).astype(np.int64)])
+        around = windows(c.tokens, c.by_doc)
+        own = np.zeros(len(c.tokens) + 1)
+        for s in range(0, len(c.tokens), BATCH):
+            own[s + 1 : s + 1 + BATCH] = log_probabilities(w, around[s : s + BATCH], c.tokens[s : s + BATCH])
+        own[np.flatnonzero(c.tokens > FREQUENT) + 1] += part[c.rare]
+        sums = np.cumsum(own)
+        total, n = sums[c.by_doc[1:]] - sums[c.by_doc[:-1]], np.diff(c.by_doc)
+        return pa.table({"doc_id": pa.array(c.ids), "n_tokens": pa.array(n), "log_likelihood": pa.array(total), "mean_log_likelihood": pa.array(total / np.maximum(n, 1), mask=n == 0)})
+
+    answers = wire.each_bucket(numbers.mapInArrow(send, wire.CELL), add)
+    scores = numbers.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, SCHEMA).withColumn("doc_id", wire.real_id())
+    return scores, vocabulary, w

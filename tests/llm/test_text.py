@@ -170,7 +170,7 @@ def test_lm_scores_words_not_classes(spark):
 
 def test_lm_classes_grow():
     assert [lm.classes_for(n) for n in (0, 1 << 17, 1 << 19, 1 << 23)] == [64, 64, 128, 512]
-    assert lm.shaped(lm.flat(lm.start_weights(vocab=320)), 320)["out"].shape == (lm.HIDDEN, 320)
+    assert lm.shaped(lm.flat(lm.start_weights(vocab=320)), 320)["out"].shape == (lm.HIDDEN + 1, 320)
 
 
 @pytest.mark.parametrize("rounds, share, times", [(3, lm.SHARE, 1), (3, 1.0, 3), (4, 0.5, 2), (3, 0.1, 1), (1, lm.SHARE, 1)])
@@ -188,6 +188,44 @@ def test_lm_prefers_text_in_order_as_registered(spark):
     assert s[s.index < 1000].mean_log_likelihood.min() > s[s.index >= 1000].mean_log_likelihood.max()
 
 
+def test_lm_against_a_loop_over_tokens(spark, docs, texts):
+    """Every token's log-probability by hand, from the weights, the counts and the tokens on both sides."""
+    scores, vocabulary, w = lm.fitted(docs)
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) for d, t in texts.items()}
+    counts = defaultdict(int)
+    for own in words.values():
+        for x in own:
+            counts[x] += 1
+    of = {x: int(lm.word_prints(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[0][0]) for x in counts}
+    token = {x: int(vocabulary.tokens(np.array([p], np.uint64))[0]) for x, p in of.items()}
+    frequent = sorted(counts, key=lambda x: -counts[x])
+    assert all(token[x] <= lm.FREQUENT for x in frequent if counts[x] > counts[frequent[lm.FREQUENT]])
+    size = defaultdict(int)
+    for x, n in counts.items():
+        size[token[x]] += n
+
+    def log_probability(t, around):
+        x = [v for a in around for v in w["embed"][a].astype(float)] + [1.0]
+        h = [np.tanh(sum(a * b for a, b in zip(x, w["hidden"][:, j].astype(float)))) for j in range(lm.HIDDEN)] + [1.0]
+        z = [sum(a * b for a, b in zip(h, w["out"][:, k].astype(float))) for k in range(vocabulary.symbols)]
+        return z[t] - np.log(sum(np.exp(v) for v in z))
+
+    got = {r["doc_id"]: r for r in scores.collect()}
+    assert len(got) == len(texts)
+    for d in sorted(words)[:6] + [d for d in words if len(words[d]) < 3]:
+        own = [token[x] for x in words[d]]
+        want = 0.0
+        for i, x in enumerate(words[d]):
+            around = [own[i + k] if 0 <= i + k < len(own) else 0 for k in (-2, -1, 1, 2)]
+            want += log_probability(own[i], around) + (np.log(counts[x] / size[own[i]]) if own[i] > lm.FREQUENT else 0)
+        assert got[d]["n_tokens"] == len(own) and got[d]["log_likelihood"] == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_lm_scores_do_not_depend_on_partitions(docs):
+    one, two = ({(r["doc_id"], r["n_tokens"]): r["log_likelihood"] for r in lm.score(x).collect()} for x in (docs, docs.repartition(7)))
+    assert one == two
+
+
 def test_lm_edges(odd, nothing):
     rows = lm.score(odd, rounds=1).collect()
     assert len(rows) == 5 and [(r["n_tokens"], r["log_likelihood"], r["mean_log_likelihood"]) for r in rows if r["doc_id"] == 6] == [(0, 0.0, None)]
