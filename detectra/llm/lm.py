@@ -1,6 +1,7 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
-Every token is predicted from ``SIDE`` tokens on either side.  Tokens are lower-cased words; the
+Every token is predicted from ``SIDE`` tokens on either side, by a softmax in two steps: over groups of
+``GROUP`` symbols, and within the token's group.  Tokens are lower-cased words; the
 ``FREQUENT`` commonest words of the whole corpus are tokens of their own and all others fall into
 classes by a hash, ``CLASSES`` of them in a small corpus and twice as many for each four times the
 distinct words.  A word's probability is that of its class, by the network, times its share of all
@@ -32,15 +33,16 @@ U = np.uint64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 FREQUENT, CLASSES = 191, 64
 VOCAB = 1 + FREQUENT + CLASSES  # 0 stands outside of a document; the symbols of a small corpus
-ROUNDS, STEP, BATCH = 3, 2e-3, 512
+GROUP = 16
+ROUNDS, STEP, BATCH = 3, 3e-3, 512
 SHARE = 1 / ROUNDS
 FAN = 64
 SCHEMA = "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
 
 
 def shapes(vocab: int = VOCAB) -> dict[str, tuple[int, ...]]:
-    """Of the weights; the last row of ``hidden`` and ``out`` is the bias."""
-    return {"embed": (vocab, WIDTH), "hidden": (2 * SIDE * WIDTH + 1, HIDDEN), "out": (HIDDEN + 1, vocab)}
+    """Of the weights; the last row of ``hidden``, ``groups`` and each group's ``within`` is the bias."""
+    return {"embed": (vocab, WIDTH), "hidden": (2 * SIDE * WIDTH + 1, HIDDEN), "groups": (HIDDEN + 1, vocab // GROUP), "within": (vocab // GROUP, HIDDEN + 1, GROUP)}
 
 
 def classes_for(distinct: int) -> int:
@@ -131,48 +133,69 @@ def taught(by_doc: np.ndarray, r: int, rounds: int, share: float) -> np.ndarray:
 
 def start_weights(seed: int = 3, vocab: int = VOCAB) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
-    w = {k: r.normal(0, 0.1 if k == "embed" else s[0] ** -0.5, s).astype(np.float32) for k, s in shapes(vocab).items()}
-    w["hidden"][-1], w["out"][-1] = 0, 0
+    w = {k: r.normal(0, 0.1 if k == "embed" else HIDDEN**-0.5, s).astype(np.float32) for k, s in shapes(vocab).items()}
+    w["hidden"][-1], w["groups"][-1], w["within"][:, -1] = 0, 0, 0
     return w
 
 
-def forward(w: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs and hidden units, each with a last column of ones, and the symbols' logits."""
-    n, kind = len(around), w["embed"].dtype
-    x, h = np.ones((n, len(w["hidden"])), kind), np.ones((n, HIDDEN + 1), kind)
-    x[:, :-1] = w["embed"][around].reshape(n, -1)
-    np.tanh(x @ w["hidden"], out=h[:, :-1])
-    return x, h, h @ w["out"]
-
-
 def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp(z - shift) in place of z; its sums by row, and the shift, which is only made where it is needed."""
     shift = np.zeros(len(z), z.dtype)
-    if len(z) and (z.max() > 60 or z[:, 0].min() < -60):
+    if len(z) and (z.max() > 60 or z.min() < -60):
         shift = z.max(1)
         z -= shift[:, None]
     np.exp(z, out=z)
     return z @ np.ones(z.shape[1], z.dtype), shift
 
 
+class Pass:
+    """A batch through the network: inputs and hidden units, each with a last column of ones, and both softmax steps.
+
+    The second step's rows are in order of the tokens' groups.
+    """
+
+    def __init__(self, w: dict[str, np.ndarray], around: np.ndarray, tokens: np.ndarray):
+        n, kind = len(around), w["embed"].dtype
+        self.x, self.h = np.ones((n, len(w["hidden"])), kind), np.ones((n, HIDDEN + 1), kind)
+        self.x[:, :-1] = w["embed"][around].reshape(n, -1)
+        np.tanh(self.x @ w["hidden"], out=self.h[:, :-1])
+        self.group, row = tokens // GROUP, np.arange(n)
+        self.order = np.argsort(self.group, kind="stable")
+        ends = np.cumsum(np.bincount(self.group, minlength=len(w["within"]))).tolist()
+        self.parts = [(g, a, b) for g, a, b in zip(range(len(ends)), [0, *ends], ends) if b > a]
+        self.sorted, self.place = self.h[self.order], tokens[self.order] % GROUP
+        self.p, self.q = self.h @ w["groups"], np.empty((n, GROUP), kind)
+        for g, a, b in self.parts:
+            np.matmul(self.sorted[a:b], w["within"][g], out=self.q[a:b])
+        self.log_p, own = self.p[row, self.group], self.q[row, self.place]
+        self.p_sum, shift = exponentials(self.p)
+        self.log_p -= shift + np.log(self.p_sum)
+        self.q_sum, shift = exponentials(self.q)
+        self.log_p[self.order] += own - shift - np.log(self.q_sum)
+
+
 def log_probabilities(w: dict[str, np.ndarray], around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    _, _, z = forward(w, around)
-    own = z[np.arange(len(z)), tokens]
-    total, shift = exponentials(z)
-    return own - shift - np.log(total)
+    return Pass(w, around, tokens).log_p
 
 
 def gradients(w: dict[str, np.ndarray], around: np.ndarray, tokens: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log-probability."""
-    x, h, p = forward(w, around)
-    total, _ = exponentials(p)
-    p[np.arange(len(p)), tokens] -= total
-    scale = (1 / (len(p) * total))[:, None]
-    own = h[:, :-1]
-    dh = (p @ w["out"][:-1].T) * scale * (1 - own * own)
+    f, n = Pass(w, around, tokens), len(tokens)
+    row, p, q = np.arange(n), f.p, f.q
+    p[row, f.group] -= f.p_sum
+    p *= (1 / (n * f.p_sum))[:, None]
+    q[row, f.place] -= f.q_sum
+    q *= (1 / (n * f.q_sum))[:, None]
+    within, dh, back = np.zeros_like(w["within"]), p @ w["groups"][:-1].T, np.empty((n, HIDDEN), p.dtype)
+    for g, a, b in f.parts:
+        np.matmul(f.sorted[a:b].T, q[a:b], out=within[g])
+        np.matmul(q[a:b], w["within"][g, :-1].T, out=back[a:b])
+    dh[f.order] += back
+    own = f.h[:, :-1]
+    dh *= 1 - own * own
     at = around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
     embed = np.bincount(at.ravel(), (dh @ w["hidden"][:-1].T).ravel(), w["embed"].size).reshape(-1, WIDTH).astype(w["embed"].dtype)
-    return {"embed": embed, "hidden": x.T @ dh, "out": (h * scale).T @ p}
+    return {"embed": embed, "hidden": f.x.T @ dh, "groups": f.h.T @ p, "within": within}
 
 
 class Adam:

@@ -170,7 +170,7 @@ def test_lm_scores_words_not_classes(spark):
 
 def test_lm_classes_grow():
     assert [lm.classes_for(n) for n in (0, 1 << 17, 1 << 19, 1 << 23)] == [64, 64, 128, 512]
-    assert lm.shaped(lm.flat(lm.start_weights(vocab=320)), 320)["out"].shape == (lm.HIDDEN + 1, 320)
+    assert lm.shaped(lm.flat(lm.start_weights(vocab=320)), 320)["groups"].shape == (lm.HIDDEN + 1, 20)
 
 
 @pytest.mark.parametrize("rounds, share, times", [(3, lm.SHARE, 1), (3, 1.0, 3), (4, 0.5, 2), (3, 0.1, 1), (1, lm.SHARE, 1)])
@@ -198,8 +198,6 @@ def test_lm_against_a_loop_over_tokens(spark, docs, texts):
             counts[x] += 1
     of = {x: int(lm.word_prints(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[0][0]) for x in counts}
     token = {x: int(vocabulary.tokens(np.array([p], np.uint64))[0]) for x, p in of.items()}
-    frequent = sorted(counts, key=lambda x: -counts[x])
-    assert all(token[x] <= lm.FREQUENT for x in frequent if counts[x] > counts[frequent[lm.FREQUENT]])
     size = defaultdict(int)
     for x, n in counts.items():
         size[token[x]] += n
@@ -207,8 +205,10 @@ def test_lm_against_a_loop_over_tokens(spark, docs, texts):
     def log_probability(t, around):
         x = [v for a in around for v in w["embed"][a].astype(float)] + [1.0]
         h = [np.tanh(sum(a * b for a, b in zip(x, w["hidden"][:, j].astype(float)))) for j in range(lm.HIDDEN)] + [1.0]
-        z = [sum(a * b for a, b in zip(h, w["out"][:, k].astype(float))) for k in range(vocabulary.symbols)]
-        return z[t] - np.log(sum(np.exp(v) for v in z))
+        g, k = t // lm.GROUP, t % lm.GROUP
+        first = [sum(a * b for a, b in zip(h, w["groups"][:, i].astype(float))) for i in range(vocabulary.symbols // lm.GROUP)]
+        then = [sum(a * b for a, b in zip(h, w["within"][g, :, i].astype(float))) for i in range(lm.GROUP)]
+        return first[g] - np.log(sum(np.exp(v) for v in first)) + then[k] - np.log(sum(np.exp(v) for v in then))
 
     got = {r["doc_id"]: r for r in scores.collect()}
     assert len(got) == len(texts)
