@@ -33,8 +33,8 @@ U = np.uint64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 FREQUENT, CLASSES = 191, 64
 VOCAB = 1 + FREQUENT + CLASSES  # 0 stands outside of a document; the symbols of a small corpus
-GROUP = 16
-ROUNDS, STEP, BATCH = 3, 3e-3, 512
+GROUP = 32
+ROUNDS, STEP, BATCH = 3, 4e-3, 1024
 SHARE = 1 / ROUNDS
 FAN = 64
 SCHEMA = "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
@@ -193,8 +193,11 @@ def gradients(w: dict[str, np.ndarray], around: np.ndarray, tokens: np.ndarray)
     dh[f.order] += back
     own = f.h[:, :-1]
     dh *= 1 - own * own
-    at = around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-    embed = np.bincount(at.ravel(), (dh @ w["hidden"][:-1].T).ravel(), w["embed"].size).reshape(-1, WIDTH).astype(w["embed"].dtype)
+    embed = np.zeros(w["embed"].size)
+    for side in range(0, 2 * SIDE, SIDE):  # in parts, so that no temporary is large
+        at = around[:, side : side + SIDE, None] * WIDTH + np.arange(WIDTH)
+        embed += np.bincount(at.ravel(), (dh @ w["hidden"][side * WIDTH : (side + SIDE) * WIDTH].T).ravel(), len(embed))
+    embed = embed.reshape(-1, WIDTH).astype(w["embed"].dtype)
     return {"embed": embed, "hidden": f.x.T @ dh, "groups": f.h.T @ p, "within": within}
 
 
