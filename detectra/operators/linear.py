@@ -25,9 +25,14 @@ class LinearModel:
         return self.intercept + self.slope * (F.log(x) if self.xlog else x)
 
 
-def axes(df: DataFrame, x: str, y: str, xlog: bool, ylog: bool) -> DataFrame:
+#: A draw of Poisson(1) is how many of these a uniform draw exceeds.
+POISSON_CUTS = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
+def axes(df: DataFrame, x: str, y: str, xlog: bool, ylog: bool, row_id: str | None = None) -> DataFrame:
     a, b = F.col(f"`{x}`").cast("double"), F.col(f"`{y}`").cast("double")
-    return df.select((F.log(a) if xlog else a).alias("x"), (F.log(b) if ylog else b).alias("y"))
+    key = [F.col(f"`{row_id}`").alias("key")] if row_id else []
+    return df.select((F.log(a) if xlog else a).alias("x"), (F.log(b) if ylog else b).alias("y"), *key)
 
 
 def regression(rows: DataFrame, *by: str) -> DataFrame:
@@ -74,13 +79,14 @@ def resamples(rows: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
 def weighted_resamples(rows: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
     """slope, intercept, tau and n by replicate with Poisson(1) weights: one pass, no sort, no join.
 
-    For tables of any size: each row's weight in each replicate is a keyed draw, and sums are
-    combined before the shuffle.
+    For tables of any size: each row's weight in each replicate is a draw keyed by the row's ``key``, and
+    sums are combined before the shuffle.  Rows without a key are keyed by x and y, so equal rows share
+    their weights there.
     """
-    u = draws.uniform(F.lit(seed), F.col("replicate"), F.col("x"), F.col("y"))
-    cuts = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
-    weight = sum((F.when(u > c, 1.0).otherwise(0.0) for c in cuts), F.lit(0.0))
-    w = rows.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate")).withColumn("w", weight).filter("w > 0")
+    key = ["key"] if "key" in rows.columns else ["x", "y"]
+    u = draws.uniform(F.lit(seed), F.col("replicate"), *[F.col(k) for k in key])
+    weight = sum((F.when(u > c, 1.0).otherwise(0.0) for c in POISSON_CUTS), F.lit(0.0))
+    w = rows.select("x", "y", *[k for k in key if k == "key"], F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate")).withColumn("w", weight).filter("w > 0")
     s = {k: F.sum(v) for k, v in {"n": F.col("w"), "sx": F.col("w") * F.col("x"), "sy": F.col("w") * F.col("y"), "xx": F.col("w") * F.col("x") ** 2, "xy": F.col("w") * F.col("x") * F.col("y"), "yy": F.col("w") * F.col("y") ** 2}.items()}
     g = w.groupBy("replicate").agg(*[v.alias(k) for k, v in s.items()])
     sxx, sxy, syy = F.expr("xx - sx*sx/n"), F.expr("xy - sx*sy/n"), F.expr("yy - sy*sy/n")

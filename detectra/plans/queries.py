@@ -104,7 +104,22 @@ def vif_two_inputs(spark, sf_dir):
     return spark.createDataFrame(list(v.items()), "variable string, vif double")
 
 
-@query()
+def det_sql(rows: list[int], cols: list[int]) -> str:
+    """The determinant of the named rows and columns of the correlation matrix c."""
+    if not rows:
+        return "1e0"
+    terms = [f"{'-' if k % 2 else '+'} c[{rows[0] + 1}][{x + 1}] * ({det_sql(rows[1:], [y for y in cols if y != x])})" for k, x in enumerate(cols)]
+    return "(0e0 " + " ".join(terms) + ")"
+
+
+def vif_sql() -> str:
+    every = list(range(len(NAMES)))
+    rest = lambda i: [j for j in every if j != i]
+    matrix = ", ".join("[" + ", ".join("1e0" if x == y else f"corr({x}, {y})" for y in NAMES) + "]" for x in NAMES)
+    return f"WITH s AS ({PART_SQL}), r AS (SELECT [{matrix}] AS c FROM s) " + " UNION ALL ".join(f"SELECT '{c}' AS variable, round({det_sql(rest(i), rest(i))} / {det_sql(every, every)}, 4) AS vif FROM r" for i, c in enumerate(NAMES))
+
+
+@query(vif_sql())
 def vif_matrix(spark, sf_dir):
     v = sufficiency.vif(tables.part_study(spark, sf_dir), list(NAMES))
     return spark.createDataFrame(list(v.items()), "variable string, vif double")
@@ -183,10 +198,18 @@ def reliability_table(spark, sf_dir):
     return rounded(reliability.reliability_table(ci, grid, "a"), 3)
 
 
-@query()
+POISSON_SQL = f"""WITH s AS ({ORDER_SQL}), d AS (SELECT b, a, signal, {draws.uniform_sql("'0'", "b", "id")} AS u FROM s, (SELECT range AS b FROM range(20))),
+    p AS (SELECT b, a, signal, {" + ".join(f"CASE WHEN u > {c!r} THEN 1e0 ELSE 0e0 END" for c in linear.POISSON_CUTS)} AS w FROM d),
+    g AS (SELECT b, sum(w) AS n, sum(w * a) AS sx, sum(w * signal) AS sy, sum(w * a * a) AS xx, sum(w * a * signal) AS xy, sum(w * signal * signal) AS yy FROM p GROUP BY b),
+    f AS (SELECT b, n, sx, sy, (xy - sx * sy / n) / (xx - sx * sx / n) AS slope, xy - sx * sy / n AS sxy, yy - sy * sy / n AS syy FROM g)
+    SELECT b AS replicate, round(slope, 2) AS slope, round((sy - slope * sx) / n, 1) AS intercept, round(sqrt(greatest(syy - slope * sxy, 0) / greatest(n - 2, 0)), 1) AS tau, n FROM f"""
+
+
+@query(POISSON_SQL)
 def linear_bootstrap_poisson(spark, sf_dir):
-    rows = linear.axes(tables.order_study(spark, sf_dir), "a", "signal", False, False)
-    return linear.weighted_resamples(rows, 20)
+    rows = linear.axes(tables.order_study(spark, sf_dir), "a", "signal", False, False, "id")
+    out = linear.weighted_resamples(rows, 20)
+    return out.select("replicate", F.round("slope", 2).alias("slope"), F.round("intercept", 1).alias("intercept"), F.round("tau", 1).alias("tau"), "n")
 
 
 # Polynomial models
@@ -357,11 +380,16 @@ for _family in SURVIVAL_SQL:
     _survival(_family)
 
 
-@query()
+@query(
+    f"""WITH g AS ({Z_SQL}) SELECT grid_id, round(CASE WHEN z <= 0 THEN 1e0 ELSE exp(-z) * (1e0 + z) END, 6) AS gamma,
+    round(0.5e0 - 0.375e0 * z / sqrt(1e0 + z * z / 4e0) * (1e0 - z * z / (1e0 + z * z / 4e0) / 12e0), 6) AS t,
+    round(CASE WHEN z <= 0 THEN 1e0 WHEN z >= 1 THEN 0e0 ELSE 1e0 - z * z * (6e0 - 8e0 * z + 3e0 * z * z) END, 6) AS beta FROM g"""
+)
 def survival_special(spark, sf_dir):
+    """Shapes whose survival functions are elementary."""
     z = grids.line(spark, "z", -8.0, 8.0, 81)
     cases = {"gamma": (2.0, 0.0, 1.0), "t": (4.0, 0.0, 1.0), "beta": (2.0, 3.0, 0.0, 1.0)}
-    return z.select("grid_id", *[distributions.survival(F.col("z"), f, p).alias(f) for f, p in cases.items()])
+    return z.select("grid_id", *[F.round(distributions.survival(F.col("z"), f, p), 6).alias(f) for f, p in cases.items()])
 
 
 # Probability of detection
@@ -404,22 +432,83 @@ def spectrum_lookup(spark, sf_dir):
     return rounded(integrate.spectrum_lookup(spectrum(spark, sf_dir), THRESHOLD).select("grid_id", "pod"), 5)
 
 
+#: Terms of the quadratic in two standardised inputs, in the model's order.
+QUADRATIC = ("x", "y", "x * x", "x * y", "y * y")
+
+
+def quadratic_sql() -> str:
+    """CTEs: s, the study; q, one row with the quadratic ridge model; t, the residuals.
+
+    The normal equations of the standardised terms are solved by elimination, one CTE for each pivot.
+    """
+    k = range(5)
+    terms = ", ".join(f"{e} AS t{i}" for i, e in enumerate(QUADRATIC))
+    cells = [f"CASE WHEN {i} = {j} THEN 1e0 + 0.1e0 / count(*) ELSE corr(t{i}, t{j}) END AS m{i}{j}" for i in k for j in k]
+    sums = ", ".join([*cells, *[f"covar_pop(t{i}, signal) / stddev_pop(t{i}) AS m{i}5" for i in k], *[f"avg(t{i}) AS u{i}, stddev_pop(t{i}) AS d{i}" for i in k], "avg(signal) AS ym", "min(am) AS am, min(asd) AS asd, min(dm) AS dm, min(dsd) AS dsd"])
+    ctes = [
+        f"s AS ({PART_SQL})",
+        "c AS (SELECT avg(a) AS am, stddev_pop(a) AS asd, avg(disc) AS dm, stddev_pop(disc) AS dsd FROM s)",
+        "z AS (SELECT id, a, disc, signal, (a - am) / asd AS x, (disc - dm) / dsd AS y, am, asd, dm, dsd FROM s, c)",
+        f"f AS (SELECT *, {terms} FROM z)",
+        f"e0 AS (SELECT {sums} FROM f)",
+    ]
+    for p in k:
+        new = [f"m{p}{j} / m{p}{p} AS m{p}{j}" if i == p else f"m{i}{j} - m{i}{p} / m{p}{p} * m{p}{j} AS m{i}{j}" for i in k for j in range(6)]
+        ctes.append(f"e{p + 1} AS (SELECT * REPLACE ({', '.join(new)}) FROM e{p})")
+    const = " - ".join(["ym", *[f"m{i}5 / d{i} * u{i}" for i in k]])
+    ctes.append(f"q AS (SELECT am, asd, dm, dsd, {const} AS b, {', '.join(f'm{i}5 / d{i} AS b{i}' for i in k)} FROM e5)")
+    ctes.append(f"t AS (SELECT s.a, s.disc, s.signal - {mean_sql('s.a', 's.disc')} AS residual FROM s, q)")
+    return ", ".join(ctes)
+
+
+def mean_sql(a: str, disc: str) -> str:
+    x, y = f"(({a} - am) / asd)", f"(({disc} - dm) / dsd)"
+    return "(b + " + " + ".join(f"b{i} * " + e.replace("x", "X").replace("y", "Y").replace("X", x).replace("Y", y) for i, e in enumerate(QUADRATIC)) + ")"
+
+
+KERNEL_SQL = f"exp(-((p.a - t.a) * (p.a - t.a) + (p.disc - t.disc) * (p.disc - t.disc)) / {2 * BANDWIDTH * BANDWIDTH}e0)"
+NOISY_SQL = f"""k AS (SELECT p.point, p.grid_id, p.a, p.disc, sum({KERNEL_SQL}) AS w, sum({KERNEL_SQL} * residual * residual) AS v FROM p, t GROUP BY p.point, p.grid_id, p.a, p.disc),
+    n AS (SELECT grid_id, {mean_sql('a', 'disc')} AS m, sqrt(v / CASE WHEN w <= 1e-12 THEN 1e-10 ELSE w END) AS sigma FROM k, q),
+    o AS (SELECT grid_id, m, ({THRESHOLD}e0 - m) / sigma AS z FROM n)"""
+
+
+def line_sql(i: str, lo: str, hi: str, n: int) -> str:
+    return f"CASE WHEN {i} = {n - 1} THEN {hi} ELSE {lo} + {i} * (({hi} - {lo}) / {n - 1}e0) END"
+
+
+RANGE_SQL = "r AS (SELECT min(a) AS a0, max(a) AS a1, min(disc) AS d0, max(disc) AS d1 FROM s)"
+MESH_SQL = f"p AS (SELECT i AS point, i AS grid_id, {line_sql('(i // 30)', 'a0', 'a1', 30)} AS a, {line_sql('(i % 30)', 'd0', 'd1', 30)} AS disc FROM r, (SELECT range AS i FROM range(900)))"
+
+
+def unit_sql(seed: int, n: int, dims: int) -> str:
+    """(id, u0, u1, ...) of a Latin hypercube."""
+    each = [f"(row_number() OVER (ORDER BY {draws.bits_sql(repr(str(seed)), repr(str(j)), 'id')}, id) - 1 + {draws.uniform_sql(repr(str(seed)), repr(f'jitter{j}'), 'id')}) / {n}e0 AS u{j}" for j in range(dims)]
+    return f"SELECT id, {', '.join(each)} FROM (SELECT range AS id FROM range({n}))"
+
+
+MC_SQL = f"p AS (SELECT i * 500 + h.id AS point, i AS grid_id, {line_sql('i', 'a0', 'a1', 100)} AS a, d0 + (d1 - d0) * u0 AS disc FROM r, (SELECT range AS i FROM range(100)), ({unit_sql(42, 500, 1)}) h)"
+
+
 def two_inputs(spark, sf_dir):
     s = tables.part_study(spark, sf_dir)
     m = polynomial.fit_polynomials(s, ["a", "disc"], "signal", (2,), row_id="id").models["Polynomial", 2]
     return s, m, variance.add_residuals(s, m, "signal")
 
 
-@query()
+def shown(pod: DataFrame) -> DataFrame:
+    return pod.select("grid_id", "threshold", F.round("pod", 5).alias("pod"), F.round("mean_response", 1).alias("mean_response"))
+
+
+@query(f"WITH {quadratic_sql()}, {RANGE_SQL}, {MESH_SQL}, {NOISY_SQL} SELECT grid_id, {THRESHOLD}e0 AS threshold, round(1e0 - {distributions.norm_cdf_sql('z')}, 5) AS pod, round(m, 1) AS mean_response FROM o")
 def pod_surface_2d(spark, sf_dir):
     s, m, t = two_inputs(spark, sf_dir)
-    return integrate.compute_multi_dim_pod(integrate.poi_grid(s, ["a", "disc"]), {}, m, t, BANDWIDTH, ("norm", (0.0, 1.0)), THRESHOLD)
+    return shown(integrate.compute_multi_dim_pod(integrate.poi_grid(s, ["a", "disc"]), {}, m, t, BANDWIDTH, ("norm", (0.0, 1.0)), THRESHOLD))
 
 
-@query()
+@query(f"WITH {quadratic_sql()}, {RANGE_SQL}, {MC_SQL}, {NOISY_SQL} SELECT grid_id, {THRESHOLD}e0 AS threshold, round(avg(1e0 - {distributions.norm_cdf_sql('z')}), 5) AS pod, round(avg(m), 1) AS mean_response FROM o GROUP BY grid_id")
 def pod_mc_marginal(spark, sf_dir):
     s, m, t = two_inputs(spark, sf_dir)
-    return integrate.compute_multi_dim_pod(integrate.poi_grid(s, ["a"]), adaptive.input_ranges(s, ["disc"]), m, t, BANDWIDTH, ("norm", (0.0, 1.0)), [THRESHOLD], n_mc=500)
+    return shown(integrate.compute_multi_dim_pod(integrate.poi_grid(s, ["a"]), adaptive.input_ranges(s, ["disc"]), m, t, BANDWIDTH, ("norm", (0.0, 1.0)), [THRESHOLD], n_mc=500))
 
 
 @query()
@@ -428,10 +517,16 @@ def poly_bootstrap_ci(spark, sf_dir):
     return bootstrap.bootstrap_pod_ci(s, ["a"], "signal", integrate.poi_grid(s, ["a"]), ["a"], {}, ("Polynomial", 1), BANDWIDTH, "norm", THRESHOLD, n_boot=40, levels=reliability.LEVELS)
 
 
-@query()
+SOBOL_SQL = f"""u AS (SELECT id, {", ".join(f"{draws.uniform_sql(repr(str(5)), repr(str(j)), 'id')} AS u{j}" for j in range(4))} FROM (SELECT range AS id FROM range({sobol.SAMPLES}))),
+    h AS (SELECT a0 + u0 * (a1 - a0) AS aa, a0 + u2 * (a1 - a0) AS ab, d0 + u1 * (d1 - d0) AS da, d0 + u3 * (d1 - d0) AS db FROM u, r),
+    v AS (SELECT {mean_sql('aa', 'da')} AS f, {mean_sql('ab', 'da')} AS fa, {mean_sql('aa', 'db')} AS fd FROM h, q),
+    w AS (SELECT var_pop(f) AS var, avg((f - fa) * (f - fa)) / 2 AS ea, avg((f - fd) * (f - fd)) / 2 AS ed FROM v)"""
+
+
+@query(f"WITH {quadratic_sql()}, {RANGE_SQL}, {SOBOL_SQL} SELECT 'a' AS variable, round(least(greatest(ea / var, 0e0), 1e0), 6) AS st FROM w UNION ALL SELECT 'disc', round(least(greatest(ed / var, 0e0), 1e0), 6) FROM w")
 def sobol_total(spark, sf_dir):
     s, m, _ = two_inputs(spark, sf_dir)
-    return sobol.total_order(spark, m, adaptive.input_ranges(s, ["a", "disc"]))
+    return rounded(sobol.total_order(spark, m, adaptive.input_ranges(s, ["a", "disc"])), 6)
 
 
 def millions(spark, sf_dir) -> DataFrame:
@@ -494,9 +589,12 @@ def uncertainty_topn(spark, sf_dir):
     return adaptive.top_uncertain(c, 10)
 
 
-@query()
+@query(
+    gap_sql(PART_SQL, ["a"])
+    + f", w AS (SELECT x, nxt, d0, d1 FROM r, (SELECT min(disc) AS d0, max(disc) AS d1 FROM s) WHERE k = 1), u AS ({unit_sql(0, 100, 2)}) SELECT round(x + (nxt - x) * u0, 6) AS a, round(d0 + (d1 - d0) * u1, 6) AS disc FROM u, w ORDER BY {draws.bits_sql(repr(str(0)), repr('pick'), 'id')}, id LIMIT 10"
+)
 def gap_fill(spark, sf_dir):
-    return adaptive.fill_gaps(tables.part_study(spark, sf_dir), "a", ["a", "disc"], 10)
+    return rounded(adaptive.fill_gaps(tables.part_study(spark, sf_dir), "a", ["a", "disc"], 10), 6)
 
 
 @query()
@@ -552,10 +650,11 @@ def density(spark, sf_dir):
     return d.select("grid_id", F.round("x", 4).alias("x"), F.round("density", 9).alias("density"))
 
 
-@query()
+@query(f"WITH {TRAIN_SQL}, {SIGMA_SQL}, b AS (SELECT grid_id, sg.a, intercept + slope * sg.a AS m, sigma FROM sg, l) SELECT grid_id, round(a, 4) AS a, round(m, 1) AS mean, round(sigma, 1) AS sigma, round(m - 2 * sigma, 1) AS lower, round(m + 2 * sigma, 1) AS upper FROM b")
 def signal_model(spark, sf_dir):
     m, t = train(spark, sf_dir)
-    return exports.signal_model(t, m, "a", {}, BANDWIDTH, t)
+    out = exports.signal_model(t, m, "a", {}, BANDWIDTH, t)
+    return out.select("grid_id", F.round("a", 4).alias("a"), *[F.round(c, 1).alias(c) for c in ("mean", "sigma", "lower", "upper")])
 
 
 @query(f"WITH s AS ({ORDER_SQL}), {fit_sql('s')}, g AS ({LINE_SQL}) SELECT grid_id, round(a, 6) AS a, round(intercept + slope * a, 2) AS mean, round(intercept + slope * a - 2 * tau, 2) AS lower, round(intercept + slope * a + 2 * tau, 2) AS upper FROM g, f")
@@ -572,7 +671,13 @@ def nuisance_parameters(spark, sf_dir):
     return spark.createDataFrame([tuple(round(float(v), d) for v, d in zip(row, (4, 4, 6, 4)))], "mean double, std double, log_std double, log_scale double")
 
 
-@query()
+HEADERS = (" Crack Length ", "Crack Length", "Signal (dB)", "Angle%")
+HEADER_SQL = f"""WITH h AS (SELECT unnest(range(4)) AS i, unnest([{", ".join(f"'{x}'" for x in HEADERS)}]) AS raw),
+    b AS (SELECT i, raw, regexp_replace(regexp_replace(trim(raw), '\\s', '_', 'g'), '[^A-Za-z0-9_]', '', 'g') AS base FROM h)
+    SELECT raw, base || CASE WHEN row_number() OVER w > 1 THEN '_' || (row_number() OVER w - 1) ELSE '' END AS clean FROM b WINDOW w AS (PARTITION BY base ORDER BY i)"""
+
+
+@query(HEADER_SQL)
 def clean_header_names(spark, sf_dir):
-    raw = [" Crack Length ", "Crack Length", "Signal (dB)", "Angle%"]
+    raw = list(HEADERS)
     return spark.createDataFrame(list(zip(raw, clean_headers(raw))), "raw string, clean string")
