@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import draws
-from ..plans.checkpoint import cut
+from ..sources.checkpoint import cut
 from ..sources.csv import write_csv
 from . import coverage, design, polynomial, sufficiency, variance
 from .executors import CLIExecutor, Executor

@@ -47,7 +47,7 @@ class PythonExecutor(Executor):
                         failed.append(True)
                 yield pdf.assign(**{name: pd.Series(values, index=pdf.index, dtype=float), "__failed": failed})[[*names, "__failed"]]
 
-        from ..plans.checkpoint import cut
+        from ..sources.checkpoint import cut
 
         out = cut(samples.mapInPandas(solve, tried))
         if not out.filter("__failed").isEmpty():
@@ -104,7 +104,7 @@ class CLIExecutor(Executor):
                         raise ValueError(f"the solver's output lacks {outcome!r}")
                     yield out[wanted].assign(**{outcome: pd.to_numeric(out[outcome], errors="coerce")})
 
-        from ..plans.checkpoint import cut
+        from ..sources.checkpoint import cut
 
         out = cut(samples.coalesce(1).mapInPandas(task, schema))
         return out.withColumn(outcome, F.when(~F.isnan(outcome), F.col(outcome)))

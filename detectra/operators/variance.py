@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import checkpoint
+from ..sources import checkpoint
 
 #: Weights below this count as none; the weight then used instead.
 WEIGHT_FLOOR, WEIGHT_LEAST = 1e-12, 1e-10

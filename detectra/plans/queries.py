@@ -257,10 +257,35 @@ def poly_fit_multi(spark, sf_dir):
     return spark.createDataFrame([(fits.winner[1], polynomial.equation(m, "signal"), polynomial.equation(m, "signal", raw=True))], "degree int, equation string, raw_equation string")
 
 
-@query()
+def elimination_sql(n: int) -> list[str]:
+    """CTEs e1 to en that solve n equations of columns m<row><column>, the right side in column n, from e0 on."""
+    out = []
+    for p in range(n):
+        new = [f"m{p}{j} / m{p}{p} AS m{p}{j}" if i == p else f"m{i}{j} - m{i}{p} / m{p}{p} * m{p}{j} AS m{i}{j}" for i in range(n) for j in range(n + 1)]
+        out.append(f"e{p + 1} AS (SELECT * REPLACE ({', '.join(new)}) FROM e{p})")
+    return out
+
+
+def cubic_sql() -> str:
+    """Each fold's R2 of the cubic fitted to the other folds."""
+    k = range(3)
+    cells = [f"corr(t{i}, t{j}) AS m{i}{j}" for i in k for j in k] + [f"covar_pop(t{i}, signal) / stddev_pop(t{i}) AS m{i}3, avg(t{i}) AS u{i}, stddev_pop(t{i}) AS d{i}" for i in k]
+    mean = "ym + " + " + ".join(f"m{i}3 / d{i} * (t{i} - u{i})" for i in k)
+    ctes = [
+        f"s AS (SELECT *, {FOLD_SQL} AS fold FROM ({PART_SQL}))",
+        "z AS (SELECT fold, signal, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS x FROM s)",
+        "f AS (SELECT fold, signal, x AS t0, x * x AS t1, x * x * x AS t2 FROM z)",
+        f"e0 AS (SELECT k, {', '.join(cells)}, avg(signal) AS ym FROM f, (SELECT range AS k FROM range(10)) WHERE fold <> k GROUP BY k)",
+        *elimination_sql(3),
+        f"r AS (SELECT k, 1 - avg(pow(signal - ({mean}), 2)) / var_pop(signal) AS r2 FROM f JOIN e3 ON fold = k GROUP BY k)",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT round(avg(r2), 6) AS mean_r2, avg(r2) > 0.5 AS stable FROM r"
+
+
+@query(cubic_sql())
 def model_fit_r2(spark, sf_dir):
     r2 = sufficiency.model_fit(tables.part_study(spark, sf_dir), ["a"], "signal", "id")
-    return spark.createDataFrame([(r2, r2 > 0.5)], "mean_r2 double, stable boolean")
+    return spark.createDataFrame([(round(r2, 6), r2 > 0.5)], "mean_r2 double, stable boolean")
 
 
 @query()
@@ -452,9 +477,7 @@ def quadratic_sql() -> str:
         f"f AS (SELECT *, {terms} FROM z)",
         f"e0 AS (SELECT {sums} FROM f)",
     ]
-    for p in k:
-        new = [f"m{p}{j} / m{p}{p} AS m{p}{j}" if i == p else f"m{i}{j} - m{i}{p} / m{p}{p} * m{p}{j} AS m{i}{j}" for i in k for j in range(6)]
-        ctes.append(f"e{p + 1} AS (SELECT * REPLACE ({', '.join(new)}) FROM e{p})")
+    ctes += elimination_sql(5)
     const = " - ".join(["ym", *[f"m{i}5 / d{i} * u{i}" for i in k]])
     ctes.append(f"q AS (SELECT am, asd, dm, dsd, {const} AS b, {', '.join(f'm{i}5 / d{i} AS b{i}' for i in k)} FROM e5)")
     ctes.append(f"t AS (SELECT s.a, s.disc, s.signal - {mean_sql('s.a', 's.disc')} AS residual FROM s, q)")

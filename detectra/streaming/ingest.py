@@ -23,7 +23,7 @@ def append_runs(stream: DataFrame, inputs: Sequence[str], outcome: str, path: st
 
 def feed_study(stream: DataFrame, study: SimulationStudy, checkpoint: str, after: Callable[[SimulationStudy, int], None] | None = None) -> StreamingQuery:
     """Each micro-batch is added to the study, which clears its memos; ``after`` may then analyse it."""
-    from ..plans.checkpoint import cut
+    from ..sources.checkpoint import cut
 
     def add(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
