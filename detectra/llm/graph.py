@@ -17,7 +17,7 @@ from . import scan, wire
 
 SALTS = 64
 #: Queries and nodes of a block, where sets are compared and where signatures are.
-SETS, SIGNATURES = (256, 1024), (2048, 8192)
+SETS, SIGNATURES = (256, 1024), (512, 2048)
 #: Queries times shingles that are looked up at a time.
 MEET = 1 << 22
 
