@@ -170,7 +170,7 @@ def test_lm_scores_words_not_classes(spark):
 
 def test_lm_classes_grow():
     assert [lm.classes_for(n) for n in (0, 1 << 17, 1 << 19, 1 << 23)] == [64, 64, 128, 512]
-    assert lm.shaped(lm.flat(lm.start_weights(vocab=320)), 320)["groups"].shape == (lm.HIDDEN + 1, 20)
+    assert lm.shaped(lm.flat(lm.start_weights(vocab=320)), 320)["groups"].shape == (lm.HIDDEN + 1, 320 // lm.GROUP)
 
 
 @pytest.mark.parametrize("rounds, share, times", [(3, lm.SHARE, 1), (3, 1.0, 3), (4, 0.5, 2), (3, 0.1, 1), (1, lm.SHARE, 1)])
