@@ -1,8 +1,9 @@
 """Gaps in the sorted values of an input.
 
-The values are dealt into equal-width bins; a bin gives its smallest and largest value and its own
-largest gap, found in parallel, and one pass over the bins adds the gaps between them.  So no task
-sorts a whole column.
+The values are dealt into equal-width bins; a bin gives its smallest and largest value, and one pass
+over the bins finds the largest gap between them.  Only bins that are wider than that gap are sorted,
+each in its own task: none where a bin is empty, as with outliers, and else each a small part of
+the column unless most values crowd into one bin while no bin is empty.
 """
 
 from __future__ import annotations
@@ -22,18 +23,21 @@ def gaps(df: DataFrame, names: Sequence[str], bins: int = BINS) -> DataFrame:
     binned = v.join(F.broadcast(bounds), "variable")  # one row for each variable
     width = (F.col("hi") - F.col("lo")) / bins
     binned = binned.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0)))
-    distinct = binned.select("variable", "lo", "hi", "bin", "x").distinct()
+    ends = binned.groupBy("variable", "lo", "hi", "bin").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    across = Window.partitionBy("variable").orderBy("bin")  # at most ``bins`` rows
+    ends = ends.withColumn("following", F.lead("first").over(across))
+    step = F.struct((F.col("following") - F.col("last")).alias("gap"), (-F.col("last")).alias("at"), F.col("following").alias("end"))
+    between = ends.groupBy("variable", "lo", "hi").agg(F.max(F.when(F.col("following").isNotNull(), step)).alias("top"))
+    # A bin no wider than a gap between bins cannot hold a larger one, so only the others are sorted.
+    best = between.select(F.col("variable").alias("b_variable"), F.coalesce("top.gap", F.lit(0.0)).alias("best"))
+    wide = ends.join(F.broadcast(best), F.col("variable") == F.col("b_variable")).filter(F.col("last") - F.col("first") >= F.col("best"))
+    wide = wide.filter(F.col("last") > F.col("first")).select("variable", "bin")
+    distinct = binned.join(F.broadcast(wide), ["variable", "bin"]).select("variable", "lo", "hi", "bin", "x").distinct()
     inside = Window.partitionBy("variable", "bin").orderBy("x")
-    steps = distinct.withColumn("next", F.lead("x").over(inside))
-    per_bin = steps.groupBy("variable", "lo", "hi", "bin").agg(
-        F.min("x").alias("first"),
-        F.max("x").alias("last"),
-        F.max(F.struct((F.col("next") - F.col("x")).alias("gap"), (-F.col("x")).alias("at"), F.col("next").alias("end"))).alias("own"),
-    )
-    across = Window.partitionBy("variable").orderBy("bin")
-    per_bin = per_bin.withColumn("following", F.lead("first").over(across))
-    between = F.struct((F.col("following") - F.col("last")).alias("gap"), (-F.col("last")).alias("at"), F.col("following").alias("end"))
-    top = per_bin.groupBy("variable", "lo", "hi").agg(F.max(F.greatest(F.when(F.col("own.gap").isNotNull(), F.col("own")), F.when(F.col("following").isNotNull(), between))).alias("top"))
+    steps = distinct.withColumn("next", F.lead("x").over(inside)).filter("next is not null")
+    own = F.struct((F.col("next") - F.col("x")).alias("gap"), (-F.col("x")).alias("at"), F.col("next").alias("end"))
+    within = steps.groupBy("variable", "lo", "hi").agg(F.max(own).alias("top"))
+    top = between.unionByName(within).groupBy("variable", "lo", "hi").agg(F.max("top").alias("top"))
     return top.select("variable", "lo", "hi", F.coalesce("top.gap", F.lit(0.0)).alias("gap"), (-F.col("top.at")).alias("gap_start"), F.col("top.end").alias("gap_end"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions, draws
 from ..functions.distributions import FAMILIES
+from .validate import quantiles
 
 #: Standardised residuals beyond which families without closed-form estimates are fitted on a keyed sample.
 FIT_ROWS = 20_000
@@ -135,7 +136,7 @@ def infer_best_distribution(train: DataFrame, sigma: DataFrame, key: str, residu
 def closed_form_fits(df: DataFrame, value: str) -> DataFrame:
     """(family, loc, scale, aic) of the families whose estimates are aggregates, over all rows natively."""
     v = F.col(value)
-    a = df.agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), F.median(v).alias("med"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    a = df.agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), F.lit(quantiles(df, {value: v}, (0.5,))[value][0]).cast("double").alias("med"), F.min(v).alias("lo"), F.max(v).alias("hi"))
     one = df.select(v.alias("__v")).crossJoin(F.broadcast(a)).groupBy("n", "m", "s", "med", "lo", "hi").agg(F.avg(F.abs(F.col("__v") - F.col("med"))).alias("b"))  # one row of statistics
     n, width = F.col("n"), F.col("hi") - F.col("lo")
     rows = [

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import coverage, polynomial, reliability
-from .validate import correlation, validate_simulation
+from .validate import correlation, quantiles, validate_simulation
 
 REPORT = "ord long, Test string, Variable string, Metric string, Value double, Threshold string, Pass boolean"
 PROBES = (0.1, 0.5, 0.9)
@@ -43,8 +43,7 @@ def vif(df: DataFrame, inputs: Sequence[str]) -> dict[str, float]:
 def convergence(df: DataFrame, inputs: Sequence[str], outcome: str, n: int = RESAMPLES, degree: int = 2) -> DataFrame:
     """(replicate, probe, prediction) of quadratic fits to resamples at joint percentiles of the inputs."""
     spark = df.sparkSession
-    probe = df.agg(*[F.percentile(F.col(f"`{c}`"), F.array(*[F.lit(p) for p in PROBES])) for c in inputs]).first()
-    points = np.array([list(v) for v in probe], float).T
+    points = np.array(list(quantiles(df, {c: F.col(f"`{c}`") for c in inputs}, PROBES).values()), float).T
     rows = df.select(*inputs, outcome)
     most = MOST_CELLS // (len(inputs) + 1)
     total = rows.count()

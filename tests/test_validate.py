@@ -98,3 +98,24 @@ def test_correlation_of_constants_is_null(spark):
 
 def test_headers():
     assert clean_headers([" Crack Length ", "Crack Length", "Signal (dB)"]) == ["Crack_Length", "Crack_Length_1", "Signal_dB"]
+
+
+@pytest.mark.parametrize("most", [1, 7, 100_000])
+def test_quantiles_equal_a_full_sort(spark, most):
+    r = np.random.default_rng(3)
+    columns = {"even": r.normal(size=700), "ties": r.integers(0, 2, 700).astype(float), "same": np.ones(700), "outlier": np.append(r.random(699), 1e12)}
+    df = spark.createDataFrame(pd.DataFrame(columns)).repartition(3)
+    probs = (0.0, 0.1, 0.5, 0.9, 1.0)
+    got = validate.quantiles(df, {c: validate.number(df, c) for c in columns}, probs, most)
+    for c, v in columns.items():
+        assert np.allclose(got[c], np.quantile(v, probs), rtol=1e-12)
+    none = validate.quantiles(df.filter("even > 99"), {"even": df["even"]}, probs)
+    assert none == {"even": [None] * 5}
+
+
+def test_gap_inside_a_bin_and_outlier(spark):
+    r = np.random.default_rng(4)
+    for v in (r.random(3000), np.append(r.random(3000), 1e9), np.repeat([1.0, 2.0, 2.5], 9), np.array([5.0]), np.concatenate([np.linspace(0, 1, 9), [0.3]])):
+        for bins in (1, 4, 4096):
+            got = coverage.gaps(spark.createDataFrame(pd.DataFrame({"x": v})), ["x"], bins).first()
+            assert got["gap"] == pytest.approx(np.diff(np.sort(v)).max() if len(v) > 1 else 0.0)
