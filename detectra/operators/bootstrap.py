@@ -30,7 +30,7 @@ def replicate_pod(b: int, X, y, grid, names, poi, ranges, dists, kind, bandwidth
     model = polynomial.fit_arrays(Xb, yb, names, kind[1]) if kind[0] == "Polynomial" else kriging.refit(kind[1], Xb, yb, names)
     r = yb - model.predict(Xb)
     r2 = r * r
-    z = r / np.maximum(variance.smooth(Xb, r2, Xb, bandwidth), 1e-300)
+    z = r / np.maximum(variance.smooth_binned(Xb, r2, Xb, bandwidth), 1e-300)
     try:
         params = errors.fit(z, family)
     except (ValueError, FloatingPointError, OverflowError):
@@ -46,7 +46,7 @@ def replicate_pod(b: int, X, y, grid, names, poi, ranges, dists, kind, bandwidth
             lo, hi = ranges[c]
             v = np.full(len(draws), lo) if lo == hi else distributions.ppf(draws[:, j], *dists[c]) if c in dists else lo + draws[:, j] * (hi - lo)
             points[:, i] = np.tile(v, len(grid))
-    mean, sigma = model.predict(points), np.maximum(variance.smooth(Xb, r2, points, bandwidth), distributions.SIGMA_FLOOR)
+    mean, sigma = model.predict(points), np.maximum(variance.smooth_binned(Xb, r2, points, bandwidth), distributions.SIGMA_FLOOR)
     out = [np.clip(1 - distributions.cdf((t - mean) / sigma, family, params), 0, 1).reshape(len(grid), -1).mean(1) for t in limits]
     return np.stack(out, 1)
 

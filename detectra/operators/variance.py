@@ -20,6 +20,8 @@ WEIGHT_FLOOR, WEIGHT_LEAST = 1e-12, 1e-10
 #: driver; beyond, the same search runs over all pairs of blocks of that many rows at most.
 BROADCAST_ROWS = 200_000
 BANDWIDTH_ROWS = 5_000
+#: Nodes to a bandwidth of the lattice that replicates smooth on, and nodes an axis at most.
+NODES, LATTICE = 32, 4_096
 
 
 def add_residuals(df: DataFrame, model, outcome: str, name: str = "residual") -> DataFrame:
@@ -201,3 +203,41 @@ def smooth(train_X: np.ndarray, r2: np.ndarray, X: np.ndarray, h: float, cells:
     return out
 
 
+
+
+def smooth_binned(train_X: np.ndarray, r2: np.ndarray, X: np.ndarray, h: float) -> np.ndarray:
+    """``smooth`` for one or two inputs, from sums over a lattice with ``NODES`` nodes to a bandwidth.
+
+    Each training row is shared among its neighbouring nodes, the kernel acts along one axis after
+    the other, and estimates are read between nodes, so the work is linear in the rows.  Relative
+    errors are of the order of (1 / NODES)^2.  More inputs, and lattices of over ``LATTICE`` nodes an
+    axis, are smoothed directly.
+    """
+    d = train_X.shape[1]
+    lo, hi = np.minimum(train_X.min(0), X.min(0)), np.maximum(train_X.max(0), X.max(0))
+    shape = [int(np.ceil(NODES * w / h)) + 2 for w in hi - lo]
+    if d > 2 or max(shape) > LATTICE:
+        return smooth(train_X, r2, X, h)
+
+    def corners(v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        at = (v - lo) * (NODES / h)
+        base = np.minimum(at.astype(np.int64), np.array(shape) - 2)
+        part = at - base
+        out = [(np.zeros(len(v), np.int64), np.ones(len(v)))]
+        for k in range(d):
+            out = [(i * shape[k] + base[:, k] + s, w * (part[:, k] if s else 1 - part[:, k])) for i, w in out for s in (0, 1)]
+        return out
+
+    size = int(np.prod(shape))
+    sums = []
+    placed = corners(train_X)
+    for y in (np.ones(len(r2)), r2):
+        t = sum(np.bincount(i, w * y, size) for i, w in placed).reshape(shape)
+        for k in range(d):
+            steps = np.arange(shape[k]) / NODES
+            kernel = np.exp(-((steps[:, None] - steps[None, :]) ** 2) / 2)
+            t = np.moveaxis(np.tensordot(kernel, t, (1, k)), 0, k)
+        sums.append(t.ravel())
+    read = corners(X)
+    total, v = (sum(w * s[i] for i, w in read) for s in sums)
+    return np.sqrt(v / np.where(total <= WEIGHT_FLOOR, WEIGHT_LEAST, total))

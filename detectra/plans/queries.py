@@ -537,7 +537,7 @@ def pod_mc_marginal(spark, sf_dir):
 @query()
 def poly_bootstrap_ci(spark, sf_dir):
     s = tables.part_study(spark, sf_dir)
-    return bootstrap.bootstrap_pod_ci(s, ["a"], "signal", integrate.poi_grid(s, ["a"]), ["a"], {}, ("Polynomial", 1), BANDWIDTH, "norm", THRESHOLD, n_boot=40, levels=reliability.LEVELS)
+    return bootstrap.bootstrap_pod_ci(s, ["a"], "signal", integrate.poi_grid(s, ["a"]), ["a"], {}, ("Polynomial", 1), BANDWIDTH, "norm", THRESHOLD, n_boot=1000, levels=reliability.LEVELS)
 
 
 SOBOL_SQL = f"""u AS (SELECT id, {", ".join(f"{draws.uniform_sql(repr(str(5)), repr(str(j)), 'id')} AS u{j}" for j in range(4))} FROM (SELECT range AS id FROM range({sobol.SAMPLES}))),

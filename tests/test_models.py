@@ -268,3 +268,13 @@ def test_stream(spark, tmp_path):
     st = SimulationStudy(spark, ["a"], "y")
     ingest.feed_study(stream, st, str(tmp_path / "c2")).awaitTermination(60)
     assert st.data.count() == 13 and st._validate().count() == 12
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_smoothing_on_a_lattice(d):
+    r = np.random.default_rng(5)
+    X, points = r.random((900, d)), r.random((80, d))
+    r2 = (1 + X[:, 0]) ** 2 * r.random(900)
+    for h in (0.03, 0.1, 2.0):
+        assert np.allclose(variance.smooth_binned(X, r2, points, h), variance.smooth(X, r2, points, h), rtol=3e-3)
+    assert np.allclose(variance.smooth_binned(np.ones((5, d)), np.full(5, 4.0), np.ones((1, d)), 0.1), 2.0)
