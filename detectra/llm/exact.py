@@ -5,7 +5,8 @@ in memory, so equal texts become neighbours; neighbouring rows are compared in f
 the first characters and a hash of a text with a salt of its document, so what is sampled is
 bounded, equal texts still sort together, and a text that a third of all rows share is dealt over
 ``SALTS`` ranges.  Each run of equal texts in a range gives one row; runs of one text are joined by
-the digest of the text, from at most ``SALTS`` rows for each text.
+the digest of the text, from at most ``SALTS`` rows for each text, and the rows of a run look up
+their group by digest and salt, so no task gets all rows of a text.
 
 Null counts as empty, and empty texts are equal to each other.  Repeated doc_ids are separate rows.
 A null doc_id sorts before all others.
@@ -45,14 +46,15 @@ def groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
     ordered = run.orderBy(order("doc_id"))
     marked = ranged.select(
         "doc_id",
+        "salt",
         F.sha2("norm", 256).alias("text_sha256"),
         F.row_number().over(ordered).alias("place"),
         F.count(F.lit(1)).over(run).alias("here"),
     )
     slim = wire.cut(marked)
-    whole = slim.filter("place = 1").groupBy("text_sha256").agg(best("doc_id").alias("keep_id"), F.sum("here").alias("group_size"))
-    # Only texts with several rows have to look their group up; the others are their own group.
-    found = slim.join(whole.withColumnRenamed("text_sha256", "digest"), F.col("text_sha256") == F.col("digest"))
+    whole = slim.filter("place = 1").groupBy("text_sha256").agg(best("doc_id").alias("keep_id"), F.sum("here").alias("group_size"), F.collect_list("salt").alias("salts"))
+    by_run = whole.select(F.col("text_sha256").alias("digest"), "keep_id", "group_size", F.explode("salts").alias("run_salt"))
+    found = slim.join(by_run, (F.col("text_sha256") == F.col("digest")) & (F.col("salt") == F.col("run_salt")))
     return found.select(
         wire.real_id(),
         F.when(F.col("keep_id") != wire.NULL_ID, F.col("keep_id")).alias("keep_id"),

@@ -278,3 +278,13 @@ def test_near_keep_without_ids(spark):
     got = near.keep(df)
     assert got.columns == df.columns
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == sorted([(0, "a b c d e f g"), (0, "h i j k l m n"), (0, ""), (7, text), (9, "")])
+
+
+def test_exact_copies_of_one_text_are_dealt_over_salts(spark):
+    rows = [(i, "Hot text" if i % 3 else f"text {i}") for i in range(3000)]
+    df = exact.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in df.collect()}
+    hot = [i for i, t in rows if t == "Hot text"]
+    assert len(got) == 3000 and {(got[i]["keep_id"], got[i]["group_size"]) for i in hot} == {(max(hot), len(hot))}
+    assert [i for i in hot if got[i]["kept"]] == [max(hot)] and all(got[i]["kept"] and got[i]["group_size"] == 1 for i in range(0, 3000, 3))
+    assert "salt" in df._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
