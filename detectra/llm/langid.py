@@ -112,14 +112,18 @@ def has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.nda
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Learns from (text, lang) rows; all else that docs holds is ignored."""
+    """Learns from (text, lang) rows; all else that docs holds is ignored.
+
+    About ``per_language`` distinct texts of each language are read, each once, however often it is repeated.
+    """
     rows = docs.filter("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("print", F.xxhash64("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.greatest(F.approx_count_distinct("print"), F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], [[] for _ in LEVELS])
     part = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))]), F.col("lang"))
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part * (1 << 30))
+    sample = rows.filter(F.pmod("print", F.lit(1 << 30)) < part * (1 << 30)).groupBy("lang", "print").agg(F.min("text").alias("text"))
     number = {k: i for i, k in enumerate(langs)}
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

@@ -88,6 +88,14 @@ def test_language_id_edges(spark, docs, odd, nothing):
     assert langid.predict(odd, langid.fit(odd)).count() == 5 and langid.predict(nothing, langid.fit(nothing)).count() == 0
 
 
+
+def test_language_model_reads_copies_once(spark):
+    once = labelled(spark)
+    hot = once.unionByName(once.filter("lang is not null").limit(3).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(400)))).drop("n"))
+    a, b = langid.fit(once, 20), langid.fit(hot, 20)
+    assert a.langs == b.langs and all((x == y).all() for x, y in zip(a.tables, b.tables))
+
+
 def test_filters_return_every_language_of_a_gram():
     own = [np.arange(0, 500, dtype=np.uint32), np.arange(250, 900, dtype=np.uint32)]
     m = langid.Model(["a", "b"], [own])
