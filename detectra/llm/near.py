@@ -232,7 +232,7 @@ def labelled(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     buckets = wire.cut(buckets.join(often, F.col("key") == F.col("k"), "left_semi"))
     marks = classes.select(F.col("node").alias("k_"), "signature")
     least = least_matches(percent / 100, ROWS * BANDS // BATCH, MISS)
-    dealt = wire.dealt_table(rows, chunks)
+    dealt = wire.dealt_table(rows, chunks, by_id=True)
 
     def verify(pairs: DataFrame) -> DataFrame:
         near = pairs.join(marks, F.col("b") == F.col("k_")).select("a", "b", F.col("signature").alias("sb"))

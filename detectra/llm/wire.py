@@ -1,6 +1,7 @@
 """Packed exchanges between chunks of documents and buckets of keys.
 
-Documents are dealt into chunks by a hash of their id.  A chunk sends *cells*, one row for each
+Documents are dealt into chunks by a hash of their id and text, and equal rows of a batch to chunks
+after one another, so neither a null or repeated id nor a repeated row fills a chunk.  A chunk sends *cells*, one row for each
 bucket it has something for, whose arrays are in an order that the chunk can compute again; a
 bucket answers each cell with bits or bytes in that order.  So an answer names neither documents
 nor keys.  Within a chunk equal keys are merged before they are sent, so however frequent a key
@@ -94,10 +95,22 @@ def unseal(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(body).read_all()
 
 
-def chunked(docs: DataFrame, chunks: int, carry: bool = False) -> DataFrame:
-    """(chunk, body): documents dealt by id and compressed; ids may be NULL_ID, null texts stay null.
+def repeats(x: np.ndarray) -> np.ndarray:
+    """For each number, how many equal ones come before it."""
+    order = np.argsort(x, kind="stable")
+    y = x[order]
+    starts = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
+    out = np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+    return out
+
+
+def chunked(docs: DataFrame, chunks: int, carry: bool = False, by_id: bool = False) -> DataFrame:
+    """(chunk, body): documents dealt by id and text and compressed; ids may be NULL_ID, null texts stay null.
 
-    With ``carry`` a struct ``rest`` of all columns but text goes along.
+    With ``carry`` a struct ``rest`` of all columns but text goes along.  With ``by_id`` documents are
+    dealt by id alone, so they can be looked up, and of rows of one id that one pass of a task holds
+    only the one of the least text is kept, null if none has one.
     """
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -105,7 +118,14 @@ def chunked(docs: DataFrame, chunks: int, carry: bool = False) -> DataFrame:
 
         def flush() -> Iterable[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
-            c = np.asarray(t.column("chunk"))
+            if by_id:
+                t = t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")]))
+                ids = np.asarray(t.column("doc_id"))
+                t = t.filter(pa.array(np.append(True, ids[1:] != ids[:-1])))
+                c = np.asarray(t.column("print")) % chunks
+            else:
+                x = np.asarray(t.column("print"))
+                c = (x % chunks + repeats(x)) % chunks
             order = np.argsort(c, kind="stable")
             t, c = t.take(pa.array(order)), c[order]
             cuts = np.flatnonzero(np.diff(c, prepend=-1))
@@ -124,15 +144,15 @@ def chunked(docs: DataFrame, chunks: int, carry: bool = False) -> DataFrame:
 
     names = ["doc_id", "text", *["rest"] * carry]
     rows = ids_and_texts(docs) if not carry else docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), *id_and_text())
-    tagged = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    tagged = rows.withColumn("print", F.xxhash64("doc_id", *["text"] * (not by_id)))
     return tagged.mapInArrow(deal, BODIES)
 
 
-def dealt_table(docs: DataFrame, chunks: int, carry: bool = False) -> DataFrame:
+def dealt_table(docs: DataFrame, chunks: int, carry: bool = False, by_id: bool = False) -> DataFrame:
     """Chunks of documents as a bucketed table in the shared folder, which several jobs read without a shuffle."""
     spark = docs.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
-    rows = chunked(docs, chunks, carry).repartition(chunks, "chunk")
+    rows = chunked(docs, chunks, carry, by_id).repartition(chunks, "chunk")
     rows.write.bucketBy(min(chunks, MOST_BUCKETS), "chunk").option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
     return spark.table(name)
 

@@ -288,3 +288,23 @@ def test_exact_copies_of_one_text_are_dealt_over_salts(spark):
     assert len(got) == 3000 and {(got[i]["keep_id"], got[i]["group_size"]) for i in hot} == {(max(hot), len(hot))}
     assert [i for i in hot if got[i]["kept"]] == [max(hot)] and all(got[i]["kept"] and got[i]["group_size"] == 1 for i in range(0, 3000, 3))
     assert "salt" in df._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
+
+
+def test_no_id_fills_a_chunk(spark):
+    from collections import Counter
+
+    from detectra.llm import wire
+
+    schema = "doc_id long, text string"
+    for third in ([(None, f"text {i} of many") for i in range(1000)], [(7, f"text {i} of many") for i in range(1000)], [(None, None)] * 1000):
+        rows = third + [(i, f"document {i}") for i in range(1000, 3000)]
+        docs = spark.createDataFrame(rows, schema).repartition(2)
+        sizes = Counter()
+        for r in wire.chunked(docs, 64).collect():
+            sizes[r["chunk"]] += wire.unseal(r["body"]).num_rows
+        assert sum(sizes.values()) == 3000
+        assert max(sizes.values()) < 2 * 3000 / 64
+        by_id = Counter()
+        for r in wire.chunked(docs, 64, by_id=True).collect():
+            by_id[r["chunk"]] += wire.unseal(r["body"]).num_rows
+        assert max(by_id.values()) < 2 * 3000 / 64
