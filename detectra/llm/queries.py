@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, langid, lines, lm, mixing, near, substring, suffix, tokens
+from . import decontam, exact, kdtree, langid, lines, lm, mixing, near, substring, suffix, tokens, warc, whiten, wire
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +75,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16)
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{wire.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder, least=0)
+    out = warc.read(spark, folder, payloads=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, scale=256, dim=64, seed=2)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_lm_score": op2_lm_score,
@@ -85,6 +102,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_warc": op12_warc,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
