@@ -136,7 +136,7 @@ def chunked(docs: DataFrame, chunks: int, carry: bool = False, by_id: bool = Fal
             if b.num_rows:
                 held.append(b)
                 size += b.nbytes
-            if size > 48 << 20:
+            if size > (16 if by_id else 48) << 20:
                 yield from flush()
                 held, size = [], 0
         if held:
