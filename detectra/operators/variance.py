@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,13 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import checkpoint
+from . import gauss
 
 #: Weights below this count as none; the weight then used instead.
 WEIGHT_FLOOR, WEIGHT_LEAST = 1e-12, 1e-10
-#: Rows of the smaller side of a kernel join that may be broadcast, and rows for bandwidth search on the
-#: driver; beyond, the same search runs over all pairs of blocks of that many rows at most.
+#: Rows of the smaller side of a kernel join that may be broadcast, grid rows from which a fast Gauss
+#: transform is used, and rows of a block where its lattice would be too large.
 BROADCAST_ROWS = 200_000
+GRID_ROWS = 5_000
 BANDWIDTH_ROWS = 5_000
+#: Bandwidths of the first look at a search, as shares of the widest input's range.
+LADDER = np.geomspace(0.01, 0.5, 12)
 #: Nodes to a bandwidth of the lattice that replicates smooth on, and nodes an axis at most.
 NODES, LATTICE = 32, 4_096
 
@@ -44,9 +48,11 @@ def predict(df: DataFrame, model, name: str) -> DataFrame:
 def local_std(grid: DataFrame, train: DataFrame, inputs: Sequence[str], bandwidth: float, key: str = "grid_id", residual: str = "residual") -> DataFrame:
     """(key, sigma): Nadaraya-Watson estimate of the residuals' local deviation at each grid row.
 
-    A stated query set against all rows: grid rows are broadcast when there are at most
-    BROADCAST_ROWS, else met block by block, and weights are summed before the shuffle.  The key
-    must be unique.  A bandwidth that is not positive gives NULL.
+    A stated query set against all rows.  Grids of over GRID_ROWS rows are met by a fast Gauss
+    transform, linear in both sides, where its lattice is small enough (relative differences of about
+    1e-10); else grid rows are broadcast when there are at most BROADCAST_ROWS, or met block by
+    block, and weights are summed before the shuffle.  The key must be unique.  A bandwidth that is
+    not positive gives NULL.
     """
     if not bandwidth > 0:
         return grid.select(key, F.lit(None).cast("double").alias("sigma"))
@@ -55,7 +61,10 @@ def local_std(grid: DataFrame, train: DataFrame, inputs: Sequence[str], bandwidt
     d2 = sum(((F.col(f"__g{i}") - F.col(f"__t{i}")) * (F.col(f"__g{i}") - F.col(f"__t{i}")) for i in range(len(inputs))), F.lit(0.0))
     w = F.exp(-d2 / (2.0 * bandwidth * bandwidth))
     rows = g.limit(BROADCAST_ROWS + 1).count()
-    if rows <= BROADCAST_ROWS:
+    sums = by_transform(g, t, len(inputs), bandwidth) if rows > GRID_ROWS else None
+    if sums is not None:
+        pass
+    elif rows <= BROADCAST_ROWS:
         sums = t.crossJoin(F.broadcast(g)).select("__key", w.alias("__w"), (w * F.col("__r2")).alias("__v")).groupBy("__key").agg(F.sum("__w").alias("w"), F.sum("__v").alias("v"))
     else:
         blocks = -(-g.count() // BROADCAST_ROWS)
@@ -66,39 +75,60 @@ def local_std(grid: DataFrame, train: DataFrame, inputs: Sequence[str], bandwidt
     return sums.select(F.col("__key").alias(key), F.sqrt(F.col("v") / total).alias("sigma"))
 
 
-def bandwidth_errors(train: DataFrame, inputs: Sequence[str], bandwidths: Sequence[float], row_id: str, residual: str = "residual") -> DataFrame:
-    """(bandwidth, error): leave-one-out mean squared error of the smoothed squared residuals.
+def box(df: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest values; zeros of an empty table."""
+    r = df.agg(*[f(c) for f in (F.min, F.max) for c in names]).first()
+    v = np.array([0.0 if x is None else x for x in r], float)
+    return v[: len(names)], v[len(names) :]
 
-    A self join without the diagonal for all bandwidths at once; for tables bounded by the caller.
+
+def by_transform(g: DataFrame, t: DataFrame, d: int, bandwidth: float) -> DataFrame | None:
+    """(__key, w, v) of local_std by a fast Gauss transform; None where its lattice would be too large."""
+    names = [f"x{i}" for i in range(d)]
+    rows = t.select(*[F.col(f"__t{i}").alias(c) for i, c in enumerate(names)], "__r2")
+    targets = g.select("__key", *[F.col(f"__g{i}").alias(c) for i, c in enumerate(names)])
+    (lo, hi), (low, high) = box(rows, names), box(targets, names)
+    lo, hi = np.minimum(lo, low), np.maximum(hi, high)
+    if not gauss.Transform.fits(lo, hi, bandwidth):
+        return None
+    return gauss.Transform(rows, names, "__r2", lo, hi, bandwidth).at(targets, "__key", bandwidth)
+
+
+class LeftOut:
+    """Mean squared errors of the smoothed squared residuals of all rows but the row's own, by bandwidth.
+
+    By a fast Gauss transform, linear in the rows, for all bandwidths whose lattice is small enough;
+    finer ones, which only occur with three or more inputs of like ranges, meet all pairs of blocks.
     """
-    a = train.select(F.col(row_id).alias("i"), F.pow(F.col(residual), 2).alias("ri"), *[F.col(f"`{c}`").alias(f"a{k}") for k, c in enumerate(inputs)])
-    b = train.select(F.col(row_id).alias("j"), F.pow(F.col(residual), 2).alias("rj"), *[F.col(f"`{c}`").alias(f"b{k}") for k, c in enumerate(inputs)])
-    d2 = sum(((F.col(f"a{k}") - F.col(f"b{k}")) * (F.col(f"a{k}") - F.col(f"b{k}")) for k in range(len(inputs))), F.lit(0.0))
-    sums = [x for k, h in enumerate(bandwidths) for w in [F.exp(-F.col("d2") / (2.0 * h * h))] for x in (F.sum(w).alias(f"w{k}"), F.sum(w * F.col("rj")).alias(f"v{k}"))]
-    rows = a.join(b, F.col("i") != F.col("j")).withColumn("d2", d2).groupBy("i", "ri").agg(*sums)
-    safe = lambda k: F.when(F.col(f"w{k}") <= WEIGHT_FLOOR, F.lit(WEIGHT_LEAST)).otherwise(F.col(f"w{k}"))
-    one = rows.agg(*[F.avg(F.pow(F.col("ri") - F.col(f"v{k}") / safe(k), 2)).alias(f"e{k}") for k in range(len(bandwidths))])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(float(h)).alias("bandwidth"), F.col(f"e{k}").alias("error")) for k, h in enumerate(bandwidths)])).alias("r")).select("r.*")
-
-
-def minimise(f: Callable[[float], float], lo: float, hi: float, tolerance: float = 1e-5, steps: int = 200) -> float:
-    """Golden-section search for the smallest value on an interval."""
-    g = (math.sqrt(5) - 1) / 2
-    a, b = lo, hi
-    x, y = b - g * (b - a), a + g * (b - a)
-    fx, fy = f(x), f(y)
-    for _ in range(steps):
-        if b - a < tolerance:
-            break
-        if fx < fy:
-            b, y, fy = y, x, fx
-            x = b - g * (b - a)
-            fx = f(x)
-        else:
-            a, x, fx = x, y, fy
-            y = a + g * (b - a)
-            fy = f(y)
-    return (a + b) / 2
+
+    def __init__(self, train: DataFrame, inputs: Sequence[str], residual: str, most: int = BANDWIDTH_ROWS):
+        self.names, self.most = [f"x{i}" for i in range(len(inputs))], most
+        self.rows = checkpoint.cut(train.select(*[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(inputs, self.names)], F.col(f"`{residual}`").cast("double").alias("r")))
+        self.n = self.rows.count()
+        self.low, self.high = box(self.rows, self.names)
+        self.width = max(float((self.high - self.low).max()), 1e-12) if self.n else 1.0
+        self.transform, self.blocks = None, None
+
+    def errors(self, bandwidths: Sequence[float]) -> np.ndarray:
+        hs = np.array(bandwidths, float)
+        fine = np.array([not gauss.Transform.fits(self.low, self.high, h) for h in hs])
+        out = np.zeros(len(hs))
+        if not fine.all():
+            if self.transform is None or hs[~fine].min() < self.least * (1 - 1e-9):
+                self.least = hs[~fine].min()
+                squares = self.rows.select(*self.names, (F.col("r") * F.col("r")).alias("r2"))
+                self.transform = gauss.Transform(squares, self.names, "r2", self.low, self.high, self.least)
+            out[~fine] = self.transform.left_out(hs[~fine], WEIGHT_FLOOR, WEIGHT_LEAST)
+        if fine.any():
+            self.blocks = self.blocks if self.blocks is not None else packed_blocks(self.rows, self.n, self.most)
+            out[fine] = blocked_errors(self.blocks, len(self.names) + 1, hs[fine])
+        return out / max(self.n, 1)
+
+
+def bandwidth_errors(train: DataFrame, inputs: Sequence[str], bandwidths: Sequence[float], residual: str = "residual") -> DataFrame:
+    """(bandwidth, error): leave-one-out mean squared error of the smoothed squared residuals."""
+    errors = LeftOut(train, inputs, residual).errors(bandwidths)
+    return train.sparkSession.createDataFrame([(float(h), float(e)) for h, e in zip(bandwidths, errors)], "bandwidth double, error double")
 
 
 def loo_error(X: np.ndarray, r2: np.ndarray, h: float) -> float:
@@ -157,26 +187,12 @@ def blocked_errors(blocks: DataFrame, columns: int, bandwidths: Sequence[float])
 
 
 def optimise_bandwidth(train: DataFrame, inputs: Sequence[str], residual: str = "residual", most: int = BANDWIDTH_ROWS) -> float:
-    """The leave-one-out bandwidth between 0.01 and 0.5 of the widest input range.
+    """The leave-one-out bandwidth between 0.01 and 0.5 of the widest input range, over all rows.
 
-    The search is over all rows and quadratic: on the driver up to ``most`` rows, and beyond over all
-    pairs of blocks, a job for the ladder and one for each further bandwidth.
+    ``most`` is the size of a block where LeftOut needs blocks.
     """
-    n = train.count()
-    rows = train.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(inputs)], F.col(residual).cast("double").alias("r"))
-    if n > most:
-        blocks = packed_blocks(rows, n, most)
-        width = max(float(x) for x in rows.agg(*[F.max(c) - F.min(c) for c in rows.columns[:-1]]).first())
-        errors_of = lambda hs: blocked_errors(blocks, len(rows.columns), hs) / n
-    else:
-        pdf = rows.orderBy(*rows.columns).toPandas()
-        X, r2 = pdf.drop(columns="r").to_numpy(float), pdf.r.to_numpy(float) ** 2
-        width = float((X.max(0) - X.min(0)).max()) if len(X) else 1.0
-        errors_of = lambda hs: [loo_error(X, r2, h) for h in hs]
-    width = max(width, 1e-12)
-    ladder = np.geomspace(0.01 * width, 0.5 * width, 12)
-    k = int(np.argmin(errors_of(ladder)))
-    return minimise(lambda h: errors_of([h])[0], ladder[max(k - 1, 0)], ladder[min(k + 1, 11)], 1e-5 * width)
+    own = LeftOut(train, inputs, residual, most)
+    return gauss.least_of(own.errors, own.width * LADDER, 1e-5 * own.width)
 
 
 def fixed_bandwidth(df: DataFrame, inputs: Sequence[str], ratio: float = 0.1) -> float:

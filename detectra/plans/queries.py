@@ -344,7 +344,7 @@ LADDER_SQL = ", ".join(f"sum(CASE WHEN x.id <> y.id THEN exp(-((x.a - y.a) * (x.
 )
 def bandwidth_ladder(spark, sf_dir):
     _, t = train(spark, sf_dir)
-    return variance.bandwidth_errors(t, ["a"], LADDER, "id").select("bandwidth", F.round(F.log("error"), 6).alias("log_error"))
+    return variance.bandwidth_errors(t, ["a"], LADDER).select("bandwidth", F.round(F.log("error"), 6).alias("log_error"))
 
 
 @query()
