@@ -44,6 +44,28 @@ def gammaln(x):
     return 0.5 * math.log(2 * math.pi) + (x + 0.5) * np.log(t) - t + np.log(a)
 
 
+def digamma(x: float) -> float:
+    """For positive x: the recurrence up to 12, then the asymptotic series."""
+    out = 0.0
+    while x < 12:
+        out -= 1 / x
+        x += 1
+    y = 1 / (x * x)
+    # B_2k / 2k.
+    return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+
+
+def trigamma(x: float) -> float:
+    """For positive x: the recurrence up to 12, then the asymptotic series."""
+    out = 0.0
+    while x < 12:
+        out += 1 / (x * x)
+        x += 1
+    y = 1 / (x * x)
+    # B_2k.
+    return out + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y * (1 / 30 - y * 5 / 66))))
+
+
 def gammainc(a: float, x):
     """Regularised lower incomplete gamma function."""
     x = np.maximum(np.asarray(x, float), 0)

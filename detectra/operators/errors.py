@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions, draws
 from ..functions.distributions import FAMILIES
+from ..sources import checkpoint
+from . import likelihood
 from .validate import quantiles
 
-#: Standardised residuals beyond which families without closed-form estimates are fitted on a keyed sample.
+#: Values up to which fits run on the driver; beyond, over all rows in passes.
 FIT_ROWS = 20_000
+#: Passes over all rows at most: regular fits need a few, those that run towards another family's limit would go on.
+PASSES = 30
 DEFAULT = ("norm", (0.0, 1.0))
 
 
@@ -52,27 +56,25 @@ def nelder_mead(f, start: np.ndarray, steps: int = 400, spread: float = 0.25, to
     return points[k], float(values[k])
 
 
-def starts(z: np.ndarray, family: str) -> list[tuple[float, ...]]:
-    m, s = float(z.mean()), float(z.std()) or 1.0
-    lo, hi = float(z.min()), float(z.max())
-    skew = float(np.mean(((z - m) / s) ** 3))
-    if family in ("gumbel_r", "gumbel_l"):
-        b = s * math.sqrt(6) / math.pi
-        return [(m - 0.5772 * b if family == "gumbel_r" else m + 0.5772 * b, b)]
-    if family == "logistic":
-        return [(m, s * math.sqrt(3) / math.pi)]
-    if family == "weibull_min":
-        return [(c, lo - 0.1 * s, m - lo + 0.1 * s) for c in (1.2, 2.0, 3.6)]
-    if family == "weibull_max":
-        return [(c, hi + 0.1 * s, hi - m + 0.1 * s) for c in (1.2, 2.0, 3.6)]
-    if family == "gamma":
-        a = min(max(4 / max(skew, 0.05) ** 2, 0.5), 400.0)
-        return [(a, m - s * math.sqrt(a), s / math.sqrt(a)), (2.0, lo - 0.1 * s, max(m - lo, 0.1) / 2)]
-    if family == "t":
-        return [(4.0, m, s * 0.7), (20.0, m, s * 0.95)]
-    if family == "beta":
-        return [(2.0, 2.0, lo - 0.05 * s, hi - lo + 0.1 * s)]
-    raise ValueError(f"unknown distribution {family!r}")
+def starts(m: float, s: float, lo: float, hi: float, skew: float) -> list[tuple[str, tuple[float, ...]]]:
+    """(family, parameters) to begin with, from mean, deviation, range and skewness."""
+    s = s or 1.0
+    wide, scale = s * math.sqrt(6) / math.pi, max(m - lo, 0.1 * s)
+    a = min(max(4 / max(abs(skew), 0.05) ** 2, 0.5), 400.0)
+    from_lo, from_hi = m - lo + 0.1 * s, hi - m + 0.1 * s
+    out = [("gumbel_r", (m - 0.5772 * wide, wide)), ("gumbel_l", (m + 0.5772 * wide, wide)), ("logistic", (m, s * math.sqrt(3) / math.pi))]
+    out += [("weibull_min", (c, lo - 0.1 * s, from_lo)) for c in (1.2, 2.0, 3.6)]
+    out += [("weibull_max", (c, hi + 0.1 * s, from_hi)) for c in (1.2, 2.0, 3.6)]
+    out += [("gamma", (a, min(m - s * math.sqrt(a), lo - 0.01 * s), s / math.sqrt(a))), ("gamma", (2.0, lo - 0.1 * s, scale / 2))]
+    out += [("t", (4.0, m, s * 0.7)), ("t", (20.0, m, s * 0.95))]
+    share = min(max((m - lo + 0.05 * s) / (hi - lo + 0.1 * s), 0.05), 0.95)
+    both = min(max(share * (1 - share) * ((hi - lo + 0.1 * s) / s) ** 2 - 1, 0.5), 1e3)
+    return [*out, ("beta", (share * both, (1 - share) * both, lo - 0.05 * s, hi - lo + 0.1 * s)), ("beta", (2.0, 2.0, lo - 0.05 * s, hi - lo + 0.1 * s))]
+
+
+def moments_of(z: np.ndarray) -> tuple[float, float, float, float, float]:
+    m, s = float(z.mean()), float(z.std())
+    return m, s, float(z.min()), float(z.max()), float(np.mean(((z - m) / (s or 1.0)) ** 3))
 
 
 def fit(z: np.ndarray, family: str) -> tuple[float, ...]:
@@ -86,22 +88,13 @@ def fit(z: np.ndarray, family: str) -> tuple[float, ...]:
         return (float(z.min()), float(z.mean() - z.min()))
     if family == "uniform":
         return (float(z.min()), float(z.max() - z.min()))
-    k = FAMILIES[family]
-
-    def loss(p: np.ndarray) -> float:
-        with np.errstate(all="ignore"):
-            q = np.concatenate([np.exp(p[:k]), [p[k]], [math.exp(min(p[k + 1], 50))]])
-            v = -float(np.sum(distributions.log_pdf(z, family, q)))
-        return v if math.isfinite(v) else math.inf
-
-    best, value = None, math.inf
-    for s in starts(z, family):
-        p, v = nelder_mead(loss, np.array([*np.log(s[:k]), s[k], math.log(max(s[k + 1], 1e-9))]))
-        if v < value:
-            best, value = p, v
-    if best is None:
+    if family not in likelihood.KERNELS:
+        raise ValueError(f"unknown distribution {family!r}")
+    own = moments_of(z)
+    found = likelihood.climb(len(z), own[2], own[3], [x for x in starts(*own) if x[0] == family], likelihood.over_array(z))
+    if family not in found:
         raise ValueError(f"{family} cannot be fitted")
-    return (*map(float, np.exp(best[:k])), float(best[k]), float(math.exp(best[k + 1])))
+    return found[family][0]
 
 
 def aic(z: np.ndarray, family: str, params: tuple[float, ...]) -> float:
@@ -124,13 +117,43 @@ def best_of(z: np.ndarray, families=tuple(FAMILIES)) -> tuple[str, tuple[float,
     return best
 
 
-def infer_best_distribution(train: DataFrame, sigma: DataFrame, key: str, residual: str = "residual", most: int = FIT_ROWS) -> tuple[str, tuple[float, ...]]:
-    """Of (key, residual) rows and their (key, sigma): family and parameters of residual / sigma."""
-    rows = train.select(key, residual).join(sigma.select(F.col(key).alias("__k"), "sigma"), F.col(key) == F.col("__k")).select(key, (F.col(residual) / F.col("sigma")).alias("z"))
-    n = rows.count()
-    if n > most:
-        rows = rows.filter(draws.uniform(F.lit(13), F.col(key)) < most / n)
-    return best_of(rows.orderBy(key).toPandas().z.to_numpy(float))
+def newton_fits(rows: DataFrame, value: str, most: int = FIT_ROWS) -> dict[str, tuple[tuple[float, ...], float]]:
+    """(parameters, log-likelihood) of each family without closed-form estimates, over all rows.
+
+    Beyond ``most`` rows the steps begin at the fits of a keyed sample of that size, which only saves passes.
+    """
+    v = F.col(value)
+    n, m, s, lo, hi, skew = rows.agg(F.count(v), F.avg(v), F.stddev_pop(v), F.min(v), F.max(v), F.skewness(v)).first()
+    if not n:
+        return {}
+    sample = rows.filter(draws.uniform(F.lit(13), F.xxhash64(value)) < most / n) if n > most else rows
+    z = np.array([r[0] for r in sample.select(value).orderBy(value).limit(2 * most).collect()], float)
+    begin = starts(m, s, lo, hi, skew if skew is not None and math.isfinite(skew) else 0.0)
+    if n <= most:
+        return likelihood.climb(n, lo, hi, begin, likelihood.over_array(z))
+    near = likelihood.climb(len(z), lo, hi, begin, likelihood.over_array(z)) if len(z) else {}
+    begin = [(f, p) for f, (p, _) in near.items()] + [x for x in begin if x[0] not in near]
+    return likelihood.climb(n, lo, hi, begin, likelihood.over_rows(rows, value), PASSES)
+
+
+def all_fits(rows: DataFrame, value: str, families=tuple(FAMILIES)) -> list[tuple[str, tuple[float, ...], float]]:
+    """(family, parameters, AIC) of all families that can be fitted, over all rows."""
+    closed = {r["family"]: ((r["loc"], r["scale"]), r["aic"]) for r in closed_form_fits(rows, value).collect()}
+    closed |= {f: (p, 2 * len(p) - 2 * v) for f, (p, v) in newton_fits(rows, value).items()}
+    return [(f, *closed[f]) for f in families if f in closed and closed[f][1] is not None and math.isfinite(closed[f][1])]
+
+
+def infer_best_distribution(train: DataFrame, sigma: DataFrame, key: str, residual: str = "residual") -> tuple[str, tuple[float, ...]]:
+    """Of (key, residual) rows and their (key, sigma): family and parameters of residual / sigma, over all rows.
+
+    The family with the least AIC, of ties the first; standard normal where none can be fitted or a value is not finite.
+    """
+    rows = train.select(key, residual).join(sigma.select(F.col(key).alias("__k"), "sigma"), F.col(key) == F.col("__k"))
+    rows = checkpoint.cut(rows.select((F.col(residual).cast("double") / F.col("sigma")).alias("z")))
+    if rows.isEmpty() or not rows.filter(F.col("z").isNull() | ~(F.abs("z") < math.inf)).isEmpty():
+        return DEFAULT
+    family, params, _ = min(all_fits(rows, "z"), key=lambda f: f[2], default=(*DEFAULT, 0.0))
+    return family, params
 
 
 def closed_form_fits(df: DataFrame, value: str) -> DataFrame:

@@ -376,6 +376,39 @@ def dist_infer(spark, sf_dir):
     return spark.createDataFrame([(family, [float(p) for p in params])], "family string, params array<double>")
 
 
+#: g, g', g'' of log densities of two parameters in x, as likelihood.kernel has them.
+SCORES = {
+    "gumbel_r": ("-x - exp(-x)", "exp(-x) - 1e0", "-exp(-x)"),
+    "logistic": ("-x - 2e0 * ln(1e0 + exp(-x))", "2e0 / (1e0 + exp(x)) - 1e0", "-2e0 * exp(x) / ((1e0 + exp(x)) * (1e0 + exp(x)))"),
+}
+
+
+def newton_sql(steps: int = 12) -> str:
+    """Newton steps of the score equations in (loc, log scale), each a query over all rows."""
+    parts = ["e AS (SELECT CAST(value AS DOUBLE) AS z FROM events WHERE value IS NOT NULL)", "m AS (SELECT count(*) AS n, avg(z) AS m, stddev_pop(z) AS s FROM e)"]
+    ends = []
+    for f, kernel, sign, loc, scale in (("gumbel_r", "gumbel_r", "", "m - 0.5772e0 * s * sqrt(6e0) / pi()", "s * sqrt(6e0) / pi()"), ("gumbel_l", "gumbel_r", "-", "-m - 0.5772e0 * s * sqrt(6e0) / pi()", "s * sqrt(6e0) / pi()"), ("logistic", "logistic", "", "m", "s * sqrt(3e0) / pi()")):
+        g, g1, g2 = SCORES[kernel]
+        parts.append(f"{f}_0 AS (SELECT {loc} AS loc, ln({scale}) AS ls FROM m)")
+        for i in range(steps):
+            parts.append(f"{f}_s{i} AS (SELECT loc, ls, exp(ls) AS s, ({sign}z - loc) / exp(ls) AS x FROM e, {f}_{i})")
+            parts.append(
+                f"{f}_t{i} AS (SELECT loc, ls, -sum({g1}) / s AS a, -count(*) - sum(x * ({g1})) AS b, sum({g2}) / (s * s) AS aa, (sum({g1}) + sum(x * ({g2}))) / s AS ab, sum(x * ({g1})) + sum(x * x * ({g2})) AS bb FROM {f}_s{i} GROUP BY loc, ls, s)"
+            )
+            parts.append(f"{f}_{i + 1} AS (SELECT loc - (bb * a - ab * b) / (aa * bb - ab * ab) AS loc, ls - (aa * b - ab * a) / (aa * bb - ab * ab) AS ls FROM {f}_t{i})")
+        end = f"SELECT loc, ls, ({sign}z - loc) / exp(ls) AS x FROM e, {f}_{steps}"
+        ends.append(f"SELECT '{f}' AS family, round({sign}loc, 4) AS loc, round(exp(ls), 4) AS scale, round(4e0 - 2e0 * (sum({g}) - count(*) * ls), 3) AS aic FROM ({end}) GROUP BY loc, ls")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(ends)
+
+
+@query(newton_sql())
+def dist_fits_newton(spark, sf_dir):
+    """Families of two parameters whose maximum likelihood has no closed form."""
+    e = tables.table(spark, sf_dir, "events").filter("value is not null").select(F.col("value").cast("double").alias("z"))
+    fits = [(f, *map(float, p), float(a)) for f, p, a in errors.all_fits(e, "z", ("gumbel_r", "gumbel_l", "logistic"))]
+    return spark.createDataFrame(fits, "family string, loc double, scale double, aic double").select("family", F.round("loc", 4).alias("loc"), F.round("scale", 4).alias("scale"), F.round("aic", 3).alias("aic"))
+
+
 Z_SQL = "SELECT i AS grid_id, CASE WHEN i = 80 THEN 8e0 ELSE -8e0 + i * (16e0 / 80e0) END AS z FROM (SELECT range AS i FROM range(81))"
 SURVIVAL_SQL = {
     "norm": f"1e0 - {distributions.norm_cdf_sql('z')}",
