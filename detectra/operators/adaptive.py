@@ -5,20 +5,18 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import draws
 from ..sources.checkpoint import cut
 from ..sources.csv import write_csv
-from . import coverage, design, polynomial, sufficiency, variance
+from . import coverage, design, polynomial, replicates, sufficiency, variance
 from .executors import CLIExecutor, Executor
 from .validate import number, split
 
 DISTANCE = 0.05
 CANDIDATES, COMMITTEE, ATTEMPTS = 1000, 10, 10
-COMMITTEE_CELLS = 8_000_000
 
 
 def graveyard_filter(candidates: DataFrame, graveyard: DataFrame | None, inputs: Sequence[str], threshold: float = DISTANCE, key: str = "id") -> DataFrame:
@@ -84,20 +82,10 @@ def sample_uncertainty(df: DataFrame, inputs: Sequence[str], outcome: str, n: in
     none = df.select(*inputs).filter(F.lit(False))
     if n <= 0:
         return none
-    spark = df.sparkSession
-    candidates = graveyard_filter(pool(spark, CANDIDATES, input_ranges(df, inputs), seed), graveyard, inputs, threshold)
+    candidates = graveyard_filter(pool(df.sparkSession, CANDIDATES, input_ranges(df, inputs), seed), graveyard, inputs, threshold)
     fits = polynomial.fit_polynomials(df, inputs, outcome, (1, 2, 3), folds=5, alpha=0.0)
     degree = fits.winner[1]
-    rows = df.select(*inputs, outcome)
-    most, total = COMMITTEE_CELLS // (len(inputs) + 1), rows.count()
-    if total > most:
-        rows = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < int((1 << 30) * most / total))
-    pdf = rows.orderBy(*rows.columns).toPandas()
-    X, y = pdf[list(inputs)].to_numpy(float), pdf[outcome].to_numpy(float)
-    models = []
-    for i in range(COMMITTEE):
-        pick = np.random.RandomState(i).randint(0, len(X), len(X))
-        models.append(polynomial.fit_arrays(X[pick], y[pick], inputs, degree, alpha=0.0))
+    models = replicates.fit(df, inputs, outcome, degree, COMMITTEE, alpha=0.0, seed=seed).models
     return top_uncertain(committee_spread(candidates, models), n).select(*inputs)
 
 

@@ -1,4 +1,8 @@
-"""Bootstrap of polynomial and Kriging PoD curves: one task row for each replicate."""
+"""Bootstrap of polynomial and Kriging PoD curves.
+
+Up to MOST_CELLS numbers of training data a replicate is one task row, which resamples the rows that all
+tasks share.  Beyond, polynomial replicates are made of Poisson weights over all rows, in passes.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distributions
-from . import errors, kriging, polynomial, reliability, variance
+from . import errors, kriging, polynomial, reliability, replicates, variance
+from . import progress as progressing
 
 SAMPLES = 500
-CHUNK = 50
-#: Numbers of training data that may be broadcast; beyond, replicates resample a keyed sample of that size.
+#: Numbers of training data that may be broadcast.
 MOST_CELLS = 8_000_000
 
 
@@ -23,6 +27,22 @@ def lhs(n: int, d: int, seed: int) -> np.ndarray:
     return (np.stack([r.permutation(n) for _ in range(d)], 1) + r.random((n, d))) / n
 
 
+def places(grid: np.ndarray, names: Sequence[str], poi: Sequence[str], ranges, dists, n_mc: int) -> np.ndarray:
+    """Where a curve is evaluated: the same draws of the other inputs at each row of the grid."""
+    active = [c for c, (lo, hi) in ranges.items() if lo != hi]
+    draws = lhs(n_mc, len(ranges), 42) if active else np.zeros((1, max(len(ranges), 1)))
+    points = np.empty((len(grid) * len(draws), len(names)))
+    for i, c in enumerate(names):
+        if c in poi:
+            points[:, i] = np.repeat(grid[:, poi.index(c)], len(draws))
+        else:
+            j = list(ranges).index(c)
+            lo, hi = ranges[c]
+            v = np.full(len(draws), lo) if lo == hi else distributions.ppf(draws[:, j], *dists[c]) if c in dists else lo + draws[:, j] * (hi - lo)
+            points[:, i] = np.tile(v, len(grid))
+    return points
+
+
 def replicate_pod(b: int, X, y, grid, names, poi, ranges, dists, kind, bandwidth, family, limits, n_mc) -> np.ndarray:
     """PoD (grid x thresholds) of one resample: same degree or kernel, same family, same bandwidth."""
     pick = np.random.default_rng(b).integers(0, len(X), len(X))
@@ -35,37 +55,36 @@ def replicate_pod(b: int, X, y, grid, names, poi, ranges, dists, kind, bandwidth
         params = errors.fit(z, family)
     except (ValueError, FloatingPointError, OverflowError):
         params = (0.0, 1.0)
-    active = [c for c, (lo, hi) in ranges.items() if lo != hi]
-    draws = lhs(n_mc, len(ranges), 42) if active else np.zeros((1, max(len(ranges), 1)))
-    points = np.empty((len(grid) * len(draws), len(names)))
-    for i, c in enumerate(names):
-        if c in poi:
-            points[:, i] = np.repeat(grid[:, poi.index(c)], len(draws))
-        else:
-            j = list(ranges).index(c)
-            lo, hi = ranges[c]
-            v = np.full(len(draws), lo) if lo == hi else distributions.ppf(draws[:, j], *dists[c]) if c in dists else lo + draws[:, j] * (hi - lo)
-            points[:, i] = np.tile(v, len(grid))
+    points = places(grid, names, poi, ranges, dists, n_mc)
     mean, sigma = model.predict(points), np.maximum(variance.smooth_binned(Xb, r2, points, bandwidth), distributions.SIGMA_FLOOR)
     out = [np.clip(1 - distributions.cdf((t - mean) / sigma, family, params), 0, 1).reshape(len(grid), -1).mean(1) for t in limits]
     return np.stack(out, 1)
 
 
-def bootstrap_curves(df: DataFrame, inputs: Sequence[str], outcome: str, grid: DataFrame, poi: Sequence[str], ranges: Mapping[str, tuple[float, float]], kind, bandwidth: float, family: str, threshold: float, n_boot: int = 1000, n_mc: int = SAMPLES, dists=None, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+def bootstrap_curves(df: DataFrame, inputs: Sequence[str], outcome: str, grid: DataFrame, poi: Sequence[str], ranges: Mapping[str, tuple[float, float]], kind, bandwidth: float, family: str, threshold: float, n_boot: int = 1000, n_mc: int = SAMPLES, dists=None, progress: Callable[[int, int], None] | None = None, params: Sequence[float] | None = None) -> DataFrame:
     """(replicate, grid_id, pod).
 
-    ``progress(done, total)`` is called on the driver after each chunk is planned; what it raises is ignored.
+    With ``progress`` the curves are made at once, and progress(done, total) is called on the driver as tasks
+    end; what it raises is ignored.  ``params`` are the family's parameters for the whole table, from which
+    fits over all rows begin.
     """
     spark = df.sparkSession
     most = MOST_CELLS // (len(inputs) + 1)
     rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in [*inputs, outcome]])
     n = rows.count()
-    if n > most:
-        rows = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    pdf = rows.orderBy(*rows.columns).toPandas()
     ids = [r["grid_id"] for r in grid.select("grid_id").orderBy("grid_id").collect()]
     points = grid.orderBy("grid_id").select(*poi).toPandas().to_numpy(float)
     fixed = {c: (v[0], tuple(v[1]) if isinstance(v[1], (tuple, list)) else (v[1],)) for c, v in (dists or {}).items()}
+    if n > most and kind[0] == "Polynomial":
+        if not params:
+            params = next((p for f, p in errors.starts(0.0, 1.0, -4.0, 4.0, 0.5) if f == family), (0.0, 1.0))
+
+        def exceed(mean: np.ndarray, sigma: np.ndarray, own: Sequence[float]) -> np.ndarray:
+            return np.clip(1 - distributions.cdf((float(threshold) - mean) / np.maximum(sigma, distributions.SIGMA_FLOOR), family, own), 0, 1)
+
+        at = places(points, list(inputs), list(poi), dict(ranges), fixed, n_mc)
+        return replicates.bootstrap(rows, inputs, outcome, at, ids, kind[1], bandwidth, family, params, exceed, n_boot, progress=progress)
+    pdf = rows.orderBy(*rows.columns).toPandas()
     shared = spark.sparkContext.broadcast((pdf[list(inputs)].to_numpy(float), pdf[outcome].to_numpy(float), points, list(inputs), list(poi), dict(ranges), fixed, kind, bandwidth, family, [float(threshold)], n_mc))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -74,14 +93,9 @@ def bootstrap_curves(df: DataFrame, inputs: Sequence[str], outcome: str, grid: D
                 pod = replicate_pod(k, *shared.value)[:, 0]
                 yield pa.record_batch({"replicate": pa.array(np.full(len(ids), k)), "grid_id": pa.array(ids, pa.int64()), "pod": pa.array(pod)})
 
-    if progress:
-        for done in range(CHUNK, n_boot + CHUNK, CHUNK):
-            try:
-                progress(min(done, n_boot), n_boot)
-            except Exception:  # noqa: BLE001 - a callback may not stop the run
-                pass
     parts = max(1, min(n_boot, 4 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, n_boot, numPartitions=parts).mapInArrow(run, "replicate long, grid_id long, pod double")
+    curves = spark.range(0, n_boot, numPartitions=parts).mapInArrow(run, "replicate long, grid_id long, pod double")
+    return progressing.watched(curves, n_boot, progress)
 
 
 def bootstrap_pod_ci(*args, levels: Sequence[int] | None = None, **kwargs) -> DataFrame:

@@ -79,15 +79,15 @@ def normaliser(name: str, shape: Sequence[float]) -> tuple[float, np.ndarray, np
     return 0.0, np.zeros(0), np.zeros((0, 0))
 
 
-def sums(z: np.ndarray, family: str, params: Sequence[float]) -> np.ndarray:
-    """What a batch of values adds to the sums of a fit."""
+def sums(z: np.ndarray, family: str, params: Sequence[float], weight: np.ndarray | None = None) -> np.ndarray:
+    """What a batch of values adds to the sums of a fit; values may have weights."""
     name, sign = KERNELS[family]
     *shape, loc, scale = params
     x = (sign * z - loc) / scale
     with np.errstate(all="ignore"):
         (g, g1, g2), by, pairs = kernel(x, name, shape)
         out = [g, g1, x * g1, g2, x * g2, x * x * g2, *(v for a, b in by for v in (a, b, x * b)), *pairs]
-        return np.array([v.sum() for v in out])
+        return np.array([v.sum() if weight is None else v @ weight for v in out])
 
 
 def derivatives(n: int, family: str, params: Sequence[float], total: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -119,6 +119,9 @@ class Fit:
 
     family: str
     place: np.ndarray
+    n: float
+    low: float
+    high: float
     value: float = -math.inf
     grad: np.ndarray = field(default_factory=lambda: np.zeros(0))
     hess: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
@@ -128,7 +131,8 @@ class Fit:
 
     @property
     def params(self) -> tuple[float, ...]:
-        return natural(self.place)
+        *shape, loc, scale = natural(self.place)
+        return (*shape, KERNELS[self.family][1] * loc, scale)
 
 
 def natural(place: np.ndarray) -> tuple[float, ...]:
@@ -153,8 +157,9 @@ def feasible(family: str, place: np.ndarray, low: float, high: float) -> bool:
     return name != "beta" or place[-2] + math.exp(place[-1]) >= high + MARGIN * (high - low)
 
 
-def propose(fit: Fit, low: float, high: float) -> None:
+def propose(fit: Fit) -> None:
     """The next trial: a Newton step, damped until it ascends and stays feasible."""
+    low, high = fit.low, fit.high
     scale = np.maximum(np.abs(np.diag(fit.hess)), 1e-12)
     for _ in range(60):
         a = -fit.hess + fit.damp * np.diag(scale)
@@ -183,23 +188,24 @@ def propose(fit: Fit, low: float, high: float) -> None:
     fit.done = True
 
 
-def climb(n: int, low: float, high: float, begin: Sequence[tuple[str, tuple[float, ...]]], evaluate: Callable[[list[tuple[str, tuple[float, ...]]]], list[np.ndarray]], steps: int = STEPS) -> dict[str, tuple[tuple[float, ...], float]]:
-    """The best fit of each family, as (parameters, log-likelihood), from starts of (family, parameters).
+Evaluate = Callable[[list[Fit]], list[np.ndarray]]
 
-    ``evaluate`` gives the sums over all rows of fits with parameters of possibly mirrored values.
-    """
-    fits = []
-    for family, (*shape, loc, scale) in begin:
-        place = np.array([*np.log(shape), KERNELS[family][1] * loc, math.log(scale)])
-        if feasible(family, place, low, high):
-            fits.append(Fit(family, place, trial=place))
+
+def started(family: str, params: Sequence[float], n: float, low: float, high: float) -> Fit | None:
+    """A fit to begin at parameters, of ``n`` values (or their weight) between low and high; None outside of the support."""
+    *shape, loc, scale = params
+    place = np.array([*np.log(shape), KERNELS[family][1] * loc, math.log(scale)])
+    return Fit(family, place, n, low, high, trial=place) if feasible(family, place, low, high) else None
+
+
+def ascend(fits: list[Fit], evaluate: Evaluate, steps: int = STEPS) -> None:
+    """Takes the fits to their maxima; ``evaluate`` gives each fit's sums at its trial."""
     for _ in range(steps):
         live = [f for f in fits if not f.done]
         if not live:
             break
-        found = evaluate([(f.family, natural(f.trial)) for f in live])
-        for f, total in zip(live, found):
-            value, grad, hess = derivatives(n, f.family, natural(f.trial), total)
+        for f, total in zip(live, evaluate(live)):
+            value, grad, hess = derivatives(f.n, f.family, natural(f.trial), total)
             if math.isfinite(value) and np.isfinite(grad).all() and np.isfinite(hess).all() and value > f.value - 1e-13 * abs(value):
                 gain = value - f.value
                 f.place, f.value, f.grad, f.hess, f.damp = f.trial, value, grad, hess, f.damp / 8 if f.damp > 1e-9 else 0.0
@@ -211,24 +217,31 @@ def climb(n: int, low: float, high: float, begin: Sequence[tuple[str, tuple[floa
                 continue
             else:
                 f.damp = max(8 * f.damp, 1e-6)
-            propose(f, low, high)
+            propose(f)
+
+
+def climb(n: int, low: float, high: float, begin: Sequence[tuple[str, tuple[float, ...]]], evaluate: Evaluate, steps: int = STEPS) -> dict[str, tuple[tuple[float, ...], float]]:
+    """The best fit of each family, as (parameters, log-likelihood), from starts of (family, parameters)."""
+    fits = [f for f in (started(family, p, n, low, high) for family, p in begin) if f]
+    ascend(fits, evaluate, steps)
     out: dict[str, tuple[tuple[float, ...], float]] = {}
     for f in fits:
         if math.isfinite(f.value) and (f.family not in out or f.value > out[f.family][1]):
-            *shape, loc, scale = f.params
-            out[f.family] = (*shape, KERNELS[f.family][1] * loc, scale), f.value
+            out[f.family] = f.params, f.value
     return out
 
 
 def over_array(z: np.ndarray):
-    return lambda fits: [sums(z, *f) for f in fits]
+    return lambda fits: [sums(z, f.family, natural(f.trial)) for f in fits]
 
 
 def over_rows(rows: DataFrame, column: str):
     """Sums over all rows: a task adds up its batches for all fits, and tasks' sums meet by fit."""
     schema = "fit int, sums array<double>"
 
-    def evaluate(fits: list[tuple[str, tuple[float, ...]]]) -> list[np.ndarray]:
+    def evaluate(live: list[Fit]) -> list[np.ndarray]:
+        fits = [(f.family, natural(f.trial)) for f in live]
+
         def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             total: list = [0.0] * len(fits)
             for b in batches:

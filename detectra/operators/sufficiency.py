@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import coverage, polynomial, reliability
+from . import coverage, polynomial, reliability, replicates
 from .validate import correlation, quantiles, validate_simulation
 
 REPORT = "ord long, Test string, Variable string, Metric string, Value double, Threshold string, Pass boolean"
 PROBES = (0.1, 0.5, 0.9)
 RESAMPLES = 100
-MOST_CELLS = 8_000_000
 
 
 def vif(df: DataFrame, inputs: Sequence[str]) -> dict[str, float]:
@@ -41,26 +40,13 @@ def vif(df: DataFrame, inputs: Sequence[str]) -> dict[str, float]:
 
 
 def convergence(df: DataFrame, inputs: Sequence[str], outcome: str, n: int = RESAMPLES, degree: int = 2) -> DataFrame:
-    """(replicate, probe, prediction) of quadratic fits to resamples at joint percentiles of the inputs."""
+    """(replicate, probe, prediction) of quadratic fits to resamples of all rows at joint percentiles of the inputs."""
     spark = df.sparkSession
     points = np.array(list(quantiles(df, {c: F.col(f"`{c}`") for c in inputs}, PROBES).values()), float).T
-    rows = df.select(*inputs, outcome)
-    most = MOST_CELLS // (len(inputs) + 1)
-    total = rows.count()
-    if total > most:
-        rows = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < int((1 << 30) * most / total))
-    pdf = rows.orderBy(*rows.columns).toPandas()
-    shared = spark.sparkContext.broadcast((pdf[list(inputs)].to_numpy(float), pdf[outcome].to_numpy(float), points, list(inputs)))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        X, y, points, names = shared.value
-        for b in batches:
-            for k in b.column("id").to_pylist():
-                pick = np.random.default_rng([42, k]).integers(0, len(X), len(X))
-                m = polynomial.fit_arrays(X[pick], y[pick], names, degree, alpha=0.0)
-                yield pa.record_batch({"replicate": pa.array(np.full(len(points), k)), "probe": pa.array(np.arange(len(points))), "prediction": pa.array(m.predict(points))})
-
-    return spark.range(0, n, numPartitions=min(n, spark.sparkContext.defaultParallelism)).mapInArrow(run, "replicate long, probe long, prediction double")
+    fits = replicates.fit(df, inputs, outcome, degree, n, alpha=0.0, seed=42)
+    found = fits.predict(points)
+    rows = pa.table({"replicate": np.repeat(np.arange(n), len(points)), "probe": np.tile(np.arange(len(points)), n), "prediction": found.T.ravel()})
+    return spark.createDataFrame(rows.to_pandas(), "replicate long, probe long, prediction double")
 
 
 def relative_width(predictions: DataFrame) -> tuple[float, float]:
