@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: Input bytes, as Spark estimates them, for each chunk and each bucket.
 CHUNK_BYTES = 3 << 20
+#: Bytes of rows that a task deals at a time.
+PASS = 32 << 20
 #: As many buckets as a table may have by default.
 MOST_BUCKETS = 100_000
 CELL = "chunk int, bucket int, body binary"
@@ -117,28 +119,29 @@ def chunked(docs: DataFrame, chunks: int, carry: bool = False, by_id: bool = Fal
         held, size = [], 0
 
         def flush() -> Iterable[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
+            t = pa.Table.from_batches(held)
+            x = t.column("print").to_numpy()
             if by_id:
-                t = t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")]))
-                ids = np.asarray(t.column("doc_id"))
-                t = t.filter(pa.array(np.append(True, ids[1:] != ids[:-1])))
-                c = np.asarray(t.column("print")) % chunks
+                rows = pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")]).to_numpy()
+                ids = t.column("doc_id").to_numpy()[rows]
+                rows = rows[np.append(True, ids[1:] != ids[:-1])]
+                c = x[rows] % chunks
             else:
-                x = np.asarray(t.column("print"))
-                c = (x % chunks + repeats(x)) % chunks
+                rows, c = np.arange(len(x)), (x % chunks + repeats(x)) % chunks
             order = np.argsort(c, kind="stable")
-            t, c = t.take(pa.array(order)), c[order]
+            t, c = t.select(names).take(pa.array(rows[order])), c[order]
             cuts = np.flatnonzero(np.diff(c, prepend=-1))
             for s, e in zip(cuts, [*cuts[1:], len(c)]):
-                yield pa.record_batch({"chunk": pa.array([c[s]], pa.int32()), "body": pa.array([seal(t.slice(s, e - s).select(names))], pa.binary())})
+                yield pa.record_batch({"chunk": pa.array([c[s]], pa.int32()), "body": pa.array([seal(t.slice(s, e - s))], pa.binary())})
 
-        for b in batches:
-            if b.num_rows:
+        for batch in batches:
+            step = max(1, batch.num_rows * (PASS // 2) // max(1, batch.nbytes))
+            for b in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
                 held.append(b)
                 size += b.nbytes
-            if size > (16 if by_id else 48) << 20:
-                yield from flush()
-                held, size = [], 0
+                if size > PASS:
+                    yield from flush()
+                    held, size = [], 0
         if held:
             yield from flush()
 
