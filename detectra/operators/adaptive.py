@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,28 +18,46 @@ from .executors import CLIExecutor, Executor
 from .validate import number, split
 
 DISTANCE = 0.05
+#: Axes by whose cells points meet; each asks three cells an axis.
+CELL_AXES = 3
 CANDIDATES, COMMITTEE, ATTEMPTS = 1000, 10, 10
 
 
 def graveyard_filter(candidates: DataFrame, graveyard: DataFrame | None, inputs: Sequence[str], threshold: float = DISTANCE, key: str = "id") -> DataFrame:
     """Candidates farther than ``threshold`` from every failed point, on axes scaled over both sets.
 
-    Failed points without numbers are left out.  Candidates are a pool of fixed size, met by all
-    failed points; the smallest distance is taken before the shuffle.
+    Failed points without numbers are left out.  Both sets may be large: points meet by cells of the
+    threshold's side along up to CELL_AXES axes, and a candidate asks its own and the neighbouring
+    cells.  Candidates that share a cell of the threshold's diagonal with a failed point go first,
+    without being compared.
     """
     if graveyard is None:
         return candidates
     bad = graveyard.select(*[number(graveyard, c).alias(c) for c in inputs]).dropna()
     both = candidates.select(*inputs).unionByName(bad)
     lim = both.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(inputs) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    if bad.isEmpty():
+    if threshold < 0 or bad.isEmpty():
         return candidates
-    scale = [(float(lim[f"lo{i}"]), float(lim[f"hi{i}"] - lim[f"lo{i}"]) or 1.0) for i in range(len(inputs))]
+    d = len(inputs)
+    scale = [(float(lim[f"lo{i}"]), float(lim[f"hi{i}"] - lim[f"lo{i}"]) or 1.0) for i in range(d)]
     b = bad.select(*[((F.col(c) - lo) / w).alias(f"__b{i}") for i, (c, (lo, w)) in enumerate(zip(inputs, scale))])
     c = candidates.select(F.col(key).alias("__k"), *[((F.col(c) - lo) / w).alias(f"__c{i}") for i, (c, (lo, w)) in enumerate(zip(inputs, scale))])
-    d2 = sum((F.pow(F.col(f"__c{i}") - F.col(f"__b{i}"), 2) for i in range(len(inputs))), F.lit(0.0))
-    near = b.crossJoin(F.broadcast(c)).groupBy("__k").agg(F.sqrt(F.min(d2)).alias("__d")).filter(F.col("__d") > threshold).select("__k")
-    return candidates.join(near, F.col(key) == F.col("__k"), "left_semi")
+    cell = lambda side, i, size: F.floor(F.col(f"__{side}{i}") / size).cast("long")
+    if threshold > 0:
+        small = threshold / d**0.5 * (1 - 1e-9)
+        full = b.select(*[cell("b", i, small).alias(f"__f{i}") for i in range(d)]).distinct()
+        c = c.withColumns({f"__s{i}": cell("c", i, small) for i in range(d)})
+        c = c.join(full, reduce(and_, [F.col(f"__s{i}") == F.col(f"__f{i}") for i in range(d)]), "left_anti").drop(*[f"__s{i}" for i in range(d)])
+    wide, axes = max(threshold, 1e-6) * (1 + 1e-9), range(min(d, CELL_AXES))
+    asks = c
+    for i in axes:
+        asks = asks.withColumn(f"__q{i}", F.explode(F.array(*[cell("c", i, wide) + s for s in (-1, 0, 1)])))
+    b = b.distinct().withColumns({f"__h{i}": cell("b", i, wide) for i in axes})
+    d2 = sum((F.pow(F.col(f"__c{i}") - F.col(f"__b{i}"), 2) for i in range(d)), F.lit(0.0))
+    met = reduce(and_, [F.col(f"__q{i}") == F.col(f"__h{i}") for i in axes])
+    near = asks.join(b, met & (F.sqrt(d2) <= threshold), "left_semi").select(F.col("__k").alias("__n")).distinct()
+    far = c.select("__k").join(near, F.col("__k") == F.col("__n"), "left_anti")
+    return candidates.join(far, F.col(key) == F.col("__k"), "left_semi")
 
 
 def input_ranges(df: DataFrame, inputs: Sequence[str]) -> dict[str, tuple[float, float]]:

@@ -21,41 +21,6 @@ PASSES = 30
 DEFAULT = ("norm", (0.0, 1.0))
 
 
-def nelder_mead(f, start: np.ndarray, steps: int = 400, spread: float = 0.25, tolerance: float = 1e-9) -> tuple[np.ndarray, float]:
-    """Downhill simplex; infinite values are allowed."""
-    n = len(start)
-    points = [np.array(start, float)]
-    for i in range(n):
-        p = points[0].copy()
-        p[i] += spread * (abs(p[i]) if p[i] else 1.0)
-        points.append(p)
-    values = [f(p) for p in points]
-    for _ in range(steps):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if np.isfinite(values[-1]) and values[-1] - values[0] < tolerance * (1 + abs(values[0])):
-            break
-        middle = np.mean(points[:-1], axis=0)
-        far = middle + (middle - points[-1])
-        v = f(far)
-        if v < values[0]:
-            further = middle + 2 * (middle - points[-1])
-            w = f(further)
-            points[-1], values[-1] = (further, w) if w < v else (far, v)
-        elif v < values[-2]:
-            points[-1], values[-1] = far, v
-        else:
-            near = middle + 0.5 * ((far if v < values[-1] else points[-1]) - middle)
-            w = f(near)
-            if w < min(v, values[-1]):
-                points[-1], values[-1] = near, w
-            else:
-                points = [points[0], *(points[0] + 0.5 * (p - points[0]) for p in points[1:])]
-                values = [values[0], *(f(p) for p in points[1:])]
-    k = int(np.argmin(values))
-    return points[k], float(values[k])
-
-
 def starts(m: float, s: float, lo: float, hi: float, skew: float) -> list[tuple[str, tuple[float, ...]]]:
     """(family, parameters) to begin with, from mean, deviation, range and skewness."""
     s = s or 1.0

@@ -14,17 +14,22 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from ..sources import checkpoint
 
 ALPHA = 0.1
 DEGREES = range(1, 11)
 FOLDS = 10
-#: Degrees with more terms are skipped, and beyond this many sums the Gram matrix is added up in Arrow batches.
-MOST_TERMS = 1000
+#: Degrees of more terms are fitted by conjugate gradients, whose steps are passes over the rows; and beyond
+#: this many sums the Gram matrix of the others is added up in Arrow batches.
+MOST_TERMS = 3100
 NATIVE_SUMS = 150
+#: Conjugate gradients: residual at which a system is solved, steps at most, numbers of features expanded at a time.
+RESIDUAL, STEPS, CELLS = 1e-10, 500, 1 << 22
 
 
 def exponents(d: int, degree: int) -> list[tuple[int, ...]]:
@@ -181,6 +186,24 @@ def moments(df: DataFrame, inputs: Sequence[str], outcome: str, degree: int, fol
     return Moments(d, degree, {r["fold"]: (dict(zip(twice, r["sums"][:a])), dict(zip(once, r["sums"][a : a + b])), r["sums"][-1]) for r in rows})
 
 
+def codes(terms: Iterable[tuple[int, ...]], base: int) -> np.ndarray:
+    """Numbers of exponents whose sums are the numbers of products."""
+    t = np.array(list(terms), np.int64)
+    return t @ (base ** np.arange(t.shape[1], dtype=np.int64)) if len(t) else np.zeros(0, np.int64)
+
+
+def products_of(m: dict, terms: list[tuple[int, ...]]) -> np.ndarray:
+    """The sums of all products of two terms."""
+    base = 1 + max(max(t) for t in m)
+    keys = codes(m, base)
+    order = np.argsort(keys)
+    keys, values, own = keys[order], np.fromiter(m.values(), float, len(m))[order], codes(terms, base)
+    out = np.empty((len(terms), len(terms)))
+    for s in range(0, len(terms), 256):
+        out[s : s + 256] = values[np.searchsorted(keys, own[s : s + 256, None] + own[None, :])]
+    return out
+
+
 def solve(sums: tuple[dict, dict, float], terms: list[tuple[int, ...]], alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(term means, term stds, coefficients, intercept) of a ridge on standardised terms."""
     m, b, _ = sums
@@ -188,7 +211,7 @@ def solve(sums: tuple[dict, dict, float], terms: list[tuple[int, ...]], alpha: f
     zero = (0,) * d
     n = m[zero]
     mean = np.array([m[t] / n for t in terms])
-    second = np.array([[m[tuple(x + y for x, y in zip(s, t))] for t in terms] for s in terms])
+    second = products_of(m, terms)
     cov = second / n - np.outer(mean, mean)
     var = np.maximum(np.diag(cov), 0)
     std = np.where(var > 1e-20, np.sqrt(var), 1.0)
@@ -214,7 +237,7 @@ def squared_error(sums: tuple[dict, dict, float], terms: list[tuple[int, ...]],
     c = coef / std
     const = intercept - c @ mean
     full, weights = [*terms, zero], np.append(c, const)
-    gram = np.array([[m[tuple(x + y for x, y in zip(s, t))] for t in full] for s in full])
+    gram = products_of(m, full)
     sse = yy - 2 * weights @ np.array([b[t] for t in full]) + weights @ gram @ weights
     return max(float(sse), 0.0), float(yy - b[zero] ** 2 / m[zero])
 
@@ -241,12 +264,17 @@ class PolynomialFits:
 
 def fit_polynomials(df: DataFrame, inputs: Sequence[str], outcome: str, degrees: Iterable[int] = DEGREES, folds: int = FOLDS, alpha: float = ALPHA, row_id: str | None = None) -> PolynomialFits:
     """Models of all degrees with their mean per-fold errors; ties go to the lower degree."""
-    d = len(inputs)
-    degrees = [k for k in degrees if math.comb(d + k, d) <= MOST_TERMS]
+    d, degrees = len(inputs), list(degrees)
     n, center, spread = standardisation(df, inputs)
-    sums = moments(df, inputs, outcome, max(degrees), hash_fold(row_key(df, inputs, outcome, row_id), folds), center, spread)
+    fold = hash_fold(row_key(df, inputs, outcome, row_id), folds)
+    dense = [k for k in degrees if math.comb(d + k, d) <= MOST_TERMS]
+    sums = moments(df, inputs, outcome, max(dense), fold, center, spread) if dense else None
     models, mse, r2 = {}, {}, {}
     for k in degrees:
+        if k not in dense:
+            key = ("Polynomial", k)
+            models[key], mse[key], r2[key] = conjugate_fit(df, inputs, outcome, k, fold, center, spread, alpha)
+            continue
         terms = exponents(d, k)
         errors, scores = [], []
         for f, own in sums.folds.items():
@@ -265,6 +293,114 @@ def fit_polynomials(df: DataFrame, inputs: Sequence[str], outcome: str, degrees:
     return PolynomialFits(models, mse, r2)
 
 
+def powers(z: np.ndarray, terms: list[tuple[int, ...]]) -> np.ndarray:
+    """Rows x terms of monomials; each is a lower one times an input."""
+    at = {t: i for i, t in enumerate(terms)}
+    out = np.empty((len(terms), len(z)))
+    for i, t in enumerate(terms):
+        k = next((k for k, e in enumerate(t) if e), None)
+        out[i] = 1.0 if k is None else out[at[tuple(e - (j == k) for j, e in enumerate(t))]] * z[:, k]
+    return out.T
+
+
+def conjugate_fit(df: DataFrame, inputs: Sequence[str], outcome: str, degree: int, fold: Column, center: np.ndarray, spread: np.ndarray, alpha: float) -> tuple[PolynomialModel, float, float]:
+    """(model, mean fold MSE, mean fold R2) of a degree with any number of terms.
+
+    The ridge systems of all rows and of all rows but a fold's are solved at once by conjugate
+    gradients.  No Gram matrix is formed: a step is a pass in which tasks expand some rows at a time and
+    send A'(A v), of terms x systems.  On standardised terms the diagonal is 1 + alpha / n for all, so
+    standardising is the preconditioning by the diagonal.
+    """
+    d, terms = len(inputs), exponents(len(inputs), degree)
+    names, step = [f"z{i}" for i in range(d)], max(1, CELLS // len(terms))
+    z = df.select(*[((F.col(f"`{c}`").cast("double") - float(m)) / float(s)).alias(n) for n, c, m, s in zip(names, inputs, center, spread)], F.col(f"`{outcome}`").cast("double").alias("y"), fold.cast("int").alias("fold"))
+    z = checkpoint.cut(z)
+    folds = sorted(r[0] for r in z.select("fold").distinct().collect())
+    held = folds if len(folds) > 1 else []
+    systems = len(held) + 1  # the last is of all rows
+
+    def taught(f: np.ndarray) -> np.ndarray:
+        """Rows x systems: does a row belong to a system?"""
+        return np.stack([*[f != k for k in held], np.ones(len(f), bool)], 1).astype(float)
+
+    def passed(f, size: int) -> np.ndarray:
+        """The sum over all rows of f(features, outcome, fold)."""
+        schema = "place int, body binary"
+
+        def partial(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            total, some = np.zeros(size), False
+            for b in batches:
+                for s in range(0, b.num_rows, step):
+                    part = b.slice(s, step)
+                    total, some = total + f(powers(np.stack([np.asarray(part.column(c)) for c in names], 1), terms), np.asarray(part.column("y")), np.asarray(part.column("fold"))), True
+            if some:
+                yield pa.record_batch({"place": pa.array([TaskContext.get().partitionId()], pa.int32()), "body": pa.array([total.tobytes()], pa.binary())})
+
+        def add(t: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x.as_buffer()) for x in t.sort_by("place").column("body"))
+            return pa.table({"place": t.column("place").slice(0, 1), "body": pa.array([total.tobytes()], pa.binary())})
+
+        parts = z.mapInArrow(partial, schema).groupBy((F.col("place") % 64).alias("part")).applyInArrow(add, schema)
+        return sum((np.frombuffer(r["body"]) for r in sorted(parts.collect())), np.zeros(size))
+
+    t = len(terms)
+
+    def first(a: np.ndarray, y: np.ndarray, f: np.ndarray) -> np.ndarray:
+        own = taught(f)
+        return np.concatenate([(a.T @ own).ravel(), ((a * a).T @ own).ravel(), (a.T @ (own * y[:, None])).ravel(), own.sum(0), own.T @ y])
+
+    raw = passed(first, 3 * t * systems + 2 * systems)
+    one, two, cross = raw[: 3 * t * systems].reshape(3, t, systems)
+    n, ybar = raw[3 * t * systems : -systems], raw[-systems:] / np.maximum(raw[3 * t * systems : -systems], 1)
+    mean = one / n
+    var = np.maximum(two / n - mean**2, 0)
+    live = var > 1e-20
+    std = np.where(live, np.sqrt(var), 1.0)
+    rhs = np.where(live, (cross / n - mean * ybar) / std, 0.0)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        u = v / std
+        shift = (mean * u).sum(0)
+
+        def product(a: np.ndarray, y: np.ndarray, f: np.ndarray) -> np.ndarray:
+            w = (a @ u - shift) * taught(f)
+            return np.concatenate([(a.T @ w).ravel(), w.sum(0)])
+
+        got = passed(product, t * systems + systems)
+        both = got[: t * systems].reshape(t, systems) - mean * got[t * systems :]
+        return np.where(live, both / std / n + v * (alpha / n), 0.0)
+
+    coef, r = np.zeros((t, systems)), rhs.copy()
+    p, size = r.copy(), (r * r).sum(0)
+    goal = RESIDUAL**2 * np.maximum(size, 1e-300)
+    for _ in range(min(STEPS, 4 * t)):
+        if (size <= goal).all():
+            break
+        q = times(p)
+        move = np.where(size > goal, size / np.maximum((p * q).sum(0), 1e-300), 0.0)
+        coef, r = coef + move * p, r - move * q
+        new = (r * r).sum(0)
+        p, size = r + np.where(size > goal, new / np.maximum(size, 1e-300), 0.0) * p, new
+    flat = coef / std
+    const = ybar - (mean * flat).sum(0)
+
+    def errors(a: np.ndarray, y: np.ndarray, f: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(held), 4))
+        for i, k in enumerate(held):
+            own = f == k
+            e = y[own] - a[own] @ flat[:, i] - const[i]
+            out[i] = own.sum(), e @ e, y[own].sum(), y[own] @ y[own]
+        return out.ravel()
+
+    mse, r2 = math.inf, 0.0
+    if held:
+        count, sse, sy, yy = passed(errors, 4 * len(held)).reshape(len(held), 4).T
+        sst = yy - sy**2 / count
+        mse, r2 = float(np.mean(sse / count)), float(np.mean(np.where(sst > 0, 1 - sse / np.where(sst > 0, sst, 1.0), np.where(sse == 0, 1.0, 0.0))))
+    model = PolynomialModel(tuple(inputs), degree, center, spread, terms, mean[:, -1], std[:, -1], coef[:, -1], float(ybar[-1]))
+    return model, mse, r2
+
+
 def fit_arrays(X: np.ndarray, y: np.ndarray, inputs: Sequence[str], degree: int, alpha: float = ALPHA) -> PolynomialModel:
     """The same model from arrays in memory, for resamples."""
     X = np.asarray(X, float)

@@ -8,8 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import distributions, draws, grids
-from ..functions.text import clean_headers
+from ..functions import distributions, draws, text
 from ..operators import adaptive, bootstrap, coverage, design, errors, exports, integrate, kriging, linear, polynomial, reliability, sobol, sufficiency, validate, variance
 from ..operators.executors import PythonExecutor
 from ..sources import tables
@@ -409,7 +408,16 @@ def dist_fits_newton(spark, sf_dir):
     return spark.createDataFrame(fits, "family string, loc double, scale double, aic double").select("family", F.round("loc", 4).alias("loc"), F.round("scale", 4).alias("scale"), F.round("aic", 3).alias("aic"))
 
 
-Z_SQL = "SELECT i AS grid_id, CASE WHEN i = 80 THEN 8e0 ELSE -8e0 + i * (16e0 / 80e0) END AS z FROM (SELECT range AS i FROM range(81))"
+Z_SQL = "m AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events), g AS (SELECT event_id, (value - m) / s AS z FROM events, m)"
+
+
+def standardised(spark, sf_dir) -> DataFrame:
+    """(event_id, z): values of the events in deviations from their mean."""
+    e = tables.table(spark, sf_dir, "events")
+    one = e.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))  # one row
+    return e.crossJoin(F.broadcast(one)).select("event_id", ((F.col("value") - F.col("m")) / F.col("s")).alias("z"))
+
+
 SURVIVAL_SQL = {
     "norm": f"1e0 - {distributions.norm_cdf_sql('z')}",
     "gumbel_r": "1e0 - exp(-exp(-z))",
@@ -427,11 +435,11 @@ def _survival(family: str) -> None:
     params = (1.5, 0.0, 1.0) if family.startswith("weibull") else (0.0, 1.0)
 
     def run(spark, sf_dir):
-        z = grids.line(spark, "z", -8.0, 8.0, 81)
-        return z.select("grid_id", F.round("z", 6).alias("z"), F.round(distributions.survival(F.col("z"), family, params), 6).alias("sf"))
+        z = standardised(spark, sf_dir)
+        return z.select("event_id", F.round("z", 5).alias("z"), F.round(distributions.survival(F.col("z"), family, params), 5).alias("sf"))
 
     run.__name__ = f"survival_{family}"
-    query(f"WITH g AS ({Z_SQL}) SELECT grid_id, round(z, 6) AS z, round({SURVIVAL_SQL[family]}, 6) AS sf FROM g")(run)
+    query(f"WITH {Z_SQL} SELECT event_id, round(z, 5) AS z, round({SURVIVAL_SQL[family]}, 5) AS sf FROM g")(run)
 
 
 for _family in SURVIVAL_SQL:
@@ -439,15 +447,15 @@ for _family in SURVIVAL_SQL:
 
 
 @query(
-    f"""WITH g AS ({Z_SQL}) SELECT grid_id, round(CASE WHEN z <= 0 THEN 1e0 ELSE exp(-z) * (1e0 + z) END, 6) AS gamma,
-    round(0.5e0 - 0.375e0 * z / sqrt(1e0 + z * z / 4e0) * (1e0 - z * z / (1e0 + z * z / 4e0) / 12e0), 6) AS t,
-    round(CASE WHEN z <= 0 THEN 1e0 WHEN z >= 1 THEN 0e0 ELSE 1e0 - z * z * (6e0 - 8e0 * z + 3e0 * z * z) END, 6) AS beta FROM g"""
+    f"""WITH {Z_SQL} SELECT event_id, round(CASE WHEN z <= 0 THEN 1e0 ELSE exp(-z) * (1e0 + z) END, 5) AS gamma,
+    round(0.5e0 - 0.375e0 * z / sqrt(1e0 + z * z / 4e0) * (1e0 - z * z / (1e0 + z * z / 4e0) / 12e0), 5) AS t,
+    round(CASE WHEN z <= 0 THEN 1e0 WHEN z >= 1 THEN 0e0 ELSE 1e0 - z * z * (6e0 - 8e0 * z + 3e0 * z * z) END, 5) AS beta FROM g"""
 )
 def survival_special(spark, sf_dir):
     """Shapes whose survival functions are elementary."""
-    z = grids.line(spark, "z", -8.0, 8.0, 81)
+    z = standardised(spark, sf_dir)
     cases = {"gamma": (2.0, 0.0, 1.0), "t": (4.0, 0.0, 1.0), "beta": (2.0, 3.0, 0.0, 1.0)}
-    return z.select("grid_id", *[F.round(distributions.survival(F.col("z"), f, p), 6).alias(f) for f, p in cases.items()])
+    return z.select("event_id", *[F.round(distributions.survival(F.col("z"), f, p), 5).alias(f) for f, p in cases.items()])
 
 
 # Probability of detection
@@ -592,14 +600,14 @@ def millions(spark, sf_dir) -> DataFrame:
 
 @query()
 def kriging_fit(spark, sf_dir):
-    k = kriging.fit_kriging(millions(spark, sf_dir), ["a"], "signal", folds=5, restarts=1)
+    k = kriging.fit_kriging(millions(spark, sf_dir), ["a"], "signal")
     rows = [(k[0].kernel, k[1], k[0].gamma)] if k else []
     return spark.createDataFrame(rows, "kernel string, cv_mse double, gamma double")
 
 
 @query()
 def kriging_loo(spark, sf_dir):
-    k = kriging.fit_kriging(millions(spark, sf_dir), ["a"], "signal", folds=5, restarts=1)
+    k = kriging.fit_kriging(millions(spark, sf_dir), ["a"], "signal")
     return exports.kriging_diagnostics(k[0], spark) if k else spark.createDataFrame([], "row long, e double, scaled double")
 
 
@@ -615,14 +623,28 @@ def study_pod(spark, sf_dir):
 LHS_SQL = "WITH i AS (SELECT range AS id FROM range(200)), " + ", ".join(f"r{j} AS (SELECT id, row_number() OVER (ORDER BY {draws.bits_sql(repr(str(0)), repr(str(j)), 'id')}, id) - 1 AS k, {draws.uniform_sql(repr(str(0)), repr(f'jitter{j}'), 'id')} AS w FROM i)" for j in range(2))
 
 
-@query(LHS_SQL + " SELECT r0.id, round(10e0 * (r0.k + r0.w) / 200e0, 6) AS length, round(-45e0 + 90e0 * (r1.k + r1.w) / 200e0, 6) AS angle FROM r0 JOIN r1 ON r0.id = r1.id")
+@query(LHS_SQL + f", s AS ({PART_SQL}), {RANGE_SQL} SELECT r0.id, round(a0 + (a1 - a0) * ((r0.k + r0.w) / 200e0), 4) AS a, round(d0 + (d1 - d0) * ((r1.k + r1.w) / 200e0), 6) AS disc FROM r0 JOIN r1 ON r0.id = r1.id, r")
 def lhs_design(spark, sf_dir):
-    return rounded(design.generate_lhs(spark, 200, {"length": (0, 10), "angle": (-45, 45)}, reorder=False), 6)
+    """A design over the ranges of a table."""
+    ranges = adaptive.input_ranges(tables.part_study(spark, sf_dir), ["a", "disc"])
+    out = design.generate_lhs(spark, 200, ranges, reorder=False)
+    return out.select("id", F.round("a", 4).alias("a"), F.round("disc", 6).alias("disc"))
 
 
-@query()
+SUPPLIER_SQL = "SELECT l_suppkey AS id, sum(l_quantity) AS a, avg(l_discount) AS disc FROM lineitem GROUP BY l_suppkey"
+#: A step of the recursion takes the first of the farthest rows and lowers all distances.
+MAXMIN_SQL = f"""WITH RECURSIVE s AS ({SUPPLIER_SQL}), m AS (SELECT min(a) AS a0, max(a) - min(a) AS aw, min(disc) AS d0, max(disc) - min(disc) AS dw FROM s),
+    p AS (SELECT list(id ORDER BY id) AS ids, list((a - a0) / aw ORDER BY id) AS x, list((disc - d0) / dw ORDER BY id) AS y FROM s, m),
+    w AS (SELECT 0 AS place, CAST(1 AS BIGINT) AS k, list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i = 1 THEN -1e0 ELSE (x[i] - x[1]) * (x[i] - x[1]) + (y[i] - y[1]) * (y[i] - y[1]) END) AS near FROM p
+          UNION ALL SELECT place + 1, k, list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i = k THEN -1e0 ELSE least(near[i], (x[i] - x[k]) * (x[i] - x[k]) + (y[i] - y[k]) * (y[i] - y[k])) END)
+          FROM (SELECT place, near, CAST(list_position(near, list_max(near)) AS BIGINT) AS k FROM w), p WHERE place + 1 < len(ids))
+    SELECT ids[k] AS id, CAST(place AS BIGINT) AS place FROM w, p"""
+
+
+@query(MAXMIN_SQL)
 def maxmin_reorder(spark, sf_dir):
-    return design.generate_lhs(spark, 60, {"length": (0, 10), "angle": (-45, 45)})
+    """The suppliers as a design in max-min order."""
+    return design.max_min_order(tables.supplier_study(spark, sf_dir), ["a", "disc"], "id")
 
 
 YARD_SQL = """WITH c AS (SELECT s_suppkey AS id, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier),
@@ -684,7 +706,9 @@ def adaptive_split(spark, sf_dir):
 
 @query()
 def adaptive_search(spark, sf_dir):
-    return adaptive.run_adaptive_search(spark, PythonExecutor(lambda r: 3.0 * r["x"] + 1.0, "y"), {"x": (0.0, 10.0)}, ["x"], "y", n_start=30, n_step=10, max_iter=2)
+    """The search loop resumed from a table: a gap in its range is refined twice by the solver."""
+    s = tables.part_study(spark, sf_dir).select("a", (3.0 * F.col("a") + 1.0).alias("y"))
+    return adaptive.run_adaptive_search(spark, PythonExecutor(lambda r: 3.0 * r["a"] + 1.0, "y"), adaptive.input_ranges(s, ["a"]), ["a"], "y", existing_data=s, n_step=10, max_iter=2, max_gap_ratio=0.001)
 
 
 # Presentation
@@ -727,13 +751,10 @@ def nuisance_parameters(spark, sf_dir):
     return spark.createDataFrame([tuple(round(float(v), d) for v, d in zip(row, (4, 4, 6, 4)))], "mean double, std double, log_std double, log_scale double")
 
 
-HEADERS = (" Crack Length ", "Crack Length", "Signal (dB)", "Angle%")
-HEADER_SQL = f"""WITH h AS (SELECT unnest(range(4)) AS i, unnest([{", ".join(f"'{x}'" for x in HEADERS)}]) AS raw),
-    b AS (SELECT i, raw, regexp_replace(regexp_replace(trim(raw), '\\s', '_', 'g'), '[^A-Za-z0-9_]', '', 'g') AS base FROM h)
-    SELECT raw, base || CASE WHEN row_number() OVER w > 1 THEN '_' || (row_number() OVER w - 1) ELSE '' END AS clean FROM b WINDOW w AS (PARTITION BY base ORDER BY i)"""
-
-
-@query(HEADER_SQL)
+@query(
+    "WITH h AS (SELECT DISTINCT p_brand AS raw, p_type FROM part), b AS (SELECT raw, p_type, regexp_replace(regexp_replace(trim(raw), '\\s', '_', 'g'), '[^A-Za-z0-9_]', '', 'g') AS base FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY raw, p_type) - 1 AS k FROM b) SELECT raw, p_type, CASE WHEN k = 0 THEN base ELSE base || '_' || k END AS name FROM k"
+)
 def clean_header_names(spark, sf_dir):
-    raw = list(HEADERS)
-    return spark.createDataFrame(list(zip(raw, clean_headers(raw))), "raw string, clean string")
+    """Brands as headers of a wide table that has one for each type."""
+    h = tables.table(spark, sf_dir, "part").select(F.col("p_brand").alias("raw"), "p_type").distinct()
+    return text.cleaned(h, "raw", "raw", "p_type")

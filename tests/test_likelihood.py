@@ -13,6 +13,41 @@ PLACES = {"gumbel_r": (0.3, 0.5), "gumbel_l": (-0.3, 0.5), "logistic": (0.2, 0.4
 DRAWS = {"gumbel_r": lambda r, n: r.gumbel(0, 1, n), "gumbel_l": lambda r, n: -r.gumbel(1, 2, n), "logistic": lambda r, n: r.logistic(3, 1, n), "weibull_min": lambda r, n: r.weibull(2, n), "weibull_max": lambda r, n: 5 - r.weibull(2, n), "gamma": lambda r, n: r.gamma(3, 1, n) - 3, "t": lambda r, n: r.standard_t(4, n), "beta": lambda r, n: r.beta(2, 3, n)}
 
 
+def nelder_mead(f, start: np.ndarray, steps: int = 400, spread: float = 0.25, tolerance: float = 1e-9) -> tuple[np.ndarray, float]:
+    """Downhill simplex; infinite values are allowed."""
+    n = len(start)
+    points = [np.array(start, float)]
+    for i in range(n):
+        p = points[0].copy()
+        p[i] += spread * (abs(p[i]) if p[i] else 1.0)
+        points.append(p)
+    values = [f(p) for p in points]
+    for _ in range(steps):
+        order = np.argsort(values, kind="stable")
+        points, values = [points[i] for i in order], [values[i] for i in order]
+        if np.isfinite(values[-1]) and values[-1] - values[0] < tolerance * (1 + abs(values[0])):
+            break
+        middle = np.mean(points[:-1], axis=0)
+        far = middle + (middle - points[-1])
+        v = f(far)
+        if v < values[0]:
+            further = middle + 2 * (middle - points[-1])
+            w = f(further)
+            points[-1], values[-1] = (further, w) if w < v else (far, v)
+        elif v < values[-2]:
+            points[-1], values[-1] = far, v
+        else:
+            near = middle + 0.5 * ((far if v < values[-1] else points[-1]) - middle)
+            w = f(near)
+            if w < min(v, values[-1]):
+                points[-1], values[-1] = near, w
+            else:
+                points = [points[0], *(points[0] + 0.5 * (p - points[0]) for p in points[1:])]
+                values = [values[0], *(f(p) for p in points[1:])]
+    k = int(np.argmin(values))
+    return points[k], float(values[k])
+
+
 @pytest.mark.parametrize("family", PLACES)
 def test_derivatives(family):
     z, p = np.random.default_rng(0).uniform(0.1, 0.9, 50), PLACES[family]
@@ -43,7 +78,7 @@ def test_fits_are_as_good_as_a_simplex_search(family):
 
     p = errors.fit(z, family)
     value = np.sum(distributions.log_pdf(z, family, p))
-    place, least = errors.nelder_mead(loss, np.array([*np.log(p[:k]), p[k], math.log(p[k + 1])]), steps=2000, tolerance=1e-14)
+    place, least = nelder_mead(loss, np.array([*np.log(p[:k]), p[k], math.log(p[k + 1])]), steps=2000, tolerance=1e-14)
     assert value >= -least - 1e-6
     assert errors.best_of(z)[0] == family or errors.aic(z, *errors.best_of(z)) <= errors.aic(z, family, p) + 1e-9
     assert np.array(p) == pytest.approx(np.array([*np.exp(place[:k]), place[k], math.exp(place[k + 1])]), rel=0.02, abs=0.02)
