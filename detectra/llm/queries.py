@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, kdtree, langid, lines, lm, mixing, near, substring, suffix, tokens, warc, whiten, wire
+from . import decontam, exact, kdtree, langid, lines, lm, mixing, near, sql, substring, suffix, tokens, warc, whiten, wire
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,10 +108,10 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op9_exact_dedup": f"""
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
-        FROM (SELECT doc_id, translate(coalesce(text, ''), '{exact.UPPER}', '{exact.LOWER}') AS t FROM documents)
-        WINDOW w AS (PARTITION BY t)
-    """,
+    "op3_decontaminate": sql.DECONTAMINATE,
+    "op4_substring_dedup": sql.SUBSTRING,
+    "op7_near_dedup": sql.NEAR,
+    "op9_exact_dedup": sql.EXACT,
+    "op12_warc": sql.WARC,
+    "op13_centroid_clustering": sql.clustering_sql(),
 }
