@@ -243,12 +243,6 @@ def poly_cv_d1(spark, sf_dir):
     return spark.createDataFrame([(1, round(float(np.sqrt(part_fits(spark, sf_dir, (1,)).cv_mse["Polynomial", 1])), 2))], "degree int, rmse double")
 
 
-@query()
-def poly_cv_scores(spark, sf_dir):
-    fits = part_fits(spark, sf_dir, polynomial.DEGREES)
-    return exports.model_selection(fits.cv_mse, spark)
-
-
 @query()
 def poly_fit_multi(spark, sf_dir):
     fits = polynomial.fit_polynomials(tables.part_study(spark, sf_dir), list(NAMES), "signal", (1, 2, 3), row_id="id")
@@ -256,15 +250,42 @@ def poly_fit_multi(spark, sf_dir):
     return spark.createDataFrame([(fits.winner[1], polynomial.equation(m, "signal"), polynomial.equation(m, "signal", raw=True))], "degree int, equation string, raw_equation string")
 
 
-def elimination_sql(n: int) -> list[str]:
-    """CTEs e1 to en that solve n equations of columns m<row><column>, the right side in column n, from e0 on."""
+def elimination_sql(n: int, name: str = "e") -> list[str]:
+    """CTEs e1 to en that solve n equations of columns m<row><column>, the right side in column n, from e0 on.
+
+    Rows and columns are letters from the eleventh on.
+    """
+    k = DIGITS
     out = []
     for p in range(n):
-        new = [f"m{p}{j} / m{p}{p} AS m{p}{j}" if i == p else f"m{i}{j} - m{i}{p} / m{p}{p} * m{p}{j} AS m{i}{j}" for i in range(n) for j in range(n + 1)]
-        out.append(f"e{p + 1} AS (SELECT * REPLACE ({', '.join(new)}) FROM e{p})")
+        new = [f"m{k[p]}{k[j]} / m{k[p]}{k[p]} AS m{k[p]}{k[j]}" if i == p else f"m{k[i]}{k[j]} - m{k[i]}{k[p]} / m{k[p]}{k[p]} * m{k[p]}{k[j]} AS m{k[i]}{k[j]}" for i in range(n) for j in range(n + 1)]
+        out.append(f"{name}{p + 1} AS MATERIALIZED (SELECT * REPLACE ({', '.join(new)}) FROM {name}{p})")
     return out
 
 
+DIGITS = "0123456789abcdef"
+
+
+def ridge_cv_sql(degrees) -> str:
+    """Mean fold MSE of the ridge of each degree, each fitted to the other folds."""
+    top, z = max(degrees), DIGITS
+    ctes = [
+        f"s AS (SELECT *, {FOLD_SQL} AS fold FROM ({PART_SQL}))",
+        "z AS (SELECT fold, signal, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS x FROM s)",
+        f"f AS MATERIALIZED (SELECT fold, signal, {', '.join(' * '.join(['x'] * (i + 1)) + f' AS t{i}' for i in range(top))} FROM z)",
+    ]
+    for d in degrees:
+        k = range(d)
+        cells = [f"CASE WHEN {i} = {j} THEN 1e0 + 0.1e0 / count(*) ELSE corr(t{i}, t{j}) END AS m{z[i]}{z[j]}" for i in k for j in k]
+        cells += [f"covar_pop(t{i}, signal) / stddev_pop(t{i}) AS m{z[i]}{z[d]}, avg(t{i}) AS u{i}, stddev_pop(t{i}) AS d{i}" for i in k]
+        mean = "ym + " + " + ".join(f"m{z[i]}{z[d]} / d{i} * (t{i} - u{i})" for i in k)
+        ctes.append(f"g{d}_0 AS MATERIALIZED (SELECT k, {', '.join(cells)}, avg(signal) AS ym FROM f, (SELECT range AS k FROM range(10)) WHERE fold <> k GROUP BY k)")
+        ctes += elimination_sql(d, f"g{d}_")
+        ctes.append(f"r{d} AS (SELECT avg(e) AS mse FROM (SELECT avg(pow(signal - ({mean}), 2)) AS e FROM f JOIN g{d}_{d} ON fold = k GROUP BY k))")
+    ctes.append("c AS (" + " UNION ALL ".join(f"SELECT {d} AS degree, mse FROM r{d}" for d in degrees) + ")")
+    return f"WITH {', '.join(ctes)} SELECT degree, round(ln(mse), 6) AS log_mse, round(mse / min(mse) OVER (), 6) AS ratio FROM c"
+
+
 def cubic_sql() -> str:
     """Each fold's R2 of the cubic fitted to the other folds."""
     k = range(3)
@@ -281,6 +302,12 @@ def cubic_sql() -> str:
     return f"WITH {', '.join(ctes)} SELECT round(avg(r2), 6) AS mean_r2, avg(r2) > 0.5 AS stable FROM r"
 
 
+@query(ridge_cv_sql(polynomial.DEGREES))
+def poly_cv_scores(spark, sf_dir):
+    fits = part_fits(spark, sf_dir, polynomial.DEGREES)
+    return exports.model_selection(fits.cv_mse, spark).select("degree", F.round(F.log("mse"), 6).alias("log_mse"), F.round("ratio", 6).alias("ratio"))
+
+
 @query(cubic_sql())
 def model_fit_r2(spark, sf_dir):
     r2 = sufficiency.model_fit(tables.part_study(spark, sf_dir), ["a"], "signal", "id")
