@@ -7,21 +7,23 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import draws
+from ..functions import draws, sequences
 from . import variance
 
-#: Points of each matrix; keyed draws need more of them than a low-discrepancy sequence.
-SAMPLES = 8192
+#: Points of each matrix, a power of two.
+SAMPLES = 2048
 
 
 def total_order(spark: SparkSession, model, bounds: Mapping[str, tuple[float, float]], n: int = SAMPLES, seed: int = 5) -> DataFrame:
     """(variable, st): total-order indices clamped to [0, 1]; 0 for a flat model.
 
-    For each input, A and the same points with that input from B differ in it only.
+    For each input, A and the same points with that input from B differ in it only.  A and B are the
+    halves of a Sobol' sequence; coordinates beyond its dimensions are keyed draws.
     """
     names = list(bounds)
     d = len(names)
-    point = lambda j: draws.uniform(F.lit(seed), F.lit(j), F.col("id"))
+    bits = max(1, (n - 1).bit_length())
+    point = lambda j: sequences.sobol(F.col("id"), j, bits) if j < sequences.DIMENSIONS else draws.uniform(F.lit(seed), F.lit(j), F.col("id"))
     base = spark.range(0, n).select("id", *[point(j).alias(f"a{j}") for j in range(d)], *[point(d + j).alias(f"b{j}") for j in range(d)])
     which = base.withColumn("v", F.explode(F.array(*[F.lit(k) for k in range(-1, d)])))
     at = {c: F.lit(float(lo)) + F.when(F.col("v") == j, F.col(f"b{j}")).otherwise(F.col(f"a{j}")) * float(hi - lo) for j, (c, (lo, hi)) in enumerate(bounds.items())}

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import distributions, draws, text
+from ..functions import distributions, draws, sequences, text
 from ..operators import adaptive, bootstrap, coverage, design, errors, exports, integrate, kriging, linear, polynomial, reliability, sobol, sufficiency, validate, variance
 from ..operators.executors import PythonExecutor
 from ..sources import tables
@@ -608,7 +608,7 @@ def poly_bootstrap_ci(spark, sf_dir):
     return bootstrap.bootstrap_pod_ci(s, ["a"], "signal", integrate.poi_grid(s, ["a"]), ["a"], {}, ("Polynomial", 1), BANDWIDTH, "norm", THRESHOLD, n_boot=1000, levels=reliability.LEVELS)
 
 
-SOBOL_SQL = f"""u AS (SELECT id, {", ".join(f"{draws.uniform_sql(repr(str(5)), repr(str(j)), 'id')} AS u{j}" for j in range(4))} FROM (SELECT range AS id FROM range({sobol.SAMPLES}))),
+SOBOL_SQL = f"""u AS (SELECT id, {", ".join(f"{sequences.sobol_sql('id', j, sobol.SAMPLES.bit_length() - 1)} AS u{j}" for j in range(4))} FROM (SELECT range AS id FROM range({sobol.SAMPLES}))),
     h AS (SELECT a0 + u0 * (a1 - a0) AS aa, a0 + u2 * (a1 - a0) AS ab, d0 + u1 * (d1 - d0) AS da, d0 + u3 * (d1 - d0) AS db FROM u, r),
     v AS (SELECT {mean_sql('aa', 'da')} AS f, {mean_sql('ab', 'da')} AS fa, {mean_sql('aa', 'db')} AS fd FROM h, q),
     w AS (SELECT var_pop(f) AS var, avg((f - fa) * (f - fa)) / 2 AS ea, avg((f - fd) * (f - fd)) / 2 AS ed FROM v)"""

@@ -4,7 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from detectra.operators import adaptive, design, kriging, polynomial
+from pyspark.sql import functions as F
+
+from detectra.operators import adaptive, design, kriging, polynomial, sobol
 
 
 def test_conjugate_gradients_are_the_solution(spark, monkeypatch):
@@ -101,3 +103,35 @@ def test_graveyard_by_cells(spark, d, threshold):
     far = np.sqrt((((C[:, None] - B[None]) / (hi - lo)) ** 2).sum(2)).min(1) > threshold
     got = {x["id"] for x in adaptive.graveyard_filter(c, b, names, threshold).collect()}
     assert got == set(np.flatnonzero(far).tolist())
+
+
+def test_sobol_points_are_the_published_ones(spark):
+    from detectra.functions import sequences
+
+    dims = range(sequences.DIMENSIONS)
+    rows = spark.range(1024).select("id", *[sequences.sobol(F.col("id"), j, 10).alias(f"u{j}") for j in dims]).orderBy("id").toPandas()
+    # The first points of the authors' program in three dimensions.
+    published = [(0, 0, 0), (0.5, 0.5, 0.5), (0.75, 0.25, 0.25), (0.25, 0.75, 0.75), (0.375, 0.375, 0.625), (0.875, 0.875, 0.125), (0.625, 0.125, 0.875), (0.125, 0.625, 0.375), (0.1875, 0.3125, 0.9375), (0.6875, 0.8125, 0.4375)]
+    assert rows[["u0", "u1", "u2"]].to_numpy()[:10].tolist() == [list(map(float, p)) for p in published]
+    for j in dims:  # every coordinate has one point in each of 1024 strata
+        assert sorted((rows[f"u{j}"] * 1024).astype(int)) == list(range(1024))
+    cells = (rows.u0 * 32).astype(int) * 32 + (rows.u1 * 32).astype(int)
+    assert len(set(cells)) == 1024
+
+
+def test_sobol_indices_of_fewer_points_are_closer(spark):
+    from detectra.functions import sequences
+
+    X = np.random.default_rng(7).uniform(0, 1, (300, 3))
+    y = X[:, 0] * X[:, 1] + 0.5 * X[:, 2] ** 2
+    m = polynomial.fit_arrays(X, y, ["a", "b", "c"], 2, alpha=0.0)
+    # Exact: of x y and z^2 / 2 on the unit cube.
+    va, vc = 7 / 144, 0.25 * (1 / 5 - 1 / 9)
+    part = 1 / 48 + 1 / 144
+    want = {"a": part / (va + vc), "b": part / (va + vc), "c": vc / (va + vc)}
+    box = {k: (0.0, 1.0) for k in "abc"}
+    error = lambda n: max(abs(r["st"] - want[r["variable"]]) for r in sobol.total_order(spark, m, box, n).collect())
+    close = error(1024)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sequences, "DIMENSIONS", 0)
+        assert close < error(8192) and close < 0.005
