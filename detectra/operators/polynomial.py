@@ -262,19 +262,11 @@ class PolynomialFits:
         return min(self.cv_mse, key=self.cv_mse.get)
 
 
-def fit_polynomials(df: DataFrame, inputs: Sequence[str], outcome: str, degrees: Iterable[int] = DEGREES, folds: int = FOLDS, alpha: float = ALPHA, row_id: str | None = None) -> PolynomialFits:
-    """Models of all degrees with their mean per-fold errors; ties go to the lower degree."""
-    d, degrees = len(inputs), list(degrees)
-    n, center, spread = standardisation(df, inputs)
-    fold = hash_fold(row_key(df, inputs, outcome, row_id), folds)
-    dense = [k for k in degrees if math.comb(d + k, d) <= MOST_TERMS]
-    sums = moments(df, inputs, outcome, max(dense), fold, center, spread) if dense else None
+def fits_from(sums: Moments, inputs: Sequence[str], degrees: Sequence[int], center: np.ndarray, spread: np.ndarray, alpha: float = ALPHA) -> PolynomialFits:
+    """Models of the degrees, with their mean per-fold errors, from sums of monomials of standardised inputs."""
+    d = len(inputs)
     models, mse, r2 = {}, {}, {}
     for k in degrees:
-        if k not in dense:
-            key = ("Polynomial", k)
-            models[key], mse[key], r2[key] = conjugate_fit(df, inputs, outcome, k, fold, center, spread, alpha)
-            continue
         terms = exponents(d, k)
         errors, scores = [], []
         for f, own in sums.folds.items():
@@ -293,6 +285,23 @@ def fit_polynomials(df: DataFrame, inputs: Sequence[str], outcome: str, degrees:
     return PolynomialFits(models, mse, r2)
 
 
+def fit_polynomials(df: DataFrame, inputs: Sequence[str], outcome: str, degrees: Iterable[int] = DEGREES, folds: int = FOLDS, alpha: float = ALPHA, row_id: str | None = None) -> PolynomialFits:
+    """Models of all degrees with their mean per-fold errors; ties go to the lower degree."""
+    d, degrees = len(inputs), list(degrees)
+    _, center, spread = standardisation(df, inputs)
+    fold = hash_fold(row_key(df, inputs, outcome, row_id), folds)
+    dense = [k for k in degrees if math.comb(d + k, d) <= MOST_TERMS]
+    found = PolynomialFits({}, {}, {})
+    if dense:
+        found = fits_from(moments(df, inputs, outcome, max(dense), fold, center, spread), inputs, dense, center, spread, alpha)
+    for k in degrees:
+        if k not in dense:
+            key = ("Polynomial", k)
+            found.models[key], found.cv_mse[key], found.cv_r2[key] = conjugate_fit(df, inputs, outcome, k, fold, center, spread, alpha)
+            found.models[key].cv_scores = found.cv_mse
+    return found
+
+
 def powers(z: np.ndarray, terms: list[tuple[int, ...]]) -> np.ndarray:
     """Rows x terms of monomials; each is a lower one times an input."""
     at = {t: i for i, t in enumerate(terms)}
