@@ -771,6 +771,33 @@ def linear_signal_model(spark, sf_dir):
     return out.select("grid_id", F.round("a", 6).alias("a"), *[F.round(c, 2).alias(c) for c in ("mean", "lower", "upper")])
 
 
+def panel_sql(name: str, bins: int) -> str:
+    return f"""SELECT '{name}' AS variable, bin, round(lo + bin * w, 6) AS lo, round(lo + (bin + 1) * w, 6) AS hi, count(*) AS n FROM
+        (SELECT CAST(least(floor(({name} - lo) / w), {bins - 1}) AS INTEGER) AS bin, lo, w FROM s, (SELECT min({name}) AS lo, (max({name}) - min({name})) / {bins} AS w FROM s)) GROUP BY bin, lo, w"""
+
+
+@query(f"WITH s AS ({PART_SQL}) " + " UNION ALL ".join(panel_sql(c, exports.HISTOGRAM_BINS["coverage"]) for c in ("a", "signal")))
+def coverage_panels(spark, sf_dir):
+    """The histograms of the coverage view."""
+    h = exports.coverage_panels(tables.part_study(spark, sf_dir), ["a", "signal"])
+    return h.select("variable", "bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n")
+
+
+@query(f"WITH {TRAIN_SQL} SELECT round(signal, 2) AS actual, round(signal - residual, 1) AS predicted FROM t")
+def fit_diagnostics(spark, sf_dir):
+    """Actual against predicted signals of the linear ridge."""
+    m, t = train(spark, sf_dir)
+    return exports.actual_vs_predicted(t, m, "signal").select(F.round("actual", 2).alias("actual"), F.round("predicted", 1).alias("predicted"))
+
+
+@query(f"WITH s AS ({PART_SQL}), r AS (SELECT 'a' AS variable, min(a) AS lo, median(a) AS mid, max(a) AS hi FROM s UNION ALL SELECT 'n', min(n), median(n), max(n) FROM s) SELECT variable, lo AS min, mid AS median, hi AS max, round((hi - lo) / 100, 6) AS step, CAST(greatest(0, -floor(log10((hi - lo) / 100))) AS BIGINT) AS decimals FROM r")
+def sliders(spark, sf_dir):
+    """Limits, steps and decimals of the inputs' sliders."""
+    s = tables.part_study(spark, sf_dir)
+    rows = [(c, float(x["min"]), float(x["median"]), float(x["max"]), round(x["step"], 6), x["decimals"]) for c in ("a", "n") for x in [exports.slider(s, c)]]
+    return spark.createDataFrame(rows, "variable string, min double, median double, max double, step double, decimals long")
+
+
 @query("SELECT round(avg(c_acctbal), 4) AS mean, round(stddev_samp(c_acctbal), 4) AS std, round(stddev_samp(CASE WHEN c_acctbal > 0 THEN ln(c_acctbal) END), 6) AS log_std, round(exp(avg(CASE WHEN c_acctbal > 0 THEN ln(c_acctbal) END)), 4) AS log_scale FROM customer")
 def nuisance_parameters(spark, sf_dir):
     p = errors.nuisance_parameters(tables.table(spark, sf_dir, "customer"), "c_acctbal")

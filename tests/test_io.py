@@ -1,11 +1,13 @@
 import os
 import re
+import zipfile
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from detectra.sources import csv
+from detectra.sources import csv, xlsx
 from detectra.plans.study import SimulationStudy
 
 SF = "/root/testdata/sf0.001"
@@ -29,10 +31,28 @@ def test_report(spark, tmp_path):
     st.pod("x", 15.0, n_boot=0, model_override="polynomial", force_degree=1)
     csv.write_report(st.report(), str(tmp_path / "report"), "csv")
     assert set(os.listdir(tmp_path / "report")) == {"summary", "curve", "reliability"}
+    st.save_report(str(tmp_path / "report.xlsx"))
+    assert "worksheets/sheet3.xml" in " ".join(zipfile.ZipFile(tmp_path / "report.xlsx").namelist())
     moved = st.update_slice({})
     assert moved.threshold == 15.0 and moved.n_boot == 0
 
 
+def test_workbook(spark, tmp_path):
+    path = str(tmp_path / "w.xlsx")
+    odd = spark.createDataFrame([(1, "a<b>&\x01 ", None, float("nan"), True), (-2, None, 1.5, 2e300, False)], "i long, s string, d double, e double, b boolean")
+    xlsx.write_xlsx({"one/two": odd, "one:two": odd.limit(0), "x" * 40: odd.select("i")}, path)
+    space = {"m": xlsx.MAIN}
+    with zipfile.ZipFile(path) as z:
+        for name in z.namelist():
+            ElementTree.fromstring(z.read(name))
+        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind(".//m:sheet", space)]
+        cells = {c.get("r"): "".join(c.itertext()) for c in ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml")).iterfind(".//m:c", space)}
+        empty = list(ElementTree.fromstring(z.read("xl/worksheets/sheet2.xml")).iterfind(".//m:row", space))
+    assert names == ["one_two", "one_two_2", "x" * 31] and len(empty) == 1
+    assert cells == {"A1": "i", "B1": "s", "C1": "d", "D1": "e", "E1": "b", "A2": "1", "B2": "a<b>& ", "E2": "1", "A3": "-2", "C3": "1.5", "D3": "2e+300", "E3": "0"}
+    assert [xlsx.column_name(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+
+
 def values(rows, names):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted((tuple(None if r[i] is None else r[i] for i in order) for r in rows), key=str)
