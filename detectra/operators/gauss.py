@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bandwidths beyond which a weight, under 2e-16, counts as none; the bound on an axis's error; numbers of a lattice's moments.
 REACH, TOLERANCE, MOST_CELLS = 8.5, 1e-12, 4_000_000
@@ -306,6 +307,22 @@ class Transform:
         return targets.select(key, *names).mapInArrow(run, f"`{key}` {dict(targets.dtypes)[key]}, w double, v double")
 
 
+def beside(transform: Transform, targets: DataFrame, names: Sequence[str], h: float, floor: float, instead: float) -> DataFrame:
+    """The targets, whose inputs have the given names, with ``sigma``, the root of the value's local mean; weights of at most ``floor`` count as ``instead``."""
+    shared = targets.sparkSession.sparkContext.broadcast(transform.expansions(h))
+    columns = targets.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, PASS):
+                part = b.slice(s, PASS)
+                w, v, _ = shared.value.sums(arrays(part, names))
+                sigma = np.sqrt(np.maximum(v, 0.0) / np.where(w <= floor, instead, w))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sigma)], names=[*columns, "sigma"])
+
+    return targets.mapInArrow(run, T.StructType([*targets.schema.fields, T.StructField("sigma", T.DoubleType())]))
+
+
 def least_of(errors_of, ladder: np.ndarray, tolerance: float, nodes: int = 16) -> float:
     """Where a smooth function is least, from batches of values: on the ladder, then on Chebyshev nodes between neighbours.
 

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import distributions, grids
-from . import design, variance
+from . import design, gauss, variance
 
 SAMPLES = 3000
 BROADCAST_CELLS = 4_000_000
+#: Pairs of points and training rows that are met directly.
+DIRECT = 100_000_000
 
 Dists = Mapping[str, tuple[str, Sequence[float] | float]]
 
@@ -76,10 +78,20 @@ def compute_multi_dim_pod(grid: DataFrame, ranges: Mapping[str, tuple[float, flo
 
 
 def with_sigma(points: DataFrame, train: DataFrame, inputs: Sequence[str], bandwidth: float, residual: str = "residual") -> DataFrame:
-    """Points with sigma.  Training rows up to BROADCAST_CELLS numbers are broadcast and smoothed in
-    blocks; beyond that the kernel join runs as an aggregate."""
+    """Points with sigma.
+
+    Beyond DIRECT pairs of a point and a training row a fast Gauss transform is used where its lattice is
+    small enough.  Else training rows up to BROADCAST_CELLS numbers are broadcast and smoothed in
+    blocks, and more are met by local_std."""
     most = BROADCAST_CELLS // (len(inputs) + 1)
     rows = train.select(*inputs, residual)
+    if points.count() * rows.count() > DIRECT and bandwidth > 0:
+        xs = [f"x{i}" for i in range(len(inputs))]
+        squares = rows.select(*[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(inputs, xs)], (F.col(f"`{residual}`") * F.col(f"`{residual}`")).alias("r2"))
+        (lo, hi), (low, high) = variance.box(squares, xs), variance.box(points.select(*[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(inputs, xs)]), xs)
+        lo, hi = np.minimum(lo, low), np.maximum(hi, high)
+        if gauss.Transform.fits(lo, hi, bandwidth):
+            return gauss.beside(gauss.Transform(squares, xs, "r2", lo, hi, bandwidth), points, list(inputs), bandwidth, variance.WEIGHT_FLOOR, variance.WEIGHT_LEAST)
     if rows.limit(most + 1).count() > most:
         sigma = variance.local_std(points, train, inputs, bandwidth, "point", residual)
         return points.join(sigma.withColumnRenamed("point", "__p"), F.col("point") == F.col("__p")).drop("__p")

@@ -498,13 +498,13 @@ def pod_curve_1d(spark, sf_dir):
 
 
 SPECTRUM_SQL = f"""WITH {TRAIN_SQL}, {SIGMA_SQL}, b AS (SELECT min(signal) AS lo, max(signal) AS hi FROM s),
-    th AS (SELECT i, CASE WHEN i = 19 THEN hi ELSE lo + i * ((hi - lo) / 19e0) END AS th FROM b, (SELECT range AS i FROM range(20))),
+    th AS (SELECT i, CASE WHEN i = 99 THEN hi ELSE lo + i * ((hi - lo) / 99e0) END AS th FROM b, (SELECT range AS i FROM range(100))),
     z AS (SELECT grid_id, th, (th - intercept - slope * sg.a) / sigma AS z FROM sg, l, th)"""
 
 
 def spectrum(spark, sf_dir):
     m, t = train(spark, sf_dir)
-    return integrate.threshold_spectrum(integrate.poi_grid(t, ["a"]), {}, m, t, "signal", BANDWIDTH, ("norm", (0.0, 1.0)), n=20)
+    return integrate.threshold_spectrum(integrate.poi_grid(t, ["a"]), {}, m, t, "signal", BANDWIDTH, ("norm", (0.0, 1.0)))
 
 
 @query(SPECTRUM_SQL + f" SELECT grid_id, round(th, 1) AS threshold, round(1e0 - {distributions.norm_cdf_sql('z')}, 5) AS pod FROM z")
@@ -577,7 +577,7 @@ def unit_sql(seed: int, n: int, dims: int) -> str:
     return f"SELECT id, {', '.join(each)} FROM (SELECT range AS id FROM range({n}))"
 
 
-MC_SQL = f"p AS (SELECT i * 500 + h.id AS point, i AS grid_id, {line_sql('i', 'a0', 'a1', 100)} AS a, d0 + (d1 - d0) * u0 AS disc FROM r, (SELECT range AS i FROM range(100)), ({unit_sql(42, 500, 1)}) h)"
+MC_SQL = f"p AS (SELECT i * {integrate.SAMPLES} + h.id AS point, i AS grid_id, {line_sql('i', 'a0', 'a1', 100)} AS a, d0 + (d1 - d0) * u0 AS disc FROM r, (SELECT range AS i FROM range(100)), ({unit_sql(42, integrate.SAMPLES, 1)}) h)"
 
 
 def two_inputs(spark, sf_dir):
@@ -599,7 +599,7 @@ def pod_surface_2d(spark, sf_dir):
 @query(f"WITH {quadratic_sql()}, {RANGE_SQL}, {MC_SQL}, {NOISY_SQL} SELECT grid_id, {THRESHOLD}e0 AS threshold, round(avg(1e0 - {distributions.norm_cdf_sql('z')}), 5) AS pod, round(avg(m), 1) AS mean_response FROM o GROUP BY grid_id")
 def pod_mc_marginal(spark, sf_dir):
     s, m, t = two_inputs(spark, sf_dir)
-    return shown(integrate.compute_multi_dim_pod(integrate.poi_grid(s, ["a"]), adaptive.input_ranges(s, ["disc"]), m, t, BANDWIDTH, ("norm", (0.0, 1.0)), [THRESHOLD], n_mc=500))
+    return shown(integrate.compute_multi_dim_pod(integrate.poi_grid(s, ["a"]), adaptive.input_ranges(s, ["disc"]), m, t, BANDWIDTH, ("norm", (0.0, 1.0)), [THRESHOLD]))
 
 
 @query()

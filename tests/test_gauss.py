@@ -90,3 +90,17 @@ def test_search_finds_smooth_minima_edges_and_jumps():
     jump = gauss.least_of(lambda h: np.abs(np.asarray(h) - 0.1) + (np.asarray(h) < 0.1), ladder, 1e-5)
     assert jump == pytest.approx(0.1, abs=1e-4)
     assert np.isfinite(gauss.least_of(lambda h: np.zeros(len(h)), ladder, 1e-5))
+
+
+def test_marginal_curves_are_the_same_by_either_way(spark, monkeypatch):
+    from detectra.operators import integrate, polynomial
+
+    X, e = sample(500, 2, 6)
+    df = spark.createDataFrame(pd.DataFrame(X, columns=["x0", "x1"]).assign(y=X[:, 0] + e)).repartition(3)
+    m = polynomial.fit_polynomials(df, ["x0", "x1"], "y", (1,)).models["Polynomial", 1]
+    train = variance.add_residuals(df, m, "y")
+    grid = integrate.poi_grid(df, ["x0"])
+    run = lambda: integrate.compute_multi_dim_pod(grid, {"x1": (-1.0, 1.0)}, m, train, 0.4, ("norm", (0.0, 1.0)), 1.0, n_mc=20).toPandas().sort_values("grid_id").pod.to_numpy()
+    want = run()
+    monkeypatch.setattr(integrate, "DIRECT", 10)
+    assert run() == pytest.approx(want, abs=1e-6)
