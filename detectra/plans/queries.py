@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import numpy as np
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions, draws, sequences, text
 from ..operators import adaptive, bootstrap, coverage, design, errors, exports, integrate, kriging, linear, polynomial, reliability, sobol, sufficiency, validate, variance
-from ..operators.executors import PythonExecutor
-from ..sources import tables
+from ..operators.executors import CLIExecutor, PythonExecutor
+from ..sources import checkpoint, csv, tables
 from ..sources.tables import ORDER_SQL, PART_SQL, USER_SQL
 from .study import SimulationStudy
 
@@ -738,6 +739,95 @@ def adaptive_search(spark, sf_dir):
     return adaptive.run_adaptive_search(spark, PythonExecutor(lambda r: 3.0 * r["a"] + 1.0, "y"), adaptive.input_ranges(s, ["a"]), ["a"], "y", existing_data=s, n_step=10, max_iter=2, max_gap_ratio=0.001)
 
 
+# The study and its executors
+
+PAIRS_SQL = "SELECT CAST(s_suppkey AS DOUBLE) AS key, s_acctbal AS balance, CAST(s_nationkey AS DOUBLE) AS nation FROM supplier UNION ALL SELECT CAST(c_custkey AS DOUBLE), c_acctbal, CAST(c_nationkey AS DOUBLE) FROM customer WHERE c_acctbal > 0"
+
+
+@query(PAIRS_SQL)
+def study_append(spark, sf_dir):
+    """Suppliers, then customers with other columns and in another order, where a negative balance is text."""
+    first = tables.table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("key"), "s_name", F.col("s_nationkey").alias("nation"))
+    later = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"), "c_mktsegment", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("string")).otherwise("none").alias("balance"))
+    st = SimulationStudy(spark)
+    st.add_data(first, "nation", ["key", "balance"])
+    st.data = st.data.withColumn("balance", F.col("balance").cast("string"))
+    st.add_data(later)
+    return st._validate().select(*[F.col(c).cast("double").alias(c) for c in ("key", "balance", "nation")])
+
+
+@query(f"WITH s AS ({PART_SQL}) SELECT 'disc' AS input, round(median(disc), 6) AS value FROM s UNION ALL SELECT 'tax', round(median(tax), 6) FROM s")
+def study_slices(spark, sf_dir):
+    """Inputs that are neither of interest nor nuisances, at their medians."""
+    st = SimulationStudy(spark)
+    st.add_data(tables.part_study(spark, sf_dir).drop("id"), "signal", list(NAMES))
+    _, _, slices = st._bind("a", "n", None)
+    return spark.createDataFrame([(c, round(v, 6)) for c, v in slices.items()], "input string, value double")
+
+
+@query(f"SELECT id, a AS Part_Length, signal AS Signal_dB FROM ({PART_SQL})")
+def csv_files(spark, sf_dir):
+    """A study written as CSV and read again, with cleaned headers."""
+    path = checkpoint.new_folder(spark, "csv")
+    s = tables.part_study(spark, sf_dir).select("id", F.col("a").alias(" Part Length "), F.col("signal").alias("Signal (dB)"))
+    csv.write_csv(s, path)
+    return csv.read_csv(spark, path).select(F.col("id").cast("long").alias("id"), F.col("Part_Length").cast("double").alias("Part_Length"), F.col("Signal_dB").cast("double").alias("Signal_dB"))
+
+
+@query("SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS size, CASE WHEN p_size % 7 <> 0 THEN 3e0 * p_size - 1 END AS signal FROM part")
+def solver_cli(spark, sf_dir):
+    """An external command that leaves failed runs empty and gives the outcome only, so inputs are stitched on."""
+    script = "import csv, sys; v = [float(r['size']) for r in csv.DictReader(open(sys.argv[1]))]; open(sys.argv[2], 'w').write(chr(10).join(['signal', *('nan' if x % 7 == 0 else repr(3 * x - 1) for x in v)]))"
+    p = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"))
+    return CLIExecutor(f'{sys.executable} -c "{script}" {{input}} {{output}}', outcome_col="signal").run(p)
+
+
+@query(
+    gap_sql(PART_SQL, ["a"])
+    + f""", w AS (SELECT x, nxt, d0, d1, a0, a1 FROM r, (SELECT min(disc) AS d0, max(disc) AS d1, min(a) AS a0, max(a) AS a1 FROM s) WHERE k = 1), u AS ({unit_sql(0, 1000, 2)}),
+    c AS (SELECT id, x + (nxt - x) * u0 AS a, d0 + (d1 - d0) * u1 AS disc FROM u, w), f AS (SELECT x + (nxt - x) / 2 AS a, disc FROM s, w WHERE disc > 0.05),
+    m AS (SELECT min(a) AS p0, max(a) - min(a) AS pw, min(disc) AS q0, max(disc) - min(disc) AS qw FROM (SELECT a, disc FROM c UNION ALL SELECT a, disc FROM f)),
+    d AS (SELECT c.id, min(sqrt(pow((c.a - f.a) / pw, 2) + pow((c.disc - f.disc) / qw, 2))) AS d FROM c, f, m GROUP BY c.id)
+    SELECT round(c.a, 6) AS a, round(c.disc, 6) AS disc FROM c JOIN d ON c.id = d.id WHERE d > 0.05 ORDER BY {draws.bits_sql(repr(str(0)), repr('pick'), 'c.id')}, c.id LIMIT 10"""
+)
+def gap_fill_graveyard(spark, sf_dir):
+    """New points in the largest gap, away from failed ones in its middle."""
+    s = tables.part_study(spark, sf_dir)
+    gap = coverage.gaps(s, ["a"]).select((F.col("gap_start") + (F.col("gap_end") - F.col("gap_start")) / 2).alias("middle"))  # one row
+    failed = s.filter("disc > 0.05").crossJoin(F.broadcast(gap)).select(F.col("middle").alias("a"), "disc")
+    return rounded(adaptive.fill_gaps(s, "a", ["a", "disc"], 10, failed), 6)
+
+
+@query("WITH w AS (SELECT c_nationkey AS probe, stddev_pop(c_acctbal) / (abs(avg(c_acctbal)) + 1e-6) AS w FROM customer GROUP BY c_nationkey) SELECT round(avg(w), 6) AS mean, round(max(w), 6) AS largest FROM w")
+def relative_width(spark, sf_dir):
+    t = tables.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("probe"), F.col("c_acctbal").alias("prediction"))
+    return spark.createDataFrame([tuple(round(v, 6) for v in sufficiency.relative_width(t))], "mean double, largest double")
+
+
+@query(f"SELECT arg_min(degree, log_mse) AS degree FROM ({ridge_cv_sql((1, 2, 3))})")
+def selected_degree(spark, sf_dir):
+    """The degree with the least cross-validated error."""
+    return spark.createDataFrame([(part_fits(spark, sf_dir).winner[1],)], "degree int")
+
+
+@query(f"WITH s AS ({PART_SQL}), r AS (SELECT {RIDGE_SQL} FROM s), l AS (SELECT {line_of('r')} FROM r) SELECT format('signal = {{:.4g}} + {{:.4g}} \\cdot a', intercept, slope) AS equation FROM l")
+def latex_equation(spark, sf_dir):
+    m = part_fits(spark, sf_dir, (1,)).models["Polynomial", 1]
+    return spark.createDataFrame([(polynomial.equation(m, "signal", raw=True),)], "equation string")
+
+
+UNIT_SQL = f"SELECT c_custkey AS id, {draws.uniform_sql(repr('quantile'), 'c_custkey')} AS u FROM customer"
+#: Quantiles of standard families by their closed forms.
+QUANTILES = {"logistic": "ln(u) - ln(1 - u)", "gumbel_r": "-ln(-ln(u))", "expon": "-ln(1 - u)", "weibull_min": "pow(-ln(1 - u), 1 / 1.5e0)", "uniform": "u", "laplace": "CASE WHEN u < 0.5 THEN ln(2 * u) ELSE -ln(2 * (1 - u)) END", "gumbel_l": "ln(-ln(1 - u))"}
+
+
+@query(f"SELECT id, {', '.join(f'round({q}, 6) AS {f}' for f, q in QUANTILES.items())} FROM ({UNIT_SQL})")
+def quantile_functions(spark, sf_dir):
+    """Inverse distribution functions at a draw for each row."""
+    u = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), draws.uniform(F.lit("quantile"), F.col("c_custkey")).alias("u"))
+    return u.select("id", *[F.round(distributions.ppf_column(F.col("u"), f, (1.5, 0.0, 1.0) if f == "weibull_min" else (0.0, 1.0)), 6).alias(f) for f in QUANTILES])
+
+
 # Presentation
 
 HIST_SQL = "WITH l AS (SELECT min(value) AS lo, (max(value) - min(value)) / 25 AS w, count(value) AS total FROM events), b AS (SELECT CAST(least(floor((value - lo) / w), 24) AS INTEGER) AS bin FROM events, l) SELECT bin, round(lo + bin * w, 6) AS lo, round(lo + (bin + 1) * w, 6) AS hi, count(*) AS n, round(count(*) / total / w, 8) AS density FROM b, l GROUP BY bin, lo, w, total"
