@@ -6,7 +6,7 @@ Parameters are (shapes..., loc, scale).  A scale that is not positive gives NULL
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -154,12 +154,17 @@ def cdf(x, family: str, params: Sequence[float]) -> np.ndarray:
     raise ValueError(f"unknown distribution {family!r}")
 
 
-def ppf(u, family: str, params: Sequence[float]) -> np.ndarray:
-    """Inverse CDF; families without a closed form are inverted by bisection."""
+def ppf(u, family: str | Callable[..., np.ndarray], params: Sequence[float]) -> np.ndarray:
+    """Inverse CDF; families without a closed form are inverted by bisection.
+
+    A family may also be a function of (u, *shapes), the inverse CDF of its standard form.
+    """
     *shape, loc, scale = params
     u = np.asarray(u, float)
     with np.errstate(all="ignore"):
-        if family == "norm":
+        if callable(family):
+            z = np.asarray(family(u, *shape), float)
+        elif family == "norm":
             z = special.norm_ppf(u)
         elif family == "lognorm":
             z = np.exp(shape[0] * special.norm_ppf(u))
@@ -179,6 +184,24 @@ def ppf(u, family: str, params: Sequence[float]) -> np.ndarray:
             z = (-np.log1p(-u)) ** (1 / shape[0])
         elif family == "weibull_max":
             z = -((-np.log(u)) ** (1 / shape[0]))
+        elif family == "cauchy":
+            z = np.tan(np.pi * (u - 0.5))
+        elif family == "rayleigh":
+            z = np.sqrt(-2 * np.log1p(-u))
+        elif family == "halfnorm":
+            z = special.norm_ppf((1 + u) / 2)
+        elif family == "pareto":
+            z = (1 - u) ** (-1 / shape[0])
+        elif family == "triang":
+            c = shape[0]
+            z = np.where(u < c, np.sqrt(c * u), 1 - np.sqrt((1 - c) * (1 - u)))
+        elif family == "loguniform":
+            z = shape[0] * (shape[1] / shape[0]) ** u
+        elif family == "truncnorm":
+            low, high = special.norm_cdf(shape[0]), special.norm_cdf(shape[1])
+            z = special.norm_ppf(low + u * (high - low))
+        elif family == "chi2":
+            z = ppf(u, "gamma", (shape[0] / 2, 0.0, 2.0))
         elif family in FAMILIES:
             unit = (*shape, 0.0, 1.0)
             lo, hi = np.full(u.shape, 0.0 if family in ("gamma", "beta") else -1e8), np.full(u.shape, 1.0 if family == "beta" else 1e8)
@@ -192,8 +215,8 @@ def ppf(u, family: str, params: Sequence[float]) -> np.ndarray:
     return loc + scale * z
 
 
-def ppf_column(u: Column, family: str, params: Sequence[float]) -> Column:
-    """Inverse CDF of a Column: native where closed, else Arrow."""
+def ppf_column(u: Column, family: str | Callable[..., np.ndarray], params: Sequence[float]) -> Column:
+    """Inverse CDF of a Column: native where closed, else Arrow.  The family may be a function, as for ``ppf``."""
     *shape, loc, scale = map(float, params)
     if family == "uniform":
         return loc + scale * u

@@ -43,7 +43,7 @@ def places(grid: np.ndarray, names: Sequence[str], poi: Sequence[str], ranges, d
     return points
 
 
-def replicate_pod(b: int, X, y, grid, names, poi, ranges, dists, kind, bandwidth, family, limits, n_mc) -> np.ndarray:
+def replicate_pod(b: int, X, y, points, n_grid, names, kind, bandwidth, family, limits) -> np.ndarray:
     """PoD (grid x thresholds) of one resample: same degree or kernel, same family, same bandwidth."""
     pick = np.random.default_rng(b).integers(0, len(X), len(X))
     Xb, yb = X[pick], y[pick]
@@ -55,9 +55,8 @@ def replicate_pod(b: int, X, y, grid, names, poi, ranges, dists, kind, bandwidth
         params = errors.fit(z, family)
     except (ValueError, FloatingPointError, OverflowError):
         params = (0.0, 1.0)
-    points = places(grid, names, poi, ranges, dists, n_mc)
     mean, sigma = model.predict(points), np.maximum(variance.smooth_binned(Xb, r2, points, bandwidth), distributions.SIGMA_FLOOR)
-    out = [np.clip(1 - distributions.cdf((t - mean) / sigma, family, params), 0, 1).reshape(len(grid), -1).mean(1) for t in limits]
+    out = [np.clip(1 - distributions.cdf((t - mean) / sigma, family, params), 0, 1).reshape(n_grid, -1).mean(1) for t in limits]
     return np.stack(out, 1)
 
 
@@ -75,6 +74,7 @@ def bootstrap_curves(df: DataFrame, inputs: Sequence[str], outcome: str, grid: D
     ids = [r["grid_id"] for r in grid.select("grid_id").orderBy("grid_id").collect()]
     points = grid.orderBy("grid_id").select(*poi).toPandas().to_numpy(float)
     fixed = {c: (v[0], tuple(v[1]) if isinstance(v[1], (tuple, list)) else (v[1],)) for c, v in (dists or {}).items()}
+    at = places(points, list(inputs), list(poi), dict(ranges), fixed, n_mc)
     if n > most and kind[0] == "Polynomial":
         if not params:
             params = next((p for f, p in errors.starts(0.0, 1.0, -4.0, 4.0, 0.5) if f == family), (0.0, 1.0))
@@ -82,10 +82,9 @@ def bootstrap_curves(df: DataFrame, inputs: Sequence[str], outcome: str, grid: D
         def exceed(mean: np.ndarray, sigma: np.ndarray, own: Sequence[float]) -> np.ndarray:
             return np.clip(1 - distributions.cdf((float(threshold) - mean) / np.maximum(sigma, distributions.SIGMA_FLOOR), family, own), 0, 1)
 
-        at = places(points, list(inputs), list(poi), dict(ranges), fixed, n_mc)
         return replicates.bootstrap(rows, inputs, outcome, at, ids, kind[1], bandwidth, family, params, exceed, n_boot, progress=progress)
     pdf = rows.orderBy(*rows.columns).toPandas()
-    shared = spark.sparkContext.broadcast((pdf[list(inputs)].to_numpy(float), pdf[outcome].to_numpy(float), points, list(inputs), list(poi), dict(ranges), fixed, kind, bandwidth, family, [float(threshold)], n_mc))
+    shared = spark.sparkContext.broadcast((pdf[list(inputs)].to_numpy(float), pdf[outcome].to_numpy(float), at, len(points), list(inputs), kind, bandwidth, family, [float(threshold)]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:

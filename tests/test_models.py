@@ -46,6 +46,33 @@ def test_survival_column_matches_numpy(spark, family):
     assert got.to_numpy() == pytest.approx(1 - distributions.cdf(z, family, params), abs=2e-7)
 
 
+NUISANCES = {"cauchy": (), "rayleigh": (), "halfnorm": (), "pareto": (2.5,), "triang": (0.3,), "loguniform": (0.1, 10.0), "truncnorm": (-1.0, 2.0), "chi2": (3.0,)}
+#: Medians of the standard families.
+MEDIANS = {"cauchy": 0.0, "rayleigh": 1.17741002, "halfnorm": 0.67448975, "pareto": 1.31950791, "triang": 0.40839202, "loguniform": 1.0, "chi2": 2.36597388}
+
+
+def test_nuisance_families_and_own_functions(spark):
+    u = np.linspace(0.01, 0.99, 25)
+    for family, shape in NUISANCES.items():
+        z = distributions.ppf(u, family, (*shape, 1.0, 2.0))
+        assert (np.diff(z) > 0).all()
+        if family in MEDIANS:
+            assert distributions.ppf(0.5, family, (*shape, 0.0, 1.0)) == pytest.approx(MEDIANS[family], abs=1e-6)
+    z = distributions.ppf(0.5, "truncnorm", (-1.0, 2.0, 0.0, 1.0))
+    assert special.norm_cdf(z) == pytest.approx((special.norm_cdf(-1.0) + special.norm_cdf(2.0)) / 2)
+    own = lambda u, k: u**k
+    assert distributions.ppf(0.5, own, (2.0, 1.0, 4.0)) == pytest.approx(2.0)
+    got = frame(spark, u=u).select(distributions.ppf_column(F.col("u"), own, (2.0, 1.0, 4.0)).alias("z")).toPandas().z
+    assert got.to_numpy() == pytest.approx(1 + 4 * u**2)
+    r = np.random.default_rng(0)
+    a, b = r.uniform(0, 10, 300), r.uniform(0, 1, 300)
+    df = frame(spark, a=a, b=b, y=a + 3 * b + r.normal(0, 0.5, 300))
+    args = (df, ["a", "b"], "y", integrate.poi_grid(df, ["a"]), ["a"], {"b": (0.0, 1.0)}, ("Polynomial", 1), 0.5, "norm", 8.0)
+    curve = lambda dists: bootstrap.bootstrap_curves(*args, n_boot=4, n_mc=40, dists=dists).toPandas().groupby("grid_id").pod.mean().to_numpy()
+    assert curve({"b": (own, (1.0, 0.0, 1.0))}) == pytest.approx(curve({"b": ("uniform", (0.0, 1.0))}), abs=1e-9)
+    assert curve({"b": (own, (9.0, 0.0, 1.0))}).mean() < curve(None).mean()
+
+
 def test_no_scale_is_null(spark):
     assert spark.range(1).select(distributions.survival(F.lit(0.0), "norm", (0.0, 0.0))).first()[0] is None
 
