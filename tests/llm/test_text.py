@@ -295,7 +295,7 @@ def test_mixing_edges(odd, nothing):
 
 
 def test_queries_and_sql_name_the_same():
-    assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
 
 
 def test_pipeline(spark, tmp_path, docs):
