@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: Input bytes, as Spark estimates them, for each chunk and each bucket.
 CHUNK_BYTES = 3 << 20
-#: Bytes of rows that a task deals at a time.
-PASS = 32 << 20
+#: Bytes of rows that a task deals at a time, for an exchange and for a table that is written in the same task.
+PASS, TABLE_PASS = 48 << 20, 32 << 20
 #: As many buckets as a table may have by default.
 MOST_BUCKETS = 100_000
 CELL = "chunk int, bucket int, body binary"
@@ -107,7 +107,7 @@ def repeats(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunked(docs: DataFrame, chunks: int, carry: bool = False, by_id: bool = False) -> DataFrame:
+def chunked(docs: DataFrame, chunks: int, carry: bool = False, by_id: bool = False, most: int = PASS) -> DataFrame:
     """(chunk, body): documents dealt by id and text and compressed; ids may be NULL_ID, null texts stay null.
 
     With ``carry`` a struct ``rest`` of all columns but text goes along.  With ``by_id`` documents are
@@ -135,11 +135,11 @@ def chunked(docs: DataFrame, chunks: int, carry: bool = False, by_id: bool = Fal
                 yield pa.record_batch({"chunk": pa.array([c[s]], pa.int32()), "body": pa.array([seal(t.slice(s, e - s))], pa.binary())})
 
         for batch in batches:
-            step = max(1, batch.num_rows * (PASS // 2) // max(1, batch.nbytes))
+            step = max(1, batch.num_rows * (most // 2) // max(1, batch.nbytes))
             for b in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
                 held.append(b)
                 size += b.nbytes
-                if size > PASS:
+                if size > most:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -155,7 +155,7 @@ def dealt_table(docs: DataFrame, chunks: int, carry: bool = False, by_id: bool =
     """Chunks of documents as a bucketed table in the shared folder, which several jobs read without a shuffle."""
     spark = docs.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
-    rows = chunked(docs, chunks, carry, by_id).repartition(chunks, "chunk")
+    rows = chunked(docs, chunks, carry, by_id, TABLE_PASS).repartition(chunks, "chunk")
     rows.write.bucketBy(min(chunks, MOST_BUCKETS), "chunk").option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
     return spark.table(name)
 
