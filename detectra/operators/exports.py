@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import checkpoint
 from . import coverage, integrate, linear, validate, variance
 
 HISTOGRAM_BINS = {"inspector": 25, "coverage": 20, "kriging": 15}
@@ -30,8 +31,17 @@ def linear_signal_model(df: DataFrame, x: str, model: linear.LinearModel) -> Dat
 
 
 def histogram(df: DataFrame, name: str, bins: int) -> DataFrame:
-    """bin, lo, hi, n, density of equal-width bins; the last bin holds its upper edge."""
-    v = df.select(F.col(f"`{name}`").cast("double").alias("x")).filter("x is not null")
+    """bin, lo, hi, n, density of equal-width bins; the last bin holds its upper edge.
+
+    The values are cut first: sums of doubles differ in their last bits from one evaluation to the next,
+    and a least value of another evaluation would leave values below the first bin.
+    """
+    return binned(checkpoint.cut(df.select(F.col(f"`{name}`").cast("double").alias("x"))), "x", bins)
+
+
+def binned(df: DataFrame, name: str, bins: int) -> DataFrame:
+    """``histogram`` of a table that gives the same values each time."""
+    v = df.select(F.col(f"`{name}`").alias("x")).filter("x is not null")
     lim = v.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("total"))
     b = v.crossJoin(F.broadcast(lim))  # one row
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(F.lit(1.0))
@@ -58,9 +68,10 @@ def inspector(df: DataFrame, name: str, outcome: str) -> dict[str, DataFrame]:
 
 
 def coverage_panels(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    out = None
+    """variable beside the columns of ``histogram``, of all inputs."""
+    df, out = checkpoint.cut(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names])), None
     for c in names:
-        h = histogram(df, c, HISTOGRAM_BINS["coverage"]).withColumn("variable", F.lit(c))
+        h = binned(df, c, HISTOGRAM_BINS["coverage"]).withColumn("variable", F.lit(c))
         out = h if out is None else out.unionByName(h)
     return out
 
