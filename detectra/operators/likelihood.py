@@ -24,6 +24,8 @@ from ..functions import special
 
 MARGIN = 1e-7
 STEPS, GAIN = 100, 1e-11
+#: A fit that gains no more takes up to SETTLING plain Newton steps, until one is below SETTLED scales (or log units).
+SETTLING, SETTLED = 4, 1e-10
 #: Fitted families: the kernel they share, and whether values are mirrored.
 KERNELS = {"gumbel_r": ("gumbel", 1), "gumbel_l": ("gumbel", -1), "logistic": ("logistic", 1), "weibull_min": ("weibull", 1), "weibull_max": ("weibull", -1), "gamma": ("gamma", 1), "t": ("t", 1), "beta": ("beta", 1)}
 SHAPES = {"gumbel": 0, "logistic": 0, "weibull": 1, "gamma": 1, "t": 1, "beta": 2}
@@ -128,6 +130,7 @@ class Fit:
     damp: float = 1e-3
     trial: np.ndarray | None = None
     done: bool = False
+    settling: int = 0
 
     @property
     def params(self) -> tuple[float, ...]:
@@ -157,6 +160,26 @@ def feasible(family: str, place: np.ndarray, low: float, high: float) -> bool:
     return name != "beta" or place[-2] + math.exp(place[-1]) >= high + MARGIN * (high - low)
 
 
+def settle(fit: Fit) -> None:
+    """Near the maximum, where gains no longer show, the next trial is a plain Newton step; the fit is done after the last.
+
+    Without a maximum inside of the bounds, as where a fit runs towards another family's limit, it is done at once.
+    """
+    fit.settling, fit.done = fit.settling + 1, True
+    if fit.settling > SETTLING:
+        return
+    try:
+        np.linalg.cholesky(-fit.hess)
+        step = np.linalg.solve(-fit.hess, fit.grad)
+    except np.linalg.LinAlgError:
+        return
+    unit = np.ones(len(step))
+    unit[-2] = math.exp(fit.place[-1])
+    size = float(np.abs(step / unit).max())
+    if SETTLED < size < 0.01 and feasible(fit.family, fit.place + step, fit.low, fit.high):
+        fit.trial, fit.done = fit.place + step, False
+
+
 def propose(fit: Fit) -> None:
     """The next trial: a Newton step, damped until it ascends and stays feasible."""
     low, high = fit.low, fit.high
@@ -177,7 +200,7 @@ def propose(fit: Fit) -> None:
             continue
         step = step * min(1.0, 2.0 / max(1e-300, np.abs(np.delete(step, at)).max()))  # factors of at most e^2
         if float(fit.grad @ step - 0.5 * step @ a @ step) < GAIN * (1 + abs(fit.value)) * 1e-3:
-            fit.done = True
+            settle(fit)
             return
         for _ in range(40):
             if feasible(fit.family, fit.place + step, low, high):
@@ -209,10 +232,10 @@ def ascend(fits: list[Fit], evaluate: Evaluate, steps: int = STEPS) -> None:
             if math.isfinite(value) and np.isfinite(grad).all() and np.isfinite(hess).all() and value > f.value - 1e-13 * abs(value):
                 gain = value - f.value
                 f.place, f.value, f.grad, f.hess, f.damp = f.trial, value, grad, hess, f.damp / 8 if f.damp > 1e-9 else 0.0
-                if gain < GAIN * (1 + abs(value)):
-                    f.done = True
+                if f.settling or gain < GAIN * (1 + abs(value)):
+                    settle(f)
                     continue
-            elif f.value == -math.inf:
+            elif f.settling or f.value == -math.inf:
                 f.done = True
                 continue
             else:
