@@ -18,8 +18,8 @@ from . import errors, kriging, polynomial, reliability, replicates, variance
 from . import progress as progressing
 
 SAMPLES = 500
-#: Numbers of training data that may be broadcast.
-MOST_CELLS = 8_000_000
+#: Numbers of training data that may be broadcast, and rows that a replicate works on at a time.
+MOST_CELLS, PART = 8_000_000, 1 << 14
 
 
 def lhs(n: int, d: int, seed: int) -> np.ndarray:
@@ -45,6 +45,10 @@ def places(grid: np.ndarray, names: Sequence[str], poi: Sequence[str], ranges, d
 
 def replicate_pod(b: int, X, y, points, n_grid, names, kind, bandwidth, family, limits) -> np.ndarray:
     """PoD (grid x thresholds) of one resample: same degree or kernel, same family, same bandwidth."""
+    if kind[0] == "Polynomial":
+        lattice = variance.Lattice(np.minimum(X.min(0), points.min(0)), np.maximum(X.max(0), points.max(0)), bandwidth)
+        if lattice.fits:
+            return counted_pod(b, X, y, points, n_grid, names, kind, bandwidth, family, limits, max(PART, lattice.size))
     pick = np.random.default_rng(b).integers(0, len(X), len(X))
     Xb, yb = X[pick], y[pick]
     model = polynomial.fit_arrays(Xb, yb, names, kind[1]) if kind[0] == "Polynomial" else kriging.refit(kind[1], Xb, yb, names)
@@ -55,11 +59,64 @@ def replicate_pod(b: int, X, y, points, n_grid, names, kind, bandwidth, family,
         params = errors.fit(z, family)
     except (ValueError, FloatingPointError, OverflowError):
         params = (0.0, 1.0)
-    mean, sigma = model.predict(points), np.maximum(variance.smooth_binned(Xb, r2, points, bandwidth), distributions.SIGMA_FLOOR)
+    return exceeding(model.predict(points), variance.smooth_binned(Xb, r2, points, bandwidth), n_grid, family, params, limits)
+
+
+def exceeding(mean: np.ndarray, sigma: np.ndarray, n_grid: int, family: str, params, limits) -> np.ndarray:
+    sigma = np.maximum(sigma, distributions.SIGMA_FLOOR)
     out = [np.clip(1 - distributions.cdf((t - mean) / sigma, family, params), 0, 1).reshape(n_grid, -1).mean(1) for t in limits]
     return np.stack(out, 1)
 
 
+def counted_pod(b: int, X, y, points, n_grid, names, kind, bandwidth, family, limits, part: int) -> np.ndarray:
+    """``replicate_pod`` of a polynomial from how often each row is drawn, in parts of the rows.
+
+    Beside the shared rows a replicate holds a count for each row, and for families other than the normal its z.
+    """
+    n, random = len(X), np.random.default_rng(b)
+    counts = np.zeros(n, np.uint32)
+    for s in range(0, n, part):  # the same draws as at once
+        np.add.at(counts, random.integers(0, n, min(part, n - s)), 1)
+
+    def parts():
+        for s in range(0, n, part):
+            w = counts[s : s + part]
+            live = w > 0
+            if live.any():
+                yield X[s : s + part][live], y[s : s + part][live], w[live].astype(float)
+
+    model = polynomial.fit_weighted(parts, names, kind[1])
+    lo, hi = points.min(0), points.max(0)
+    for x, _, _ in parts():
+        lo, hi = np.minimum(lo, x.min(0)), np.maximum(hi, x.max(0))
+    lattice = variance.Lattice(lo, hi, bandwidth)
+    for x, v, w in parts():
+        lattice.add(x, w, (v - model.predict(x)) ** 2)
+    lattice.smooth()
+
+    def standardised():
+        for x, v, w in parts():
+            yield (v - model.predict(x)) / np.maximum(lattice.read(x), 1e-300), w
+
+    try:
+        if family == "norm":
+            near, first, second = None, 0.0, 0.0
+            for z, w in standardised():  # about a value near the mean, so that squares do not cancel
+                near = w @ z / w.sum() if near is None else near
+                first, second = first + w @ (z - near), second + w @ (z - near) ** 2
+            params = (float(near + first / n), float(np.sqrt(max(second / n - (first / n) ** 2, 0.0))))
+        else:
+            z, at = np.empty(n), 0
+            for own, w in standardised():
+                own = np.repeat(own, w.astype(np.int64))
+                z[at : at + len(own)] = own
+                at += len(own)
+            params = errors.fit(z, family)
+    except (ValueError, FloatingPointError, OverflowError):
+        params = (0.0, 1.0)
+    return exceeding(model.predict(points), lattice.read(points), n_grid, family, params, limits)
+
+
 def bootstrap_curves(df: DataFrame, inputs: Sequence[str], outcome: str, grid: DataFrame, poi: Sequence[str], ranges: Mapping[str, tuple[float, float]], kind, bandwidth: float, family: str, threshold: float, n_boot: int = 1000, n_mc: int = SAMPLES, dists=None, progress: Callable[[int, int], None] | None = None, params: Sequence[float] | None = None) -> DataFrame:
     """(replicate, grid_id, pod).
 

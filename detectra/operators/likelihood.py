@@ -254,8 +254,9 @@ def climb(n: int, low: float, high: float, begin: Sequence[tuple[str, tuple[floa
     return out
 
 
-def over_array(z: np.ndarray):
-    return lambda fits: [sums(z, f.family, natural(f.trial)) for f in fits]
+def over_array(z: np.ndarray, part: int = 1 << 16):
+    """Sums over an array, whose terms are held for a part of it at a time."""
+    return lambda fits: [sum(sums(z[s : s + part], f.family, natural(f.trial)) for s in range(0, len(z), part)) for f in fits]
 
 
 def over_rows(rows: DataFrame, column: str):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
 
@@ -424,3 +424,27 @@ def fit_arrays(X: np.ndarray, y: np.ndarray, inputs: Sequence[str], degree: int,
     a = np.vstack([g, math.sqrt(alpha) * np.eye(g.shape[1])]) if alpha else g
     m.coef = np.linalg.lstsq(a, np.concatenate([y - m.intercept, np.zeros(len(a) - len(g))]), rcond=None)[0]
     return m
+
+
+def fit_weighted(parts: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]], inputs: Sequence[str], degree: int, alpha: float = ALPHA) -> PolynomialModel:
+    """``fit_arrays`` of rows repeated by weight, read some times in parts of (X, y, weight); a part is all that is held."""
+    first = sum(w @ np.column_stack([X, y, np.ones(len(y))]) for X, y, w in parts())
+    n = first[-1]
+    mean = lambda f: sum(w @ f(X, y) for X, y, w in parts()) / n
+    center = first[:-2] / n
+    spread = np.sqrt(mean(lambda X, y: (X - center) ** 2))
+    spread = np.where(spread > 0, spread, 1.0)
+    m = PolynomialModel(tuple(inputs), degree, center, spread, exponents(len(inputs), degree), np.zeros(0), np.zeros(0), np.zeros(0), 0.0)
+    m.term_mean = mean(lambda X, y: m.features(X))
+    std = np.sqrt(mean(lambda X, y: (m.features(X) - m.term_mean) ** 2))
+    m.term_std = np.where(std > 1e-10, std, 1.0)
+    m.intercept = float(first[-2] / n)
+    k = len(m.term_mean)
+    r = np.zeros((0, k + 1))
+    for X, y, w in parts():  # triangles of the parts meet one after the other
+        rows = np.column_stack([(m.features(X) - m.term_mean) / m.term_std, y - m.intercept]) * np.sqrt(w)[:, None]
+        r = np.linalg.qr(np.vstack([r, rows]), mode="r")
+    extra = math.sqrt(alpha) * np.eye(k) if alpha else np.zeros((0, k))
+    a, b = np.vstack([r[:, :k], extra]), np.concatenate([r[:, k], np.zeros(len(extra))])
+    m.coef = np.linalg.lstsq(a, b, rcond=np.finfo(float).eps * max(n + len(extra), k))[0]
+    return m

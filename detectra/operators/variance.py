@@ -219,41 +219,58 @@ def smooth(train_X: np.ndarray, r2: np.ndarray, X: np.ndarray, h: float, cells:
     return out
 
 
-
-
-def smooth_binned(train_X: np.ndarray, r2: np.ndarray, X: np.ndarray, h: float) -> np.ndarray:
+class Lattice:
     """``smooth`` for one or two inputs, from sums over a lattice with ``NODES`` nodes to a bandwidth.
 
     Each training row is shared among its neighbouring nodes, the kernel acts along one axis after
-    the other, and estimates are read between nodes, so the work is linear in the rows.  Relative
-    errors are of the order of (1 / NODES)^2.  More inputs, and lattices of over ``LATTICE`` nodes an
-    axis, are smoothed directly.
+    the other, and estimates are read between nodes, so the work is linear in the rows, which may be
+    added in parts.  Relative errors are of the order of (1 / NODES)^2.  It is too large with more
+    inputs, or over ``LATTICE`` nodes an axis.
     """
-    d = train_X.shape[1]
-    lo, hi = np.minimum(train_X.min(0), X.min(0)), np.maximum(train_X.max(0), X.max(0))
-    shape = [int(np.ceil(NODES * w / h)) + 2 for w in hi - lo]
-    if d > 2 or max(shape) > LATTICE:
-        return smooth(train_X, r2, X, h)
 
-    def corners(v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        at = (v - lo) * (NODES / h)
-        base = np.minimum(at.astype(np.int64), np.array(shape) - 2)
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, h: float):
+        self.lo, self.h = lo, h
+        self.shape = [int(np.ceil(NODES * w / h)) + 2 for w in hi - lo]
+        self.fits = len(self.shape) <= 2 and max(self.shape) <= LATTICE
+        self.size = int(np.prod(self.shape)) if self.fits else 0
+        self.sums = [np.zeros(self.size), np.zeros(self.size)]
+
+    def corners(self, v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        at = (v - self.lo) * (NODES / self.h)
+        base = np.minimum(at.astype(np.int64), np.array(self.shape) - 2)
         part = at - base
         out = [(np.zeros(len(v), np.int64), np.ones(len(v)))]
-        for k in range(d):
-            out = [(i * shape[k] + base[:, k] + s, w * (part[:, k] if s else 1 - part[:, k])) for i, w in out for s in (0, 1)]
+        for k, n in enumerate(self.shape):
+            out = [(i * n + base[:, k] + s, w * (part[:, k] if s else 1 - part[:, k])) for i, w in out for s in (0, 1)]
         return out
 
-    size = int(np.prod(shape))
-    sums = []
-    placed = corners(train_X)
-    for y in (np.ones(len(r2)), r2):
-        t = sum(np.bincount(i, w * y, size) for i, w in placed).reshape(shape)
-        for k in range(d):
-            steps = np.arange(shape[k]) / NODES
-            kernel = np.exp(-((steps[:, None] - steps[None, :]) ** 2) / 2)
-            t = np.moveaxis(np.tensordot(kernel, t, (1, k)), 0, k)
-        sums.append(t.ravel())
-    read = corners(X)
-    total, v = (sum(w * s[i] for i, w in read) for s in sums)
-    return np.sqrt(v / np.where(total <= WEIGHT_FLOOR, WEIGHT_LEAST, total))
+    def add(self, X: np.ndarray, weight: np.ndarray, r2: np.ndarray) -> None:
+        for i, w in self.corners(X):
+            w = w * weight
+            self.sums[0] += np.bincount(i, w, self.size)
+            self.sums[1] += np.bincount(i, w * r2, self.size)
+
+    def smooth(self) -> None:
+        """Once all rows are added."""
+        for j, t in enumerate(self.sums):
+            t = t.reshape(self.shape)
+            for k, n in enumerate(self.shape):
+                steps = np.arange(n) / NODES
+                kernel = np.exp(-((steps[:, None] - steps[None, :]) ** 2) / 2)
+                t = np.moveaxis(np.tensordot(kernel, t, (1, k)), 0, k)
+            self.sums[j] = t.ravel()
+
+    def read(self, X: np.ndarray) -> np.ndarray:
+        at = self.corners(X)
+        total, v = (sum(w * s[i] for i, w in at) for s in self.sums)
+        return np.sqrt(v / np.where(total <= WEIGHT_FLOOR, WEIGHT_LEAST, total))
+
+
+def smooth_binned(train_X: np.ndarray, r2: np.ndarray, X: np.ndarray, h: float) -> np.ndarray:
+    """``smooth`` by a ``Lattice``, directly where that is too large."""
+    lattice = Lattice(np.minimum(train_X.min(0), X.min(0)), np.maximum(train_X.max(0), X.max(0)), h)
+    if not lattice.fits:
+        return smooth(train_X, r2, X, h)
+    lattice.add(train_X, np.ones(len(r2)), r2)
+    lattice.smooth()
+    return lattice.read(X)
